@@ -49,4 +49,4 @@ def i32(c) -> F.Column:
 
 
 # Import the query modules so they register themselves.
-from . import q_episodes, q_features, q_preprocess, q_scalars  # noqa: E402,F401
+from . import q_episodes, q_evaluate, q_features, q_preprocess, q_scalars  # noqa: E402,F401
