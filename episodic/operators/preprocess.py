@@ -227,29 +227,55 @@ def impute_group_mean(df: DataFrame, year: str, code: str, target: str) -> DataF
 
 @dataclass
 class CascadeStats:
+    """Fitted state of ``impute_cascade``: per-(year, code) means from the
+    un-imputed fit frame plus two global means taken after the earlier steps."""
     group: DataFrame
     global_start: float | None = None
     global_gap: float | None = None
-    extra: dict = field(default_factory=dict)
+    names: dict = field(default_factory=dict)
+
+
+def _cascade_steps(df: DataFrame, st: CascadeStats, upto: int) -> DataFrame:
+    n = st.names
+    yrs = F.col(n["length"]) / F.lit(n["days_per_year"])
+    s, e, f = n["age_start"], n["age_end"], n["age_first"]
+    x = df.join(st.group, [n["year"], n["code"]], "left")
+    x = x.withColumn(s, F.coalesce(F.col(s), F.col(e) - yrs, F.col("_gs")))
+    if upto == 1:
+        return x
+    x = x.withColumn(s, F.coalesce(F.col(s), F.lit(st.global_start)))
+    x = x.withColumn(e, F.coalesce(F.col(e), F.col(s) + yrs))
+    x = x.withColumn(f, F.coalesce(F.col(f), F.col(s) - F.col("_gd")))
+    if upto == 2:
+        return x
+    return x.withColumn(f, F.coalesce(F.col(f), F.col(s) - F.lit(st.global_gap)))
+
+
+def fit_cascade(df: DataFrame, year: str, code: str, length: str, age_start: str, age_end: str,
+                age_first: str, days_per_year: float = 365.0) -> CascadeStats:
+    names = dict(year=year, code=code, length=length, age_start=age_start, age_end=age_end,
+                 age_first=age_first, days_per_year=days_per_year)
+    gm = _group_means(df, [year, code], {"_gs": F.col(age_start), "_gd": F.col(age_start) - F.col(age_first)})
+    st = CascadeStats(group=gm, names=names)
+    st.global_start = _cascade_steps(df, st, 1).agg(F.avg(age_start)).first()[0]
+    st.global_gap = _cascade_steps(df, st, 2).agg(F.avg(F.col(age_start) - F.col(age_first))).first()[0]
+    return st
+
+
+def apply_cascade(df: DataFrame, st: CascadeStats) -> DataFrame:
+    return _cascade_steps(df, st, 3).select(*df.columns)
 
 
 def impute_cascade(df: DataFrame, year: str, code: str, length: str, age_start: str, age_end: str,
-                   age_first: str, days_per_year: float = 365.0) -> DataFrame:
+                   age_first: str, days_per_year: float = 365.0, fit_on: DataFrame | None = None) -> DataFrame:
     """Cascading imputation of three related ages.
 
     start: end - len/365, then the (year, code) group mean of start, then the
     mean of start after those two steps; end: start + len/365; first:
     start - group mean of (start - first), then start - mean(start - first)
-    after that step.  Group means use the un-imputed input.
+    after that step.  Group means use the un-imputed fit frame.  Statistics
+    come from ``fit_on`` (e.g. the train fold) or, by default, from ``df``.
     """
-    yrs = F.col(length) / F.lit(days_per_year)
-    gm = _group_means(df, [year, code], {"_gs": F.col(age_start), "_gd": F.col(age_start) - F.col(age_first)})
-    x = df.join(gm, [year, code], "left")
-    x = x.withColumn(age_start, F.coalesce(F.col(age_start), F.col(age_end) - yrs, F.col("_gs")))
-    g_start = x.agg(F.avg(age_start)).first()[0]
-    x = x.withColumn(age_start, F.coalesce(F.col(age_start), F.lit(g_start)))
-    x = x.withColumn(age_end, F.coalesce(F.col(age_end), F.col(age_start) + yrs))
-    x = x.withColumn(age_first, F.coalesce(F.col(age_first), F.col(age_start) - F.col("_gd")))
-    g_gap = x.agg(F.avg(F.col(age_start) - F.col(age_first))).first()[0]
-    x = x.withColumn(age_first, F.coalesce(F.col(age_first), F.col(age_start) - F.lit(g_gap)))
-    return x.select(*df.columns)
+    st = fit_cascade(fit_on if fit_on is not None else df, year, code, length, age_start, age_end,
+                     age_first, days_per_year)
+    return apply_cascade(df, st)
