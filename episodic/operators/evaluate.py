@@ -4,8 +4,8 @@ AUC with ties, score histograms, per-subgroup metrics, fairness crosstab.
 Inputs are long score tables ``(group keys..., id, label, score, attrs)``:
 any number of folds x models x parameter points in one DataFrame, evaluated
 by one grouped job each -- never a per-model driver loop over collected
-scores.  Ranking uses ``global_rank`` (range-partitioned, exact), so a huge
-group is spread over many tasks.
+scores.  Ranking is exact; a group too big for one task is ranked by the
+range-partitioned ``global_rank`` (see ``ranking.rank``).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import GROUP_N, RANK, global_rank
+from .ranking import GROUP_N, RANK, rank
 
 # Population levels (percent) of the default metric sweep and
 # the metrics computed at each level.
@@ -37,16 +37,18 @@ def cutoff(n: Column, pct: float, rounding: str = "half_even") -> Column:
     raise ValueError(rounding)
 
 
-def rank_scores(df: DataFrame, score: str, tiebreak: str, by: Sequence[str] = (), **kw) -> DataFrame:
-    """Descending score rank per group, ties broken by ``tiebreak`` ascending."""
-    return global_rank(df, [F.col(score).desc_nulls_last(), F.col(tiebreak).asc()], by, **kw)
+def rank_scores(df: DataFrame, score: str, tiebreak: str, by: Sequence[str] = (), strategy: str = "auto",
+                **kw) -> DataFrame:
+    """Descending score rank per group, ties broken by ``tiebreak`` ascending
+    (exact; strategy chosen by group size, see ``ranking.rank``)."""
+    return rank(df, [F.col(score).desc_nulls_last(), F.col(tiebreak).asc()], by, strategy, **kw)
 
 
 def label_top_fraction(df: DataFrame, score: str = "score", tiebreak: str = "id", pct: float = 10,
                        by: Sequence[str] = (), rounding: str = "half_even", out: str = "prediction",
-                       ranked: bool = False) -> DataFrame:
+                       ranked: bool = False, strategy: str = "auto") -> DataFrame:
     """1 for the ``k`` highest scores of each group (``k`` from ``cutoff``), else 0."""
-    r = df if ranked else rank_scores(df, score, tiebreak, by)
+    r = df if ranked else rank_scores(df, score, tiebreak, by, strategy)
     res = r.withColumn(out, (F.col(RANK) <= cutoff(F.col(GROUP_N), pct, rounding)).cast("int"))
     return res if ranked else res.drop(RANK, GROUP_N)
 

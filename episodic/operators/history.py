@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day_diff, truncating_mean
+from ..session import reuse
 from .dayframe import UNBOUNDED_FOLLOWING, UNBOUNDED_PRECEDING, attach, day_number, frame_lookup
 
 FRAMES = {
@@ -114,8 +115,8 @@ def events_as_of(
     ev_day = day_number(event_date)
     probes_end = episodes.select(entity, day_number(end).alias("_pd"))
     probes_start = episodes.select(entity, F.least(day_number(start), day_number(end)).alias("_pd"))
-    lookup = _frame_counts(ev, entity, ev_day, F.col(verdict) == positive,
-                           probes_end.unionByName(probes_start))
+    lookup = reuse(_frame_counts(ev, entity, ev_day, F.col(verdict) == positive,
+                                 probes_end.unionByName(probes_start)))
     on_end = attach(episodes, lookup, [entity], day_number(end), {
         "_cn": prefix, "_cd": f"{prefix}_unique", "_cg": f"{prefix}_positive"}, how="inner")
     on_start = attach(on_end, lookup, [entity], F.least(day_number(start), day_number(end)), {

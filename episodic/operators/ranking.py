@@ -9,9 +9,10 @@ of the data.  ``global_rank`` instead:
    one group dominates, and a big group spans many partitions;
 2. sorts within partitions and tags each row with its partition id and a
    monotonically increasing id (local position);
-3. reliably checkpoints that frame (to ``spark.checkpoint.dir``), so the
-   statistics job and the final join read identical partitions and lost
-   executors are recomputed from durable data;
+3. writes that frame once below ``spark.checkpoint.dir`` (``reuse``), so the
+   statistics job and the final join read identical partition tags (a fresh
+   range sampling could cut differently) and lost executors re-read durable
+   files;
 4. aggregates one small row per (partition, group) -- count and first id --
    and turns it into per-partition offsets with a window over that tiny
    table (rows = partitions x groups spanned, independent of row count);
@@ -28,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import reuse
 
 RANK = "_rank"
 GROUP_N = "_group_n"
@@ -41,10 +42,34 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+MAX_GROUP_CONF = "episodic.rank.maxGroupRowsPerTask"
+DEFAULT_MAX_GROUP = 2_000_000
+
+
+def rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), strategy: str = "auto",
+         max_group_rows: int | None = None) -> DataFrame:
+    """Add ``_rank`` and ``_group_n``, choosing the physical strategy.
+
+    ``auto`` measures the largest group with one grouped count (partial
+    aggregation, a few bytes per group reach the driver) and uses the plain
+    window when every group fits one task (``max_group_rows``, default 2M or
+    the session conf ``episodic.rank.maxGroupRowsPerTask``), else the
+    range-partitioned ``global_rank``.  ``window`` / ``range`` force one.
+    """
+    if strategy == "window":
+        return window_rank(df, order, by)
+    if strategy == "range":
+        return global_rank(df, order, by)
+    limit = max_group_rows or int(df.sparkSession.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP)))
+    sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
+    biggest = sizes.agg(F.max("count")).first()[0] or 0
+    return window_rank(df, order, by) if biggest <= limit else global_rank(df, order, by)
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
                 num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
     """Add ``_rank`` (1-based position within ``by`` in ``order``) and
-    ``_group_n`` (group size)."""
+    ``_group_n`` (group size), with no group held by a single task."""
     by = list(by)
     n = _partitions(df, num_partitions)
     keys = [F.col(b).asc_nulls_first() for b in by] + list(order)
@@ -53,8 +78,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_mid", F.monotonically_increasing_id()))
     if checkpoint:
-        checkpoint_dir(df.sparkSession)
-        local = local.checkpoint(eager=True)
+        local = reuse(local, "ranked")
     stats = local.groupBy("_pid", *by).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -67,7 +91,8 @@ def global_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
 
 
 def window_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """The plain window form (one task per group); for small inputs and tests."""
+    """The plain window form: one task per group (chosen by ``rank`` when
+    every group is small enough)."""
     w = Window.partitionBy(*by).orderBy(*order)
     return (df.withColumn(RANK, F.row_number().over(w))
               .withColumn(GROUP_N, F.count(F.lit(1)).over(Window.partitionBy(*by))))

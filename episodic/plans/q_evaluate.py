@@ -182,3 +182,36 @@ def q_fairness_crosstab(t):
     return x.select("fold", "attribute_name", "attribute_value",
                     *[i64(c).alias(c) for c in ("group_size", "pp", "pn", "tp", "fp", "fn", "tn")],
                     *[r6(c).alias(c) for c in RATES])
+
+
+# The same queries forced onto the range-partitioned rank (the path taken when
+# a group is too large for one task), so the correctness gate covers it.
+
+
+@register("label_top_fraction_range", with_ctes(["scored"], f"""
+SELECT id, fold, {_pred_sql(HALF_EVEN_10)} AS prediction FROM ranked""", extra=[("ranked", RANKED)]))
+def q_label_top_fraction_range(t):
+    s = analog.scored(t)
+    return E.label_top_fraction(s, "score", "id", 10, by=["fold"], strategy="range") \
+        .select("id", "fold", i32("prediction").alias("prediction"))
+
+
+@register("precision_recall_by_level_range", with_ctes(["scored"], BY_LEVEL_SQL.format(keys="fold", src="ranked"),
+                                                       extra=[("ranked", RANKED)]))
+def q_precision_recall_by_level_range(t):
+    r = E.rank_scores(analog.scored(t), "score", "id", ["fold"], strategy="range")
+    m = E.metrics_by_level(r, "label", ["fold"])
+    return m.select("fold", "level", *[i64(c).alias(c) for c in ("n", "tp", "fp", "fn", "tn")], *_metric_cols())
+
+
+@register("auc_rank_range", with_ctes(["scored"], """
+SELECT fold, round((sum(CASE WHEN label = 1 THEN avg_rank ELSE 0 END) - P * (P + 1) / 2.0) / (P * (n - P)), 6) AS auc
+FROM (SELECT fold, label, n, P,
+             rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0
+               AS avg_rank
+      FROM (SELECT s.*, count(*) OVER (PARTITION BY fold) AS n,
+                   sum(label) OVER (PARTITION BY fold) AS P FROM scored s) x) y
+GROUP BY fold, n, P"""))
+def q_auc_rank_range(t):
+    r = E.rank_scores(analog.scored(t), "score", "id", ["fold"], strategy="range")
+    return E.auc(r, "label", "score", ["fold"]).select("fold", r6("auc").alias("auc"))

@@ -73,3 +73,25 @@ class Tables:
         if name not in TABLES:
             raise AttributeError(name)
         return read_table(self.spark, self.sf_dir, name)
+
+
+def scratch_table_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    import uuid
+
+    base = checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/episodic-tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def reuse(df: DataFrame, name: str = "reuse") -> DataFrame:
+    """Materialise a frame that feeds several branches of one plan.
+
+    One job writes it as Parquet below the shared ``spark.checkpoint.dir``
+    and the branches read the files back: the frame is computed once, lineage
+    is cut at durable files (a lost executor re-reads them instead of
+    recomputing the whole lineage), and ``Dataset.checkpoint``'s second
+    evaluation of the plan is avoided.
+    """
+    path = scratch_table_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -9,7 +9,6 @@ session's shared ``spark.checkpoint.dir`` (never a machine-local folder).
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import clean_strings
-from ..session import checkpoint_dir
+from ..session import scratch_table_path
 
 # ------------------------------------------------------------ paths
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/episodic-tables/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch_table_path(spark, name)
 
 
 class MissingInputError(FileNotFoundError):
