@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reuse, scratch_table_path
+
 MAX_DEPTH = 30  # MLlib's limit; deeper requests are clamped and reported
 SEED = 0
 
@@ -211,7 +213,7 @@ def fit_adaboost(train: DataFrame, params: dict, features: str = "features", lab
         total = df.agg(F.sum("_w")).first()[0] or 1.0
         df = df.withColumn("_w", F.col("_w") / F.lit(total))
         if (m + 1) % checkpoint_every == 0:
-            df = df.checkpoint(eager=True)
+            df = reuse(df, "boost_weights")
     return stumps
 
 
@@ -248,7 +250,11 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int, weights: str = "unifo
     spark = train.sparkSession
     n = train.count()
     nblocks = max(1, math.ceil(n / block_rows))
-    tb = train.select(id_col, vec, label).withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(nblocks)))
+    # one write, partitioned by block: each block read below prunes to its files
+    path = scratch_table_path(spark, "knn_train")
+    (train.select(id_col, vec, label).withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(nblocks)))
+     .write.partitionBy("_b").parquet(path))
+    tb = spark.read.parquet(path)
     cand = None
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("nid", T.LongType()),
                            T.StructField("dist", T.DoubleType()), T.StructField("nlabel", T.LongType())])

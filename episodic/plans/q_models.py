@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import models as M
+from ..session import reuse
 from ..sources import io as IO
 from . import analog
 from .catalog import i32, register
@@ -37,8 +38,8 @@ def fold(t, year: int = TEST_YEAR):
     key = (id(t.spark), t.sf_dir, year)
     if key not in _FOLD_CACHE:
         fd = fold_vectors(wide_table(t), year)
-        fd.train = fd.train.checkpoint(eager=True)
-        fd.test = fd.test.checkpoint(eager=True)
+        fd.train = reuse(fd.train, "fold_train")
+        fd.test = reuse(fd.test, "fold_test")
         _FOLD_CACHE[key] = fd
     return _FOLD_CACHE[key]
 
@@ -74,23 +75,31 @@ for _key, (_name, _spec) in _FITS.items():
 
 @register("model_grid_results")
 def q_model_grid_results(t):
-    """Results table rows for the test grid of the default families, by
-    subgroup (TOTAL, MALE, FEMALE): descriptors, AUC and 28 threshold metrics."""
+    """Results rows for the test grid of the default families, by subgroup
+    (TOTAL, MALE, FEMALE): descriptors, AUC and 28 threshold metrics."""
+    from .experiment import KEEP as RKEEP
+    from .experiment import results_rows
+
     fd = fold(t)
-    scores = M.run_grid(fd.train, fd.test, M.DEFAULT_MODELS, M.GRIDS["test"], KEEP + ["gender"],
-                        nb_features="nb_features")
-    scores = scores.checkpoint(eager=True)
-    tagged = E.subgroup_tags(scores, "gender", ["MALE", "FEMALE"], out="subgroup")
-    keys = ["model", "parameters", "subgroup"]
-    ranked = E.rank_scores(tagged, "score", "id", keys)
-    wide = E.metrics_wide(E.metrics_by_level(ranked, "label", keys), keys)
-    auc = E.auc(ranked, "label", "score", keys)
-    base = fd.test.agg(F.avg("label").alias("baseline")).first()["baseline"]
-    return (wide.join(auc, keys).select(
-        F.lit(TEST_YEAR).alias("year"), F.col("subgroup").alias("gender"), "model",
-        F.col("model").alias("classifiers"), "parameters", F.lit(fd.n_train).alias("train_set_size"),
-        F.lit(len(fd.feature_names)).alias("num_features"), F.lit(fd.n_test).alias("validation_set_size"),
-        F.lit(base).alias("baseline"), "auc", *[c for c in wide.columns if c not in keys]))
+    scores = reuse(M.run_grid(fd.train, fd.test, M.DEFAULT_MODELS, M.GRIDS["test"], RKEEP,
+                              nb_features="nb_features"), "scores")
+    base = fd.test.agg(F.avg("label")).first()[0]
+    return results_rows(scores, TEST_YEAR, fd.n_train, len(fd.feature_names), fd.n_test, base)
+
+
+@register("results_by_year")
+def q_results_by_year(t):
+    """Two test years x test grid, appended to a year-partitioned results
+    table, then read back; the male-and-missing subgroup run is appended to
+    its own table and stacked with a ``population`` tag."""
+    from .experiment import run_years
+
+    wide = wide_table(t)
+    total = run_years(wide, [1998, 1999], IO.scratch_path(t.spark, "results"), grid_size="test")
+    male = run_years(wide, [1999], IO.scratch_path(t.spark, "results_male"), models=["LR"], grid_size="test",
+                     exclude=("gender", "FEMALE"), subgroups=["MALE"])
+    return (total.withColumn("population", F.lit("ALL"))
+            .unionByName(male.withColumn("population", F.lit("MALE_AND_MISSING"))))
 
 
 @register("feature_importance")
