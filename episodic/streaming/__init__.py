@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads complete files only and has no watermark, stream window
+or stateful operator, so no streaming operator is provided.  Every batch
+operator here is a DataFrame plan and can be applied to a micro-batch in
+``foreachBatch`` if a caller needs incremental refreshes.
+"""
