@@ -64,15 +64,25 @@ def frame_lookup(
         agg = F.min if name.startswith("min_") else F.sum
         pre.append(agg(F.col(name)).alias(name))
 
-    vrows = values.select(*entity, value_day.alias(DAY), *[e.alias(n) for n, e in measures.items()],
-                          F.lit(0).alias(PROBE))
-    if probes is not None:
-        prow = probes.select(*entity, probe_day.alias(DAY),
-                             *[F.lit(None).cast(vrows.schema[n].dataType).alias(n) for n in measures],
-                             F.lit(1).alias(PROBE))
-        rows = vrows.unionByName(prow)
+    if probes is values and probe_day is not None:
+        # one scan: each row yields its value-day row and its probe-day row
+        fields = [value_day.alias(DAY), *[e.alias(n) for n, e in measures.items()], F.lit(0).alias(PROBE)]
+        vstruct = F.struct(*fields)
+        vtype = values.select(vstruct.alias("s")).schema["s"].dataType
+        pstruct = F.struct(probe_day.cast(vtype[DAY].dataType).alias(DAY),
+                           *[F.lit(None).cast(vtype[n].dataType).alias(n) for n in measures],
+                           F.lit(1).alias(PROBE))
+        rows = values.select(*entity, F.explode(F.array(vstruct, pstruct)).alias("_r")).select(*entity, "_r.*")
     else:
-        rows = vrows.withColumn(PROBE, F.lit(1))
+        vrows = values.select(*entity, value_day.alias(DAY), *[e.alias(n) for n, e in measures.items()],
+                              F.lit(0).alias(PROBE))
+        if probes is not None:
+            prow = probes.select(*entity, probe_day.alias(DAY),
+                                 *[F.lit(None).cast(vrows.schema[n].dataType).alias(n) for n in measures],
+                                 F.lit(1).alias(PROBE))
+            rows = vrows.unionByName(prow)
+        else:
+            rows = vrows.withColumn(PROBE, F.lit(1))
     rows = rows.where(F.col(DAY).isNotNull())
     per_day = rows.groupBy(*entity, DAY).agg(*pre, F.max(PROBE).alias(PROBE))
 

@@ -23,7 +23,7 @@ _WIDE_CACHE: dict = {}
 
 def wide_table(t):
     """The labelled wide table, materialised once per session and input."""
-    key = (id(t.spark), t.sf_dir)
+    key = (t.spark.sparkContext.applicationId, id(t.spark), t.sf_dir)
     if key not in _WIDE_CACHE:
         wide = feature_table(analog.episodes(t), analog.components(t), analog.attributes(t),
                              analog.events_by_entity(t))
@@ -35,7 +35,7 @@ _FOLD_CACHE: dict = {}
 
 
 def fold(t, year: int = TEST_YEAR):
-    key = (id(t.spark), t.sf_dir, year)
+    key = (t.spark.sparkContext.applicationId, id(t.spark), t.sf_dir, year)
     if key not in _FOLD_CACHE:
         fd = fold_vectors(wide_table(t), year)
         fd.train = reuse(fd.train, "fold_train")
