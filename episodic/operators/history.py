@@ -73,6 +73,23 @@ def history(
     return out
 
 
+def history_naive(episodes: DataFrame, value: str, frame: str = "all_prior", days: int = 1825,
+                  entity: str = "id", end: str = "end_date") -> DataFrame:
+    """Reference form for comparison only: the per-entity self join.
+
+    Emits every (episode, episode) pair of an entity -- quadratic per entity --
+    and is used by tests and the bench, never by the library.
+    """
+    a = episodes.where(F.col(end).isNotNull()).alias("a")
+    b = episodes.where(F.col(end).isNotNull()).select(F.col(entity).alias("_e"), F.col(end).alias("_b_end"),
+                                                      F.col(value).alias("_v"))
+    d = F.datediff(F.col("_b_end"), F.col(f"a.{end}"))
+    cond = {"all_prior": d <= 0, "trailing": (d >= -days) & (d <= 0), "lower_bound_only": d >= -days}[frame]
+    return (a.join(b, (F.col(f"a.{entity}") == F.col("_e")) & cond)
+            .groupBy(*[F.col(f"a.{c}") for c in episodes.columns])
+            .agg(F.sum("_v").alias("total"), F.count(F.lit(1)).alias("n")))
+
+
 def durations(episodes: DataFrame, start: str = "start_date", end: str = "end_date",
               out: str = "duration_days", min_days: int | None = 1) -> DataFrame:
     """Add the episode length in days (double) and keep those >= ``min_days``.

@@ -9,6 +9,8 @@ from the same definition:
 - ``episodes``: orders with status F or O having a line item with return
   flag R; entity = customer, episode = order, start = order date,
   end = start + (orderkey * 37) % 400 days.
+- ``episodes_hot``: the same episodes with every third customer re-keyed to
+  one entity (a third of all rows on one key).
 - ``components``: one row per line item (entity, episode, component number,
   county = return flag, term = line status, offence = "type,brand",
   qualifier, penalty class, felony code).
@@ -52,6 +54,13 @@ def episodes(t: Tables) -> DataFrame:
     )
 
 
+def episodes_hot(t: Tables) -> DataFrame:
+    """``episodes`` with every third customer re-keyed to entity 0, so one
+    entity holds about a third of all episodes (the skew case)."""
+    e = episodes(t)
+    return e.withColumn("id", F.when(F.col("id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("id")))
+
+
 def components(t: Tables) -> DataFrame:
     li, o, p = t.lineitem, t.orders, t.part
     return (
@@ -164,6 +173,9 @@ SELECT o_custkey AS id, o_orderkey AS prefix, CAST(o_orderdate AS DATE) AS start
 FROM orders
 WHERE o_orderstatus IN ('F', 'O')
   AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
+    "episodes_hot": """
+SELECT CASE WHEN id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE id END AS id, prefix, start_date, end_date
+FROM episodes""",
     "components": """
 SELECT o_custkey AS id, l_orderkey AS prefix, l_linenumber AS component_no,
        l_returnflag AS county, l_linestatus AS term, p_type || ',' || p_brand AS offense,
@@ -215,7 +227,7 @@ GROUP BY year, gender, model, parameters""",
 }
 
 # analog -> analogs it reads (for CTE ordering)
-_DEPENDS = {"scored": ["attributes"]}
+_DEPENDS = {"scored": ["attributes"], "episodes_hot": ["episodes"]}
 
 
 def with_ctes(names: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:

@@ -183,3 +183,38 @@ GROUP BY l.id, l.prefix, l.start_date, l.end_date""")
 @register("events_before_end", EVENTS_SQL)
 def q_events_before_end(t):
     return events_as_of(analog.episodes(t), analog.events_by_entity(t), prefix="events")
+
+
+# ------------------------------------------------------- skew: one hot entity
+
+HOT_LABEL_SQL = with_ctes(["episodes_hot"], """
+SELECT t1.id, t1.prefix, t1.start_date, t1.end_date,
+       CAST(CASE WHEN coalesce((SELECT min(t2.start_date) FROM episodes_hot t2
+                                WHERE t2.id = t1.id AND t2.start_date > t1.end_date) - t1.end_date,
+                               10000) BETWEEN 0 AND 365 THEN 1 ELSE 0 END AS INTEGER) AS label
+FROM episodes_hot t1""")
+
+
+@register("label_next_event_hot_entity", HOT_LABEL_SQL)
+def q_label_next_event_hot_entity(t):
+    e = analog.episodes_hot(t)
+    return label_next_event(e).select(*KEYS, i32("label").alias("label"))
+
+
+HOT_INC = """
+SELECT id, prefix, start_date, end_date, CAST(end_date - start_date AS DOUBLE) AS duration_days
+FROM episodes_hot WHERE CAST(end_date - start_date AS DOUBLE) >= 1"""
+
+
+@register("history_all_prior_days_hot_entity", with_ctes(["episodes_hot"], """
+SELECT a.id, a.prefix, a.start_date, a.end_date,
+       round(sum(b.duration_days), 6) AS total_days, CAST(count(*) AS BIGINT) AS n_prior,
+       round(sum(b.duration_days) / count(*), 6) AS avg_days
+FROM inc_len a JOIN inc_len b ON a.id = b.id
+WHERE b.end_date <= a.end_date
+GROUP BY a.id, a.prefix, a.start_date, a.end_date""", extra=[("inc_len", HOT_INC)]))
+def q_history_all_prior_days_hot_entity(t):
+    d = durations(analog.episodes_hot(t), out="duration_days", min_days=1)
+    h = history(d, "duration_days", "all_prior", total_col="total_days", count_col="n_prior", mean_col="avg_days")
+    return h.select(*KEYS, r6("total_days").alias("total_days"), i64("n_prior").alias("n_prior"),
+                    r6("avg_days").alias("avg_days"))

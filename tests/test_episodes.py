@@ -130,3 +130,13 @@ def test_build_episodes(spark):
                                   "id long, prefix long, effective_date date, new_period_flag string")
     out = build_episodes(comps, spans, court).collect()
     assert [(r["prefix"], r["start_date"], r["end_date"]) for r in out] == [(10, D(1999, 12, 1), D(2000, 3, 1))]
+
+
+def test_history_naive_agrees(spark):
+    from episodic.operators.history import history_naive
+
+    df = spark.createDataFrame([(1, i, D(2000, 1, 1) + dt.timedelta(days=(i * 37) % 90), float(i)) for i in range(12)],
+                               "id long, prefix long, end_date date, v double")
+    a = {r["prefix"]: (r["total"], r["n"]) for r in history(df, "v", "trailing", 40, count_col="n").collect()}
+    b = {r["prefix"]: (r["total"], r["n"]) for r in history_naive(df, "v", "trailing", 40).collect()}
+    assert a == b
