@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ColumnOrName = "Column | str"
-
 # The unknown-date sentinel year prefix, and the flag and code
 # maps that must match the reference's behaviour.
 SENTINEL_PREFIX = "0001"

@@ -14,7 +14,6 @@ import json
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -108,14 +107,6 @@ def params_key(params: dict) -> str:
 # ------------------------------------------------------------ estimators
 
 
-@dataclass
-class Fitted:
-    model_name: str
-    params: dict
-    model: object
-    extra: dict
-
-
 def _depth(d) -> int:
     return int(min(int(d), MAX_DEPTH))
 

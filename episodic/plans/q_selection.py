@@ -8,7 +8,7 @@ from ..operators import folds as T
 from ..operators import selection as SEL
 from . import analog
 from .analog import with_ctes
-from .catalog import i64, r6, register
+from .catalog import r6, register
 
 TEST_YEARS = [1997, 1998, 1999, 2000, 2001]
 
@@ -138,5 +138,3 @@ def q_param_mean(t):
     m = SEL.param_mean(analog.results_like(t), "{'status': 'F', 'line': 1}", "recall_10", ["gender"])
     return m.select("gender", "parameters", r6("recall_10").alias("recall_10"))
 
-
-_ = i64
