@@ -158,3 +158,35 @@ def q_knn_vote(t):
 @register("knn_vote_distance", KNN_SQL.format(vote="sum(1.0 / dist)", k=10))
 def q_knn_vote_distance(t):
     return _knn(t, 10, "distance")
+
+
+NB_SQL = """
+WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+f AS (SELECT label, i AS feature, abs(e[i]) AS v FROM x, range(1, 65) r(i)),
+sums AS (SELECT label, feature, sum(v) AS s FROM f GROUP BY label, feature),
+tot AS (SELECT label, sum(s) AS t FROM sums GROUP BY label),
+cnt AS (SELECT label, count(*) AS n FROM x GROUP BY label),
+k AS (SELECT count(*) AS classes, sum(n) AS docs FROM cnt)
+SELECT CAST(s.label AS INTEGER) AS label, CAST(s.feature - 1 AS INTEGER) AS feature,
+       round(ln(s.s + 1.0) - ln(t.t + 64 * 1.0), 6) AS theta,
+       round(ln(c.n + 1.0) - ln(k.docs + k.classes * 1.0), 6) AS pi
+FROM sums s JOIN tot t ON s.label = t.label JOIN cnt c ON s.label = c.label, k"""
+
+
+@register("naive_bayes_counts", NB_SQL)
+def q_naive_bayes_counts(t):
+    """Fitted multinomial NB statistics (class log-prior, per-feature log
+    likelihood, smoothing 1) on |embedding| -- the counts behind the scores."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.classification import NaiveBayes
+
+    e = t.embeddings.select(F.col("label").cast("double").alias("label"),
+                            array_to_vector(F.transform("embedding", lambda v: F.abs(v.cast("double")))).alias("f"))
+    m = NaiveBayes(featuresCol="f", labelCol="label", smoothing=1.0, modelType="multinomial").fit(e)
+    theta = np.asarray(m.theta.toArray())
+    pi = m.pi.toArray()
+    # MLlib class indices are the label values 0..K-1; the model is K x d numbers
+    rows = [(i, j, float(theta[i, j]), float(pi[i])) for i in range(theta.shape[0]) for j in range(theta.shape[1])]
+    df = t.spark.createDataFrame(rows, "label int, feature int, theta double, pi double")
+    return df.select("label", "feature", F.round("theta", 6).alias("theta"), F.round("pi", 6).alias("pi"))
