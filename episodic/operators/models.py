@@ -306,6 +306,12 @@ def fit_and_score(name: str, params: dict, train: DataFrame, test: DataFrame, ke
     return pred.select(*keep, positive_score(pred, name, model, params).cast("double").alias("score")), model
 
 
+def tree_text(model) -> str | None:
+    """Readable dump of a fitted tree or ensemble (the inspection the tree
+    picture gave); None for non-tree models."""
+    return getattr(model, "toDebugString", None)
+
+
 def feature_importance(name: str, model, names: Sequence[str]) -> pd.DataFrame | None:
     """Coefficients (LR, SVM), class-1 log-likelihoods (NB) or impurity
     importances (trees), sorted descending; None where no importance exists."""

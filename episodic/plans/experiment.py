@@ -20,7 +20,7 @@ from ..session import reuse
 from ..sources.io import append_table
 from .modelling import fold_vectors
 
-KEEP = ["id", "prefix", "label", "gender"]
+KEEP = ["id", "prefix", "label", "gender", "race"]
 
 
 def results_rows(scores: DataFrame, year: int, n_train: int, n_features: int, n_test: int, baseline: float,
@@ -37,6 +37,16 @@ def results_rows(scores: DataFrame, year: int, n_train: int, n_features: int, n_
         F.lit(float(baseline)).alias("baseline"), "auc", *[c for c in wide.columns if c not in keys])
 
 
+def fairness_by_model(scores: DataFrame, pct: float = 10, attrs: Sequence[str] = ("race", "gender"),
+                      min_group_size: int | None = None) -> DataFrame:
+    """Fairness crosstab of every (model, parameters) at once: each model's
+    top ``pct`` percent of the fold is predicted positive, then counts and
+    rates per attribute value -- one grouped job for the whole grid."""
+    keys = ["model", "parameters"]
+    pred = E.label_top_fraction(scores, "score", "id", pct, by=keys)
+    return E.fairness_crosstab(pred, list(attrs), "label", "prediction", keys, min_group_size)
+
+
 def run_fold(wide: DataFrame, year: int, models: Sequence[str], grid: dict, train_start: int = 1995,
              gap_days: int = 365, exclude: tuple[str, str] | None = None,
              subgroups: Sequence[str] = ("MALE", "FEMALE")) -> DataFrame:

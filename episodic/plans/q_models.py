@@ -87,6 +87,18 @@ def q_model_grid_results(t):
     return results_rows(scores, TEST_YEAR, fd.n_train, len(fd.feature_names), fd.n_test, base)
 
 
+@register("fairness_by_model")
+def q_fairness_by_model(t):
+    """Fairness crosstab for every model of the test grid from one scores table."""
+    from .experiment import KEEP as RKEEP
+    from .experiment import fairness_by_model
+
+    fd = fold(t)
+    scores = reuse(M.run_grid(fd.train, fd.test, M.DEFAULT_MODELS, M.GRIDS["test"], RKEEP,
+                              nb_features="nb_features"), "scores")
+    return fairness_by_model(scores)
+
+
 @register("results_by_year")
 def q_results_by_year(t):
     """Two test years x test grid, appended to a year-partitioned results
