@@ -95,11 +95,12 @@ def frame_lookup(
 
 
 def attach(rows: DataFrame, lookup: DataFrame, entity: Sequence[str], day: Column,
-           prefix_cols: dict[str, str] | None = None, how: str = "left") -> DataFrame:
-    """Join a ``frame_lookup`` result back onto ``rows`` by (entity, day)."""
+           rename: dict[str, str] | None = None, how: str = "left") -> DataFrame:
+    """Join a ``frame_lookup`` result back onto ``rows`` by (entity, day),
+    optionally keeping only the lookup columns in ``rename`` (old -> new)."""
     entity = list(entity)
     lk = lookup
-    if prefix_cols:
-        lk = lk.select(*entity, DAY, *[F.col(k).alias(v) for k, v in prefix_cols.items()])
+    if rename:
+        lk = lk.select(*entity, DAY, *[F.col(k).alias(v) for k, v in rename.items()])
     keyed = rows.withColumn(DAY, day)
     return keyed.join(lk, on=[*entity, DAY], how=how).drop(DAY)
