@@ -65,8 +65,10 @@ def recommended_conf(input_bytes: int, cores: int, target_partition_bytes: int =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir``; sets a scratch folder only when the
-    session has none (local tests).  Never used for ``localCheckpoint``.
+    Reads ``spark.checkpoint.dir``.  Only a local master (tests, the bench)
+    gets a scratch folder when it is unset; on a cluster an unset folder is
+    an error, because executors cannot share a machine-local path.  Never
+    used for ``localCheckpoint``.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -74,6 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         conf = tempfile.mkdtemp(prefix="episodic-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
