@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import add_indicators
 from ..operators import preprocess as P
 from ..operators.folds import temporal_test_split, temporal_train_split
+from ..session import reuse
 
 # The continuous features scaled to [0, 1] on train, the ages
 # imputed by the cascade, event counts filled with 0, list-valued and
@@ -77,8 +78,9 @@ def fold_vectors(wide: DataFrame, test_year: int, train_start: int = 1995, gap_d
     train, test = _prepare(train, cascade), _prepare(test, cascade)
 
     mm = P.fit_minmax(train, CONTINUOUS)
-    train = P.apply_minmax(train, mm)
-    test = P.apply_minmax(test, mm)
+    # prepared frames are read by the vocabulary, count and vector jobs below
+    train = reuse(P.apply_minmax(train, mm), "prepared_train")
+    test = reuse(P.apply_minmax(test, mm), "prepared_test")
 
     tok_train = train.withColumn("_tok", _tokens())
     vocab = sorted(r[0] for r in tok_train.select(F.explode("_tok").alias("t")).distinct().collect())
