@@ -205,3 +205,12 @@ def q_feature_table_wide(t):
     wide = feature_table(analog.episodes(t), analog.components(t), analog.attributes(t),
                          analog.events_by_entity(t))
     return wide_rounded(wide)
+
+
+
+@register("feature_table_wide_hot_entity", analog.hot_sql(WIDE_SQL))
+def q_feature_table_wide_hot_entity(t):
+    h = analog.HotTables(t)
+    wide = feature_table(analog.episodes(h), analog.components(h), analog.attributes(h),
+                         analog.events_by_entity(h))
+    return wide_rounded(wide)
