@@ -83,8 +83,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+SPREAD_CONF = "episodic.io.spreadSmallScans"
+
+
+def spread_small(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+    """Spread a small input over all cores.
+
+    A Parquet file with a single row group is read by a single task, and
+    every operator before the first shuffle (joins with broadcast sides,
+    map-side partial aggregation) then runs on one core.  When the relation's
+    size estimate (from file sizes, no job) is between ``min_bytes`` and
+    ``parallelism x spark.sql.files.maxPartitionBytes``, the rows are
+    round-robin repartitioned to the default parallelism; filters and column
+    pruning still reach the scan below it.  Larger inputs arrive as many
+    splits already and are returned unchanged.  Off with
+    ``episodic.io.spreadSmallScans=false``.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(SPREAD_CONF, "true").lower() != "true":
+        return df
+    par = spark.sparkContext.defaultParallelism
+    max_split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics unavailable: leave the scan as it is
+        return df
+    if min_bytes <= size < par * max_split:
+        return df.repartition(par)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_small(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 class Tables:
