@@ -86,14 +86,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 SPREAD_CONF = "episodic.io.spreadSmallScans"
 
 
-def spread_small(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+def spread_small(df: DataFrame, min_bytes: int | None = None) -> DataFrame:
     """Spread a small input over all cores.
 
     A Parquet file with a single row group is read by a single task, and
     every operator before the first shuffle (joins with broadcast sides,
     map-side partial aggregation) then runs on one core.  When the relation's
     size estimate (from file sizes, no job) is between ``min_bytes`` and
-    ``parallelism x spark.sql.files.maxPartitionBytes``, the rows are
+    ``parallelism x spark.sql.files.maxPartitionBytes`` (``min_bytes`` defaults
+    to ``episodic.io.spreadMinBytes``, 8 MB), the rows are
     round-robin repartitioned to the default parallelism; filters and column
     pruning still reach the scan below it.  Larger inputs arrive as many
     splits already and are returned unchanged.  Off with
@@ -102,6 +103,8 @@ def spread_small(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get(SPREAD_CONF, "true").lower() != "true":
         return df
+    if min_bytes is None:
+        min_bytes = int(spark.conf.get("episodic.io.spreadMinBytes", str(8 << 20)))
     par = spark.sparkContext.defaultParallelism
     max_split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
     try:
