@@ -110,3 +110,23 @@ def test_entry_contract(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_results_rows_layout(spark):
+    """One fold x LR test grid: 9 descriptors + auc + 4 metrics x 7 levels,
+    one row per subgroup (TOTAL, MALE, FEMALE)."""
+    from episodic.plans import analog
+    from episodic.plans.experiment import run_fold
+    from episodic.plans.features import feature_table
+    from episodic.session import Tables, reuse
+
+    t = Tables(spark, SF_SMALL)
+    wide = reuse(feature_table(analog.episodes(t), analog.components(t), analog.attributes(t),
+                               analog.events_by_entity(t)))
+    rows = run_fold(wide, 1999, ["LR"], M.GRIDS["test"]).collect()
+    assert sorted(r["gender"] for r in rows) == ["FEMALE", "MALE", "TOTAL"]
+    cols = list(rows[0].asDict())
+    assert len(cols) == 38 and cols[:10] == ["year", "gender", "model", "classifiers", "parameters",
+                                             "train_set_size", "num_features", "validation_set_size",
+                                             "baseline", "auc"]
+    assert cols[10:14] == ["accuracy_1", "precision_1", "recall_1", "f1_1"]
