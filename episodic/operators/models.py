@@ -28,9 +28,8 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import reuse, scratch_table_path
+from ..session import reuse
 
 MAX_DEPTH = 30  # MLlib's limit; deeper requests are clamped and reported
 SEED = 0
@@ -228,54 +227,46 @@ def score_adaboost(test: DataFrame, stumps, algo: str, features: str = "features
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int, weights: str = "uniform", id_col: str = "id",
                 vec: str = "embedding", label: str = "label", block_rows: int = 20000) -> DataFrame:
-    """Exact k-NN vote, brute force in blocks.
-
-    The train side is cut into blocks of at most ``block_rows`` rows; each
-    block is broadcast (its size is bounded by ``block_rows`` x dimension) and
-    every test partition computes distances to it with numpy inside
-    ``mapInPandas``, keeping only its k nearest per test row.  Candidates of
-    all blocks are merged by a grouped top-k, so the result is exact and no
-    (test, train) pair is ever materialised as a row.  Ties in distance are
-    broken by train id; the vote picks the smallest label among equal votes.
+    """Exact k-NN vote by blocked brute force, fully distributed.
+
+    Test and train rows are hashed into blocks of about ``block_rows`` rows;
+    each (test block, train block) pair is one cogroup task that computes the
+    distances with numpy and keeps only the k nearest train rows per test
+    row.  A grouped top-k then merges the candidates of all train blocks, so
+    the result is exact, no task holds more than two blocks, nothing passes
+    through the driver, and no (test, train) pair is materialised as a row.
+    Ties in distance are broken by train id; the vote picks the smallest
+    label among equal votes.
     """
-    spark = train.sparkSession
-    n = train.count()
-    nblocks = max(1, math.ceil(n / block_rows))
-    # one write, partitioned by block: each block read below prunes to its files
-    path = scratch_table_path(spark, "knn_train")
-    (train.select(id_col, vec, label).withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(nblocks)))
-     .write.partitionBy("_b").parquet(path))
-    tb = spark.read.parquet(path)
-    cand = None
-    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("nid", T.LongType()),
-                           T.StructField("dist", T.DoubleType()), T.StructField("nlabel", T.LongType())])
-    for b in range(nblocks):
-        rows = tb.where(F.col("_b") == b).select(id_col, vec, label).collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        mat = np.array([r[1] for r in rows], dtype=np.float64)
-        labs = np.array([r[2] for r in rows], dtype=np.int64)
-        bc = spark.sparkContext.broadcast((ids, mat, labs))
-
-        def nearest(it, bc=bc):
-            tids, tmat, tlabs = bc.value
-            kk = min(k, len(tids))
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                q = np.stack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-                d2 = (q * q).sum(1)[:, None] - 2 * q @ tmat.T + (tmat * tmat).sum(1)[None, :]
-                d = np.sqrt(np.maximum(d2, 0.0))
-                order = np.lexsort((np.broadcast_to(tids, d.shape), d), axis=1)[:, :kk]
-                rows_i = np.repeat(np.arange(len(pdf)), kk)
-                cols_i = order.reshape(-1)
-                yield pd.DataFrame({"qid": np.repeat(pdf[id_col].to_numpy(dtype=np.int64), kk),
-                                    "nid": tids[cols_i], "dist": d[rows_i, cols_i], "nlabel": tlabs[cols_i]})
-
-        part = test.select(id_col, vec).mapInPandas(nearest, schema)
-        cand = part if cand is None else cand.unionByName(part)
     from pyspark.sql import Window
+
+    n_train, n_test = train.count(), test.count()
+    rb = max(1, math.ceil(n_train / block_rows))
+    tb = max(1, math.ceil(n_test / block_rows))
+    q = (test.select(F.col(id_col).alias("qid"), F.col(vec).alias("qv"))
+         .withColumn("tb", F.pmod(F.xxhash64("qid"), F.lit(tb)).cast("int"))
+         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
+    r = (train.select(F.col(id_col).alias("nid"), F.col(vec).alias("nv"), F.col(label).cast("long").alias("nlabel"))
+         .withColumn("rb", F.pmod(F.xxhash64("nid"), F.lit(rb)).cast("int"))
+         .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)))))
+    schema = "qid long, nid long, dist double, nlabel long"
+
+    def nearest(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or rp.empty:
+            return pd.DataFrame({"qid": [], "nid": [], "dist": [], "nlabel": []})
+        qm = np.stack([np.asarray(v, dtype=np.float64) for v in qp["qv"]])
+        tm = np.stack([np.asarray(v, dtype=np.float64) for v in rp["nv"]])
+        tids = rp["nid"].to_numpy(dtype=np.int64)
+        d2 = (qm * qm).sum(1)[:, None] - 2 * qm @ tm.T + (tm * tm).sum(1)[None, :]
+        d = np.sqrt(np.maximum(d2, 0.0))
+        kk = min(k, len(tids))
+        order = np.lexsort((np.broadcast_to(tids, d.shape), d), axis=1)[:, :kk]
+        rows_i = np.repeat(np.arange(len(qp)), kk)
+        cols_i = order.reshape(-1)
+        return pd.DataFrame({"qid": np.repeat(qp["qid"].to_numpy(dtype=np.int64), kk), "nid": tids[cols_i],
+                             "dist": d[rows_i, cols_i], "nlabel": rp["nlabel"].to_numpy(dtype=np.int64)[cols_i]})
+
+    cand = q.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb")).applyInPandas(nearest, schema)
     w = Window.partitionBy("qid").orderBy("dist", "nid")
     top = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     wt = F.lit(1.0) if weights == "uniform" else F.when(F.col("dist") > 0, 1.0 / F.col("dist")).otherwise(F.lit(1e300))
