@@ -73,6 +73,43 @@ def history(
     return out
 
 
+def history_frames(
+    episodes: DataFrame,
+    specs: dict[str, tuple[str, str, int]],
+    entity: str = "id",
+    end: str = "end_date",
+    truncate: tuple[str, ...] = (),
+) -> DataFrame:
+    """Several history frames in one pass: ``specs`` maps an output prefix to
+    ``(value column, frame, days)``.
+
+    All values are pre-aggregated in one (entity, day) aggregate, and all
+    frames share one window partitioning and order, so the plan has a single
+    aggregate, a single exchange by entity and a single window node however
+    many frames are asked for.  Adds ``<prefix>_total``, ``<prefix>_count``
+    and ``<prefix>_mean`` (integer-truncated for prefixes in ``truncate``).
+    """
+    values = sorted({v for v, _, _ in specs.values()})
+    vname = {v: f"_v{i}" for i, v in enumerate(values)}
+    rows = episodes.where(F.col(end).isNotNull()).select(
+        entity, day_number(end).alias("_day"), F.lit(1).cast("long").alias("_n"),
+        *[F.col(v).alias(vname[v]) for v in values])
+    per_day = rows.groupBy(entity, "_day").agg(F.sum("_n").alias("_n"),
+                                               *[F.sum(n).alias(n) for n in vname.values()])
+    w = Window.partitionBy(entity).orderBy("_day")
+    outs = []
+    for prefix, (value, frame, days) in specs.items():
+        fw = w.rangeBetween(*FRAMES[frame](days))
+        outs += [F.sum(vname[value]).over(fw).alias(f"{prefix}_total"), F.sum("_n").over(fw).alias(f"{prefix}_count")]
+    lookup = per_day.select(entity, "_day", *outs)
+    out = attach(episodes, lookup, [entity], day_number(end))
+    for prefix in specs:
+        tot, cnt = F.col(f"{prefix}_total"), F.col(f"{prefix}_count")
+        mean = truncating_mean(tot, cnt) if prefix in truncate else tot.cast("double") / cnt
+        out = out.withColumn(f"{prefix}_mean", mean)
+    return out
+
+
 def history_naive(episodes: DataFrame, value: str, frame: str = "all_prior", days: int = 1825,
                   entity: str = "id", end: str = "end_date") -> DataFrame:
     """Reference form for comparison only: the per-entity self join.

@@ -140,3 +140,22 @@ def test_history_naive_agrees(spark):
     a = {r["prefix"]: (r["total"], r["n"]) for r in history(df, "v", "trailing", 40, count_col="n").collect()}
     b = {r["prefix"]: (r["total"], r["n"]) for r in history_naive(df, "v", "trailing", 40).collect()}
     assert a == b
+
+
+def test_history_frames_one_pass_equals_single_frames(spark):
+    from episodic.operators.history import history_frames
+
+    df = spark.createDataFrame([(i % 3, i, D(2000, 1, 1) + dt.timedelta(days=(i * 97) % 3000), i % 5, float(i))
+                                for i in range(60)], "id long, prefix long, end_date date, c long, d double")
+    multi = history_frames(df, {"c_all": ("c", "all_prior", 0), "c_5y": ("c", "trailing", 1825),
+                                "d_5y": ("d", "lower_bound_only", 1825)}, truncate=("c_all", "c_5y"))
+    got = {r["prefix"]: r for r in multi.collect()}
+    for prefix_, (v, frame, days, trunc) in {"c_all": ("c", "all_prior", 0, True), "c_5y": ("c", "trailing", 1825, True),
+                                             "d_5y": ("d", "lower_bound_only", 1825, False)}.items():
+        single = history(df, v, frame, days, count_col="n", mean_col="m", mean="truncate" if trunc else "real")
+        for r in single.collect():
+            g = got[r["prefix"]]
+            assert (g[f"{prefix_}_total"], g[f"{prefix_}_count"], g[f"{prefix_}_mean"]) == (r["total"], r["n"], r["m"])
+    multi.write.format("noop").mode("overwrite").save()
+    plan = multi._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1  # three frames, one window node
