@@ -130,3 +130,21 @@ def test_results_rows_layout(spark):
                                              "train_set_size", "num_features", "validation_set_size",
                                              "baseline", "auc"]
     assert cols[10:14] == ["accuracy_1", "precision_1", "recall_1", "f1_1"]
+
+
+def test_spread_small_inputs_only(spark):
+    from episodic.session import recommended_conf, spread_small
+
+    big = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")   # one row group, ~10 MB
+    tiny = spark.read.parquet(f"{SF_SMALL}/region.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan(spread_small(big))
+    assert "RoundRobinPartitioning" not in plan(spread_small(tiny))
+    spark.conf.set("episodic.io.spreadSmallScans", "false")
+    try:
+        assert "RoundRobinPartitioning" not in plan(spread_small(big))
+    finally:
+        spark.conf.unset("episodic.io.spreadSmallScans")
+    conf = recommended_conf(100 << 40, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
