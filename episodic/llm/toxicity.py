@@ -1,12 +1,14 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-The kernel of two strings counts the subsequences of three letters they share,
-each occurrence weighted by ``GAP ** (letters skipped)`` and spanning at most
-``SPAN`` characters, so gapped and inserted-character spellings stay near the
-plain one; a string's occurrences are divided by their root sum of squares.
-Units are words (split at white space, lower case) and runs of at least three
-single characters joined to one word; a unit longer than ``LONGEST``
-characters is taken by overlapping windows.
+The kernel of two strings counts the subsequences they share, each occurrence
+weighted by ``GAP ** (characters skipped)``: those of three letters within
+``SPAN`` characters, so that gapped and inserted-character spellings stay near
+the plain one, and those of six with at most one character skipped, which tell
+stems apart (hashed to 2**16 features).  The occurrences of either length are
+divided by their root sum of squares.  A string has a mark at its start and
+end.  Units are words (split at white space, lower case, punctuation at the
+ends cut off) and runs of at least three single characters joined to one word;
+a unit longer than ``LONGEST`` characters is taken by overlapping windows.
 
 Training: sentences inherit the label of their document, and a toxic document
 needs one toxic unit only (multiple instances).  Units that stand in toxic
@@ -46,17 +48,23 @@ POSITIVES, NEGATIVES, LANDMARKS = 3000, 30_000, 128
 GAP, SPAN, LONGEST = 0.6, 6, 24
 THRESHOLD = 0.3
 LETTERS = 32
-DIMENSIONS = LETTERS ** 3
+HASHED = 16  # bits of a feature of six letters
+DIMENSIONS = LETTERS ** 3 + (1 << HASHED)
 SIGNIFICANT = 8.0  # log-likelihood ratio of a positive instance
-GAPS = [(a, b, np.float32(GAP ** (a + b - 2))) for a in range(1, SPAN) for b in range(1, SPAN - a)]
+START, END = "\x02", "\x03"
+EDGES = " \t.,;:!?\"'()[]{}<>|*_~`+=/\\-"
+#: Places of three letters, and of six with at most one skipped character, with their weights.
+THREE = [((0, a, a + b), np.float32(GAP ** (a + b - 2))) for a in range(1, SPAN) for b in range(1, SPAN - a)]
+SIX = [(tuple(k + (k >= skip) for k in range(6)), np.float32(1 if skip == 6 else GAP)) for skip in range(1, 7)]
 
 
 def _letter_codes() -> np.ndarray:
-    """1 to 26 for a to z, 27 to 31 for other letters, 0 for what isn't a letter."""
+    """1 to 26 for a to z, 27 to 29 for other letters, 30 and 31 for the marks, 0 for what isn't a letter."""
     out = np.zeros(0x3000, np.uint8)
     for c in range(len(out)):
         if chr(c).isalpha():
-            out[c] = c - 96 if 97 <= c <= 122 else 27 + c % 5
+            out[c] = c - 96 if 97 <= c <= 122 else 27 + c % 3
+    out[ord(START)], out[ord(END)] = 30, 31
     return out
 
 
@@ -65,29 +73,62 @@ CODES = _letter_codes()
 
 def _codes(words: list[str], width: int) -> np.ndarray:
     points = np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width)
-    return np.where(points < len(CODES), CODES[np.minimum(points, len(CODES) - 1)], 27 + points % 5).astype(np.uint16)
+    return np.where(points < len(CODES), CODES[np.minimum(points, len(CODES) - 1)], 27 + points % 3).astype(np.uint32)
+
+
+def _features(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.float32]]:
+    """Part (0: three letters, 1: six), feature numbers, whether an occurrence is there, and weight, place by place."""
+    on = codes > 0
+    for part, places in enumerate((THREE, SIX)):
+        for place, w in places:
+            n = codes.shape[1] - place[-1]
+            if n < 1:
+                continue
+            u, there = codes[:, :n], on[:, :n]
+            for k in place[1:]:
+                u = u * np.uint32(LETTERS) + codes[:, k:k + n]
+                there = there & on[:, k:k + n]
+            if part:
+                u = np.uint32(LETTERS ** 3) + ((u * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASHED))
+            yield part, u, there, w
+
+
+def bounded(word: str) -> str:
+    return START + word + END
 
 
 def occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word number, subsequence number and weight of every occurrence, for words up to ``LONGEST``."""
-    codes = _codes(words, LONGEST)
-    rows, subs, weights = [], [], []
-    for a, b, w in GAPS:
-        x, y, z = codes[:, :LONGEST - a - b], codes[:, a:LONGEST - b], codes[:, a + b:]
-        i, j = np.nonzero((x > 0) & (y > 0) & (z > 0))
+    """Word number, feature and normalised weight of every occurrence, for words up to ``LONGEST``."""
+    rows, subs, weights, square = [], [], [], np.full((2, len(words)), 1e-9)
+    for part, u, there, w in _features(_codes([bounded(x) for x in words], LONGEST + 2)):
+        i, j = np.nonzero(there)
         rows.append(i)
-        subs.append((x[i, j].astype(np.int64) * LETTERS + y[i, j]) * LETTERS + z[i, j])
-        weights.append(np.full(len(i), w))
-    return np.concatenate(rows), np.concatenate(subs), np.concatenate(weights)
+        subs.append(u[i, j].astype(np.int64))
+        weights.append((part, w))
+        square[part] += w * w * there.sum(axis=1)
+    size = np.sqrt(square)
+    scaled = [w / size[part, i] for (part, w), i in zip(weights, rows, strict=True)]
+    return np.concatenate(rows), np.concatenate(subs), np.concatenate(scaled)
+
+
+def kernel(words: list[str], rows: np.ndarray) -> np.ndarray:
+    """Kernel of words with landmarks; ``rows`` has one row for each feature and one column for each landmark."""
+    out = np.zeros((len(words), rows.shape[1]))
+    for cut in range(0, len(words), 500):
+        part = words[cut:cut + 500]
+        i, u, w = occurrences(part)
+        order = np.argsort(i, kind="stable")
+        i, u, w = i[order], u[order], w[order]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+        if len(i):
+            out[cut + i[first]] = np.add.reduceat(rows[u] * w[:, None], first, axis=0)
+    return out
 
 
-def embed(words: list[str]) -> np.ndarray:
-    """Explicit feature vectors, for a few thousand words at a time."""
-    i, u, w = occurrences(words)
-    norm = np.sqrt(np.bincount(i, w * w, minlength=len(words)))
-    out = np.zeros((len(words), DIMENSIONS), np.float32)
-    np.add.at(out, (i, u), w / norm[i])
-    return out
+def embedded(word: str) -> np.ndarray:
+    """A word's explicit feature vector."""
+    _, u, w = occurrences([word])
+    return np.bincount(u, w, minlength=DIMENSIONS).astype(np.float32)
 
 
 @dataclass
@@ -96,45 +137,39 @@ class ToxicityModel:
 
     weights: np.ndarray
     bias: float
-    curve: np.ndarray  # of 1, largest decision, log(1 + units above zero)
+    curve: np.ndarray  # of 1, largest decision, log(1 + units above zero), log(1 + units)
 
     def decisions(self, words: list[str]) -> np.ndarray:
         """The machine's decision for each (lower-case) word."""
         out = np.full(len(words), self.bias, np.float32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for low, width in ((2, 8), (8, 16), (16, LONGEST)):
-            at = np.flatnonzero((sizes > low) & (sizes <= width))
-            for cut in range(0, len(at), 50_000):
-                part = at[cut:cut + 50_000]
-                out[part] = self._short([words[i] for i in part], width)
+        for low, high in ((1, 8), (8, 14), (14, LONGEST)):
+            at = np.flatnonzero((sizes > low) & (sizes <= high))
+            for cut in range(0, len(at), 20_000):
+                part = at[cut:cut + 20_000]
+                out[part] = self._short([bounded(words[i]) for i in part], high + 2)
         for i in np.flatnonzero(sizes > LONGEST):
-            w = words[i]
-            out[i] = self._short([w[k:k + LONGEST] for k in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)], LONGEST).max()
+            w = bounded(words[i])
+            out[i] = self._short([w[k:k + LONGEST] for k in range(0, len(w) - LONGEST // 2, LONGEST // 2)], LONGEST).max()
         return out
 
     def _short(self, words: list[str], width: int) -> np.ndarray:
-        codes = _codes(words, width).astype(np.int32)
-        on = codes > 0
-        total, square = np.zeros(len(words), np.float32), np.zeros(len(words), np.float32)
-        for a, b, w in GAPS:
-            if a + b >= width:
-                continue
-            n = width - a - b
-            u = (codes[:, :n] * LETTERS + codes[:, a:a + n]) * LETTERS + codes[:, a + b:]
-            total += w * self.weights[u].sum(axis=1)  # the table is 0 where a letter is missing
-            square += w * w * (on[:, :n] & on[:, a:a + n] & on[:, a + b:]).sum(axis=1)
-        return total / np.sqrt(np.maximum(square, 1e-9)) + np.float32(self.bias)
-
-    def signs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's largest decision (-2 without units) and number of units above zero."""
+        total, square = np.zeros((2, len(words)), np.float32), np.full((2, len(words)), 1e-9, np.float32)
+        for part, u, there, w in _features(_codes(words, width)):
+            total[part] += w * (self.weights[u] * there).sum(axis=1)
+            square[part] += w * w * there.sum(axis=1)
+        return (total / np.sqrt(square)).sum(axis=0) + np.float32(self.bias)
+
+    def signs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's largest decision (-2 without units), number of units above zero, and of units."""
         lists = pc.utf8_split_whitespace(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
         most, count = np.full(len(texts), -2.0, np.float32), np.zeros(len(texts), np.int64)
         if not len(coded):
-            return most, count
-        words = pc.utf8_lower(coded.dictionary).to_pylist()
+            return most, count, count
+        words = pc.utf8_trim(pc.utf8_lower(coded.dictionary), EDGES).to_pylist()
         index = coded.indices.to_numpy()
         d = self.decisions(words)[index]
         full = np.flatnonzero(np.diff(offsets))
@@ -144,11 +179,10 @@ class ToxicityModel:
             x = float(self.decisions([unit])[0])
             most[text] = max(most[text], x)
             count[text] += x > 0
-        return most, count
+        return most, count, np.diff(offsets)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        most, count = self.signs(texts)
-        return _sigmoid(_curve_inputs(most, count) @ self.curve)
+        return _sigmoid(_curve_inputs(*self.signs(texts)) @ self.curve)
 
 
 def spaced_units(words: list[str], index: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str]]:
@@ -167,7 +201,7 @@ def spaced_units(words: list[str], index: np.ndarray, offsets: np.ndarray) -> It
 
 def text_units(text: str) -> set[str]:
     """Distinct units of one text."""
-    words = text.lower().split()
+    words = [w.strip(EDGES) for w in text.lower().split()]
     units = set(words)
     units.update(u for _, u in spaced_units(words, np.arange(len(words)), np.array([0, len(words)])))
     return units
@@ -177,8 +211,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _curve_inputs(most: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(most)), np.clip(most, -2, 2), np.log1p(count)], axis=1)
+def _curve_inputs(most: np.ndarray, count: np.ndarray, units: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(most)), np.clip(most, -2, 2), np.log1p(count), np.log1p(units)], axis=1)
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
@@ -200,7 +234,7 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> t
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     beta = np.zeros(x.shape[1])
-    reg = np.array([1e-6, 1e-2, 1e-2])
+    reg = np.array([1e-6, 1e-2, 1e-2, 1e-2])
     for _ in range(50):
         p = _sigmoid(x @ beta)
         h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(reg)
@@ -212,31 +246,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit_units(units: list[str], positive: np.ndarray, weight: np.ndarray, landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
-    """Subsequence weights and bias of the machine from labelled units."""
-    rank = np.argsort(-weight * positive, kind="stable")
-    chosen: list[int] = []
-    rows = np.zeros((0, DIMENSIONS), np.float32)
-    for i in rank:  # distinct positive instances, those of most documents first
+    """Feature weights and bias of the machine from labelled units."""
+    chosen: list[np.ndarray] = []
+    for i in np.argsort(-weight * positive, kind="stable"):  # distinct positive instances, those of most documents first
         if not positive[i] or len(chosen) >= landmarks // 2:
             break
-        e = embed([units[i]])
-        if e.any() and (not chosen or float((rows @ e[0]).max()) < 0.8):
-            chosen.append(int(i))
-            rows = np.vstack([rows, e])
-    near = []
+        e = embedded(units[i])
+        if e.any() and all(float(e @ c) < 1.5 for c in chosen):
+            chosen.append(e)
     others = np.flatnonzero(~positive)
-    for cut in range(0, len(others), 2000):
-        near.append((embed([units[i] for i in others[cut:cut + 2000]]) @ rows.T).max(axis=1, initial=0))
-    hard = others[np.argsort(-np.concatenate(near), kind="stable")[:landmarks - len(chosen)]] if near else others
-    rows = np.vstack([rows, embed([units[i] for i in hard])]) if len(hard) else rows
-    value, vector = np.linalg.eigh(rows @ rows.T)
-    root = (vector / np.sqrt(np.maximum(value, 1e-6))) @ vector.T * 1.0
-    z = np.vstack([embed(units[cut:cut + 2000]) @ rows.T @ root for cut in range(0, len(units), 2000)])
+    near = kernel([units[i] for i in others], np.stack(chosen, axis=1)).max(axis=1)
+    hard = others[np.argsort(-near, kind="stable")[:landmarks - len(chosen)]]
+    rows = np.stack([*chosen, *(embedded(units[i]) for i in hard)], axis=1)
+    value, vector = np.linalg.eigh((rows.T @ rows).astype(np.float64))
+    root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    z = kernel(units, rows) @ root
     y = np.where(positive, 1.0, -1.0)
-    share = np.where(positive, 0.5 * weight / weight[positive].sum(), 1.0 * weight / weight[~positive].sum())
+    share = np.where(positive, weight / weight[positive].sum(), weight / weight[~positive].sum())
     beta, bias = _svm(z, y, share * 100)
-    out = (rows.T @ (root @ beta)).astype(np.float32)
-    return out, bias
+    return (rows @ (root @ beta)).astype(np.float32), bias
 
 
 def train(documents: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> ToxicityModel | None:
@@ -275,18 +303,18 @@ def train(documents: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS
     words = [r["unit"] for r in pos] + [r["unit"] for r in neg]
     weight = np.array([r["a"] for r in pos] + [1.0] * len(neg), np.float64)
     table_, bias = fit_units(words, np.arange(len(words)) < len(pos), weight)
-    model = ToxicityModel(table_, bias, np.zeros(3))
+    model = ToxicityModel(table_, bias, np.zeros(4))
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in text_slices(batch):
-                most, count = model.signs(cut.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(most), pa.array(count), cut.column("toxic")], names=["most", "n", "toxic"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, model.signs(cut.column("text"))), cut.column("toxic")],
+                                                 names=["most", "n", "units", "toxic"])
 
-    seen = sample.mapInArrow(signs, "most float, n long, toxic int").collect()  # one row for each sampled document
-    most, count, y = (np.array([r[k] for r in seen], np.float64) for k in range(3))
+    seen = sample.mapInArrow(signs, "most float, n long, units long, toxic int").collect()  # one row for each sampled document
+    most, count, units_, y = (np.array([r[k] for r in seen], np.float64) for k in range(4))
     prior = np.where(y == 1, sizes[1] / n1, sizes[0] / n0)
-    model.curve = _logistic(_curve_inputs(most, count), y, prior)
+    model.curve = _logistic(_curve_inputs(most, count, units_), y, prior)
     return model
 
 
