@@ -283,7 +283,7 @@ def training_windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, tags[a:b]
 
 
-def fit(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> SecretModel:
+def fit(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> SecretModel:
     """Maximises the penalised CRF likelihood of all windows together by Adam; forward and backward sums run over a padded batch."""
     n, longest = len(windows), max(len(t) for _, t in windows)
     x = np.zeros((n, longest, N_FEATURES), np.float32)
