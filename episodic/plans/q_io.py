@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import io as IO
+from ..session import TABLES
 from . import analog
 from .analog import with_ctes
 from .catalog import i64, register
@@ -75,11 +76,30 @@ CUSTOMER_SCHEMA = T.StructType([
     T.StructField("c_mktsegment", T.StringType())])
 
 
-@register("scan_csv_roundtrip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+# texts that need quoting: quotes, separators, line ends and NUL bytes (which the reader removes)
+@register("scan_csv_roundtrip", """
+SELECT c_custkey, c_name || CASE c_custkey % 4 WHEN 0 THEN ' "x", y' WHEN 1 THEN chr(10) || 'next' WHEN 2 THEN '"' ELSE '' END AS c_name,
+       c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def q_scan_csv_roundtrip(t):
     path = IO.scratch_path(t.spark, "csv")
-    IO.write_csv(t.customer.select(*CUSTOMER_COLS), path)
-    return IO.read_csv_checked(t.spark, path, CUSTOMER_SCHEMA)
+    k = F.col("c_custkey") % 4
+    odd = F.when(k == 0, ' "x", y').when(k == 1, "\nnext").when(k == 2, '"').otherwise("\u0000")
+    rows = t.customer.select(*CUSTOMER_COLS).withColumn("c_name", F.concat("c_name", odd))
+    IO.write_csv(rows, path)
+    return IO.read_csv_checked(t.spark, path, IO.scratch_path(t.spark, "rejects"), CUSTOMER_SCHEMA)
+
+
+@register("csv_bad_rows", """
+SELECT c_custkey || ',' || c_name || ',x,y' AS value FROM customer WHERE c_custkey % 3 = 0""")
+def q_csv_bad_rows(t):
+    """Every third row has a field too many, the next one a field too few."""
+    path, bad = IO.scratch_path(t.spark, "csv"), IO.scratch_path(t.spark, "rejects")
+    k = F.col("c_custkey") % 3
+    line = F.concat_ws(",", "c_custkey", F.when(k != 1, F.col("c_name")), F.lit("x"), F.when(k == 0, "y"))
+    body = t.customer.select(line.alias("custkey,name,flag"))
+    body.write.option("header", True).option("quote", "\u0000").option("escapeQuotes", False).csv(path)
+    IO.read_csv_checked(t.spark, path, bad)
+    return t.spark.read.text(bad)
 
 
 @register("clean_column_names", """
@@ -90,7 +110,7 @@ def q_clean_column_names(t):
     return IO.clean_column_names(dirty)
 
 
-LOADED = ["region", "nation", "supplier", "customer", "orders"]
+LOADED = list(TABLES)
 
 
 @register("load_tables", "\nUNION ALL\n".join(
@@ -111,12 +131,13 @@ def q_materialise_roundtrip(t):
     return IO.materialise(analog.episodes(t), IO.scratch_path(t.spark, "episodes"))
 
 
-@register("append_table", with_ctes(["episodes"], "SELECT * FROM episodes WHERE year(end_date) IN (1996, 1997)"))
+@register("append_table", with_ctes(["episodes"], "SELECT * FROM episodes"))
 def q_append_table(t):
     e = analog.episodes(t)
     path = IO.scratch_path(t.spark, "append")
-    IO.materialise(e.where(F.year("end_date") == 1996), path)
-    IO.append_table(e.where(F.year("end_date") == 1997), path)
+    odd = F.year("end_date") % 2 == 1
+    IO.materialise(e.where(odd), path)
+    IO.append_table(e.where(~odd | odd.isNull()), path)
     return t.spark.read.parquet(path)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import clean_strings
-from ..session import scratch_table_path
+from ..session import scratch_table_path, reuse
 
 # ------------------------------------------------------------ paths
 
@@ -89,38 +89,40 @@ def layout_from_definition(lines: DataFrame, line_no: str = "line_no", text: str
 
 # ------------------------------------------------------------ A4-A6 CSV
 
-_SPLIT_CSV = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# one quoting rule for both directions: quotes double inside quotes, rows may span lines
+CSV_RULE = {"quote": '"', "escape": '"', "multiLine": "true", "header": "true"}
 
 
-def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                     bad_records: str | None = None) -> DataFrame:
+def read_csv_checked(spark: SparkSession, path: str, bad_records: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header: NUL bytes removed, ``''`` -> NULL, rows with fewer
     fields than the header dropped, rows with more written to ``bad_records``
-    (when given) and dropped.  Values stay strings unless ``schema`` says
-    otherwise."""
-    lines = spark.read.text(path).select(F.translate("value", "\u0000", "").alias("value"))
-    header = lines.first()["value"]
-    names = [h.strip().strip('"') for h in header.split(",")]
-    n = len(names)
-    body = lines.where(F.col("value") != F.lit(header))
-    nf = F.size(F.split("value", _SPLIT_CSV))
-    if bad_records:
-        body.where(nf > n).write.mode("overwrite").text(bad_records)
-    good = body.where(nf == n)
-    str_schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    parsed = good.select(F.from_csv("value", str_schema.simpleString()).alias("r")).select("r.*")
-    parsed = parsed.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in names])
-    if schema is not None:
-        parsed = parsed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    return parsed
+    as text.  Values stay strings unless ``schema`` says otherwise.
+
+    Spark's reader marks rows of another length as corrupt; only those are
+    looked at again, to tell long from short.
+    """
+    names = [c.translate({0: None}).strip() for c in spark.read.options(**CSV_RULE).csv(path).columns]
+    wanted = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_corrupt"]])
+    rows = spark.read.options(**CSV_RULE, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE").schema(wanted).csv(path)
+    rows = reuse(rows, "csv")  # parsed once for both kinds of rows
+    odd = rows.where(F.col("_corrupt").isNotNull()).select(F.translate("_corrupt", "\u0000", "").alias("value"))
+    # an unquoted empty field is read as NULL and must count as a field here
+    cells = F.from_csv(F.regexp_replace("value", r",(?=,|$)", ",x"), ", ".join(f"`_{i}` STRING" for i in range(len(names) + 1)),
+                       {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    odd.where(cells[f"_{len(names)}"].isNotNull()).write.mode("overwrite").text(bad_records, lineSep="\n")
+    good = rows.where(F.col("_corrupt").isNull())
+    text = good.select(*[F.nullif(F.translate(F.col(f"`{c}`"), "\u0000", ""), F.lit("")).alias(c) for c in names])
+    if schema is None:
+        return text
+    return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV_RULE).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    r = spark.read.option("header", True)
+    r = spark.read.options(**CSV_RULE)
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
@@ -162,7 +164,11 @@ def load_tables(spark: SparkSession, src_dir: str, names: Sequence[str], dst_dir
 
 def materialise(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> DataFrame:
     """Write a query result (replacing what was there) and read it back --
-    lineage is cut at a durable table."""
+    lineage is cut at a durable table.  A query that reads ``path`` itself is
+    refused: overwriting would delete its input first."""
+    if mode == "overwrite" and any(f.split(":", 1)[-1].lstrip("/").startswith(path.split(":", 1)[-1].lstrip("/").rstrip("/") + "/")
+                                   for f in df.inputFiles()):
+        raise ValueError(f"the query reads {path}, which it would overwrite")
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
