@@ -4,8 +4,7 @@ AUC with ties, score histograms, per-subgroup metrics, fairness crosstab.
 Inputs are long score tables ``(group keys..., id, label, score, attrs)``:
 any number of folds x models x parameter points in one DataFrame, evaluated
 by one grouped job each -- never a per-model driver loop over collected
-scores.  Ranking is exact; a group too big for one task is ranked by the
-range-partitioned ``global_rank`` (see ``ranking.rank``).
+scores.  Ranking is exact and range-partitioned (see ``ranking.rank``).
 """
 
 from __future__ import annotations
@@ -37,18 +36,18 @@ def cutoff(n: Column, pct: float, rounding: str = "half_even") -> Column:
     raise ValueError(rounding)
 
 
-def rank_scores(df: DataFrame, score: str, tiebreak: str, by: Sequence[str] = (), strategy: str = "auto",
-                **kw) -> DataFrame:
-    """Descending score rank per group, ties broken by ``tiebreak`` ascending
-    (exact; strategy chosen by group size, see ``ranking.rank``)."""
-    return rank(df, [F.col(score).desc_nulls_last(), F.col(tiebreak).asc()], by, strategy, **kw)
+def rank_scores(df: DataFrame, score: str, tiebreak: str | Sequence[str], by: Sequence[str] = (), **kw) -> DataFrame:
+    """Descending score rank per group, ties broken by the ``tiebreak``
+    columns ascending (exact, see ``ranking.rank``)."""
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    return rank(df, [F.col(score).desc_nulls_last(), *[F.col(c).asc() for c in ties]], by, **kw)
 
 
-def label_top_fraction(df: DataFrame, score: str = "score", tiebreak: str = "id", pct: float = 10,
+def label_top_fraction(df: DataFrame, score: str = "score", tiebreak: str | Sequence[str] = "id", pct: float = 10,
                        by: Sequence[str] = (), rounding: str = "half_even", out: str = "prediction",
-                       ranked: bool = False, strategy: str = "auto") -> DataFrame:
+                       ranked: bool = False) -> DataFrame:
     """1 for the ``k`` highest scores of each group (``k`` from ``cutoff``), else 0."""
-    r = df if ranked else rank_scores(df, score, tiebreak, by, strategy)
+    r = df if ranked else rank_scores(df, score, tiebreak, by)
     res = r.withColumn(out, (F.col(RANK) <= cutoff(F.col(GROUP_N), pct, rounding)).cast("int"))
     return res if ranked else res.drop(RANK, GROUP_N)
 
@@ -139,8 +138,13 @@ def score_histogram(df: DataFrame, score: str = "score", by: Sequence[str] = (),
     lo_c = F.when(F.col("_hi") > F.col("_lo"), F.col("_lo")).otherwise(F.col("_lo") - 0.5)
     hi_c = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(F.col("_hi") + 0.5)
     if by:
-        rng = df.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-        x = df.join(rng.select(*by, lo_c.alias("_lo"), hi_c.alias("_hi")), list(by), "inner")
+        rng = df.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(
+            F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+        rng = rng.select(*[f"_g{i}" for i in range(len(by))], lo_c.alias("_lo"), hi_c.alias("_hi"))
+        same = F.lit(True)
+        for i, c in enumerate(by):  # NULL is a group of its own
+            same = same & df[c].eqNullSafe(F.col(f"_g{i}"))
+        x = df.join(rng, same)
     else:
         # one group: its range is one row, inlined as literals
         lo, hi = df.agg(F.min(score), F.max(score)).first()

@@ -2,7 +2,7 @@
 
 ``Window.partitionBy(group).orderBy(score)`` sends a whole group to one task;
 with one test fold holding a third of all scored rows that task holds a third
-of the data.  ``global_rank`` instead:
+of the data.  ``rank`` instead:
 
 1. range-partitions the rows on ``(group..., order...)`` -- Spark samples the
    key distribution, so every partition receives a similar share even when
@@ -16,7 +16,7 @@ of the data.  ``global_rank`` instead:
 4. aggregates one small row per (partition, group) -- count and first id --
    and turns it into per-partition offsets with a window over that tiny
    table (rows = partitions x groups spanned, independent of row count);
-5. joins the offsets back (AQE broadcasts the tiny side after measuring it):
+5. joins the offsets back, null-safe (AQE broadcasts the tiny side after measuring it):
    ``rank = offset + (id - first id) + 1``.
 
 Ties are broken by the order columns given (callers append a unique key).
@@ -42,34 +42,10 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-MAX_GROUP_CONF = "episodic.rank.maxGroupRowsPerTask"
-DEFAULT_MAX_GROUP = 2_000_000
-
-
-def rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), strategy: str = "auto",
-         max_group_rows: int | None = None) -> DataFrame:
-    """Add ``_rank`` and ``_group_n``, choosing the physical strategy.
-
-    ``auto`` measures the largest group with one grouped count (partial
-    aggregation, a few bytes per group reach the driver) and uses the plain
-    window when every group fits one task (``max_group_rows``, default 2M or
-    the session conf ``episodic.rank.maxGroupRowsPerTask``), else the
-    range-partitioned ``global_rank``.  ``window`` / ``range`` force one.
-    """
-    if strategy == "window":
-        return window_rank(df, order, by)
-    if strategy == "range":
-        return global_rank(df, order, by)
-    limit = max_group_rows or int(df.sparkSession.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP)))
-    sizes = df.groupBy(*by).count() if by else df.select(F.count(F.lit(1)).alias("count"))
-    biggest = sizes.agg(F.max("count")).first()[0] or 0
-    return window_rank(df, order, by) if biggest <= limit else global_rank(df, order, by)
-
-
-def global_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
-                num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+def rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """Add ``_rank`` (1-based position within ``by`` in ``order``) and
-    ``_group_n`` (group size), with no group held by a single task."""
+    ``_group_n`` (group size), with no group held by a single task.  NULL
+    group keys form a group of their own."""
     by = list(by)
     n = _partitions(df, num_partitions)
     keys = [F.col(b).asc_nulls_first() for b in by] + list(order)
@@ -77,25 +53,18 @@ def global_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
              .sortWithinPartitions(*keys)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_mid", F.monotonically_increasing_id()))
-    if checkpoint:
-        local = reuse(local, "ranked")
+    local = reuse(local, "ranked")
     stats = local.groupBy("_pid", *by).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    stats = stats.select("_pid", *by, "_first",
+    stats = stats.select(F.col("_pid").alias("_s_pid"), *[F.col(b).alias(f"_s_{i}") for i, b in enumerate(by)], "_first",
                          F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
                          F.sum("_cnt").over(whole).alias(GROUP_N))
-    joined = local.join(stats, on=["_pid", *by], how="inner") if by else local.join(stats, on=["_pid"])
-    out = joined.withColumn(RANK, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
-    return out.drop("_pid", "_mid", "_first", "_off")
-
-
-def window_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """The plain window form: one task per group (chosen by ``rank`` when
-    every group is small enough)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return (df.withColumn(RANK, F.row_number().over(w))
-              .withColumn(GROUP_N, F.count(F.lit(1)).over(Window.partitionBy(*by))))
+    same = local["_pid"] == F.col("_s_pid")
+    for i, b in enumerate(by):
+        same = same & local[b].eqNullSafe(F.col(f"_s_{i}"))
+    out = local.join(stats, same).withColumn(RANK, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
+    return out.drop("_pid", "_mid", "_first", "_off", "_s_pid", *[f"_s_{i}" for i in range(len(by))])
 
 
 def best_per_group(df: DataFrame, group: Sequence[str], metric: str) -> DataFrame:

@@ -101,31 +101,40 @@ def q_precision_recall_by_level(t):
     return m.select("fold", "level", *[i64(c).alias(c) for c in ("n", "tp", "fp", "fn", "tn")], *_metric_cols())
 
 
-@register("auc_rank", with_ctes(["scored"], """
+AUC_SQL = """
 SELECT fold, round((sum(CASE WHEN label = 1 THEN avg_rank ELSE 0 END) - P * (P + 1) / 2.0) / (P * (n - P)), 6) AS auc
 FROM (SELECT fold, label, n, P,
              rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0
                AS avg_rank
       FROM (SELECT s.*, count(*) OVER (PARTITION BY fold) AS n,
                    sum(label) OVER (PARTITION BY fold) AS P FROM scored s) x) y
-GROUP BY fold, n, P"""))
+GROUP BY fold, n, P"""
+
+
+@register("auc_rank", with_ctes(["scored"], AUC_SQL))
 def q_auc_rank(t):
     r = E.rank_scores(analog.scored(t), "score", "id", ["fold"])
     return E.auc(r, "label", "score", ["fold"]).select("fold", r6("auc").alias("auc"))
 
 
-@register("score_histogram", with_ctes(["scored"], """
+HISTOGRAM_SQL = """
 SELECT fold, bin, round(lo + bin * (hi - lo) / 10, 6) AS lo, round(lo + (bin + 1) * (hi - lo) / 10, 6) AS hi,
        CAST(count(*) AS BIGINT) AS count
 FROM (SELECT s.fold, r.lo, r.hi,
              CAST(least(floor((s.score - r.lo) / ((r.hi - r.lo) / 10)), 9) AS INTEGER) AS bin
       FROM scored s JOIN (SELECT fold, min(score) AS lo, max(score) AS hi FROM scored GROUP BY fold) r
         ON s.fold = r.fold) b
-GROUP BY fold, bin, lo, hi"""))
+GROUP BY fold, bin, lo, hi"""
+
+
+def _histogram(scores):
+    h = E.score_histogram(scores, "score", ["fold"], 10)
+    return h.select("fold", i32("bin").alias("bin"), r6("lo").alias("lo"), r6("hi").alias("hi"), i64("count").alias("count"))
+
+
+@register("score_histogram", with_ctes(["scored"], HISTOGRAM_SQL))
 def q_score_histogram(t):
-    h = E.score_histogram(analog.scored(t), "score", ["fold"], 10)
-    return h.select("fold", i32("bin").alias("bin"), r6("lo").alias("lo"), r6("hi").alias("hi"),
-                    i64("count").alias("count"))
+    return _histogram(analog.scored(t))
 
 
 SUB_RANKED = """
@@ -184,34 +193,41 @@ def q_fairness_crosstab(t):
                     *[r6(c).alias(c) for c in RATES])
 
 
-# The same queries forced onto the range-partitioned rank (the path taken when
-# a group is too large for one task), so the correctness gate covers it.
+# The same queries with a NULL group: every third fold is unknown.
 
+UNKNOWN_FOLDS = ("scored_all", "SELECT id, CASE WHEN fold % 3 <> 0 THEN fold END AS fold, label, score, gender, race FROM scored")
 
-@register("label_top_fraction_range", with_ctes(["scored"], f"""
-SELECT id, fold, {_pred_sql(HALF_EVEN_10)} AS prediction FROM ranked""", extra=[("ranked", RANKED)]))
+
+def _unknown_folds(t):
+    return analog.scored(t).withColumn("fold", F.expr("CASE WHEN fold % 3 <> 0 THEN fold END"))
+
+
+def _null_group(body: str, extra: list[tuple[str, str]] = ()) -> str:
+    """The oracle over ``scored_all``, joins on the fold null-safe."""
+    on = lambda q: q.replace("FROM scored", "FROM scored_all").replace("s.fold = r.fold", "s.fold IS NOT DISTINCT FROM r.fold")
+    return with_ctes(["scored"], on(body), extra=[UNKNOWN_FOLDS, *[(n, on(q)) for n, q in extra]])
+
+
+@register("label_top_fraction_range", _null_group(f"""
+SELECT id, fold, {_pred_sql(HALF_EVEN_10)} AS prediction FROM ranked""", [("ranked", RANKED)]))
 def q_label_top_fraction_range(t):
-    s = analog.scored(t)
-    return E.label_top_fraction(s, "score", "id", 10, by=["fold"], strategy="range") \
+    return E.label_top_fraction(_unknown_folds(t), "score", "id", 10, by=["fold"]) \
         .select("id", "fold", i32("prediction").alias("prediction"))
 
 
-@register("precision_recall_by_level_range", with_ctes(["scored"], BY_LEVEL_SQL.format(keys="fold", src="ranked"),
-                                                       extra=[("ranked", RANKED)]))
+@register("precision_recall_by_level_range", _null_group(BY_LEVEL_SQL.format(keys="fold", src="ranked"), [("ranked", RANKED)]))
 def q_precision_recall_by_level_range(t):
-    r = E.rank_scores(analog.scored(t), "score", "id", ["fold"], strategy="range")
+    r = E.rank_scores(_unknown_folds(t), "score", "id", ["fold"])
     m = E.metrics_by_level(r, "label", ["fold"])
     return m.select("fold", "level", *[i64(c).alias(c) for c in ("n", "tp", "fp", "fn", "tn")], *_metric_cols())
 
 
-@register("auc_rank_range", with_ctes(["scored"], """
-SELECT fold, round((sum(CASE WHEN label = 1 THEN avg_rank ELSE 0 END) - P * (P + 1) / 2.0) / (P * (n - P)), 6) AS auc
-FROM (SELECT fold, label, n, P,
-             rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0
-               AS avg_rank
-      FROM (SELECT s.*, count(*) OVER (PARTITION BY fold) AS n,
-                   sum(label) OVER (PARTITION BY fold) AS P FROM scored s) x) y
-GROUP BY fold, n, P"""))
+@register("auc_rank_range", _null_group(AUC_SQL))
 def q_auc_rank_range(t):
-    r = E.rank_scores(analog.scored(t), "score", "id", ["fold"], strategy="range")
+    r = E.rank_scores(_unknown_folds(t), "score", "id", ["fold"])
     return E.auc(r, "label", "score", ["fold"]).select("fold", r6("auc").alias("auc"))
+
+
+@register("score_histogram_null_group", _null_group(HISTOGRAM_SQL))
+def q_score_histogram_null_group(t):
+    return _histogram(_unknown_folds(t))
