@@ -39,6 +39,32 @@ def day_number(c) -> Column:
     return F.unix_date(c.cast("date"))
 
 
+def over_days(agg: str, measure: str, entity: Sequence[str], frame: tuple[int, int]) -> Column:
+    """``agg(measure)`` over the entity's days from ``frame[0]`` to ``frame[1]`` days around the row's day, in linear time.
+
+    Spark keeps a running result only for frames that start at the first row
+    of the order.  A frame without an upper end is therefore evaluated in
+    descending day order, and a sum between two ends is the difference of two
+    running sums (NULL where no value lies between them).  Differences are
+    exact for whole numbers.
+    """
+    lo, hi = frame
+    fn = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[agg]
+    up = Window.partitionBy(*entity).orderBy(DAY)
+    if lo == UNBOUNDED_PRECEDING:
+        return fn(measure).over(up.rangeBetween(UNBOUNDED_PRECEDING, hi))
+    if hi == UNBOUNDED_FOLLOWING:
+        down = Window.partitionBy(*entity).orderBy(-F.col(DAY))
+        return fn(measure).over(down.rangeBetween(UNBOUNDED_PRECEDING, -lo))
+    if agg not in ("sum", "count"):
+        raise ValueError(f"{agg} between two ends has no running form")
+    until, before = up.rangeBetween(UNBOUNDED_PRECEDING, hi), up.rangeBetween(UNBOUNDED_PRECEDING, lo - 1)
+    n = F.count(measure).over(until) - F.count(measure).over(before)
+    if agg == "count":
+        return n
+    return F.when(n > 0, F.sum(measure).over(until) - F.coalesce(F.sum(measure).over(before), F.lit(0)))
+
+
 def frame_lookup(
     values: DataFrame,
     entity: Sequence[str],
@@ -86,11 +112,7 @@ def frame_lookup(
     rows = rows.where(F.col(DAY).isNotNull())
     per_day = rows.groupBy(*entity, DAY).agg(*pre, F.max(PROBE).alias(PROBE))
 
-    w = Window.partitionBy(*entity).orderBy(DAY).rangeBetween(*frame)
-    outs = []
-    for out, (agg, measure) in window_aggs.items():
-        fn = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[agg]
-        outs.append(fn(F.col(measure)).over(w).alias(out))
+    outs = [over_days(agg, measure, entity, frame).alias(out) for out, (agg, measure) in window_aggs.items()]
     return per_day.select(*entity, DAY, PROBE, *outs).where(F.col(PROBE) == 1).drop(PROBE)
 
 

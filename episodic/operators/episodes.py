@@ -39,9 +39,9 @@ def build_episodes(
     components: DataFrame,
     spans: DataFrame,
     commitments: DataFrame,
+    flag_col: str,
+    flag_value: str,
     keys: tuple[str, str] = ("id", "prefix"),
-    flag_col: str = "felony_cd",
-    flag_value: str = "FELON",
     begin: str = "begin_date",
     end_actual: str = "actual_end",
     end_projected: str = "projected_end",
@@ -111,19 +111,3 @@ def label_next_event(
     if keep_gap:
         out = out.withColumn("gap_days", gap.cast("long"))
     return out.drop("_next_start")
-
-
-def label_next_event_naive(episodes: DataFrame, entity: str = "id", start: str = "start_date",
-                           end: str = "end_date", horizon_days: int = 365, default_gap: int = 10000) -> DataFrame:
-    """Reference form for comparison only: per-entity self range join.
-
-    Emits all (episode, later episode) pairs of an entity -- quadratic per
-    entity -- and is kept for tests and the bench, never for production use.
-    """
-    a = episodes.alias("a")
-    b = episodes.select(F.col(entity).alias("_e"), F.col(start).alias("_s"))
-    nxt = (a.join(b, (F.col(f"a.{entity}") == F.col("_e")) & (F.col("_s") > F.col(f"a.{end}")), "left")
-           .groupBy(*[F.col(f"a.{c}") for c in episodes.columns])
-           .agg(F.min("_s").alias("_ns")))
-    gap = F.datediff(F.col("_ns"), F.col(end))
-    return nxt.withColumn("label", range_flag(gap, 0, horizon_days, default=default_gap)).drop("_ns")

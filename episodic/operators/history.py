@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import day_diff, truncating_mean
 from ..session import reuse
-from .dayframe import UNBOUNDED_FOLLOWING, UNBOUNDED_PRECEDING, attach, day_number, frame_lookup
+from .dayframe import UNBOUNDED_FOLLOWING, UNBOUNDED_PRECEDING, attach, day_number, frame_lookup, over_days
 
 FRAMES = {
     "all_prior": lambda days: (UNBOUNDED_PRECEDING, 0),
@@ -83,10 +83,10 @@ def history_frames(
     """Several history frames in one pass: ``specs`` maps an output prefix to
     ``(value column, frame, days)``.
 
-    All values are pre-aggregated in one (entity, day) aggregate, and all
-    frames share one window partitioning and order, so the plan has a single
-    aggregate, a single exchange by entity and a single window node however
-    many frames are asked for.  Adds ``<prefix>_total``, ``<prefix>_count``
+    All values are pre-aggregated in one (entity, day) aggregate and all
+    frames share one window partitioning (``over_days``; frames without an
+    upper end sort in descending order), so the plan has a single aggregate
+    and a single exchange by entity however many frames are asked for.  Adds ``<prefix>_total``, ``<prefix>_count``
     and ``<prefix>_mean`` (integer-truncated for prefixes in ``truncate``).
     """
     values = sorted({v for v, _, _ in specs.values()})
@@ -96,11 +96,11 @@ def history_frames(
         *[F.col(v).alias(vname[v]) for v in values])
     per_day = rows.groupBy(entity, "_day").agg(F.sum("_n").alias("_n"),
                                                *[F.sum(n).alias(n) for n in vname.values()])
-    w = Window.partitionBy(entity).orderBy("_day")
     outs = []
     for prefix, (value, frame, days) in specs.items():
-        fw = w.rangeBetween(*FRAMES[frame](days))
-        outs += [F.sum(vname[value]).over(fw).alias(f"{prefix}_total"), F.sum("_n").over(fw).alias(f"{prefix}_count")]
+        around = FRAMES[frame](days)
+        outs += [over_days("sum", vname[value], [entity], around).alias(f"{prefix}_total"),
+                 over_days("sum", "_n", [entity], around).alias(f"{prefix}_count")]
     lookup = per_day.select(entity, "_day", *outs)
     out = attach(episodes, lookup, [entity], day_number(end))
     for prefix in specs:
@@ -110,23 +110,6 @@ def history_frames(
     return out
 
 
-def history_naive(episodes: DataFrame, value: str, frame: str = "all_prior", days: int = 1825,
-                  entity: str = "id", end: str = "end_date") -> DataFrame:
-    """Reference form for comparison only: the per-entity self join.
-
-    Emits every (episode, episode) pair of an entity -- quadratic per entity --
-    and is used by tests and the bench, never by the library.
-    """
-    a = episodes.where(F.col(end).isNotNull()).alias("a")
-    b = episodes.where(F.col(end).isNotNull()).select(F.col(entity).alias("_e"), F.col(end).alias("_b_end"),
-                                                      F.col(value).alias("_v"))
-    d = F.datediff(F.col("_b_end"), F.col(f"a.{end}"))
-    cond = {"all_prior": d <= 0, "trailing": (d >= -days) & (d <= 0), "lower_bound_only": d >= -days}[frame]
-    return (a.join(b, (F.col(f"a.{entity}") == F.col("_e")) & cond)
-            .groupBy(*[F.col(f"a.{c}") for c in episodes.columns])
-            .agg(F.sum("_v").alias("total"), F.count(F.lit(1)).alias("n")))
-
-
 def durations(episodes: DataFrame, start: str = "start_date", end: str = "end_date",
               out: str = "duration_days", min_days: int | None = 1) -> DataFrame:
     """Add the episode length in days (double) and keep those >= ``min_days``.
@@ -168,12 +151,13 @@ def events_as_of(
         ev = ev.where(F.col(verdict) == qualifying)
     ev_day = day_number(event_date)
     probes_end = episodes.select(entity, day_number(end).alias("_pd"))
-    probes_start = episodes.select(entity, F.least(day_number(start), day_number(end)).alias("_pd"))
+    early = F.when(F.col(start).isNotNull(), F.least(day_number(start), day_number(end)))  # unknown start: no event before it
+    probes_start = episodes.select(entity, early.alias("_pd"))
     lookup = reuse(_frame_counts(ev, entity, ev_day, F.col(verdict) == positive,
                                  probes_end.unionByName(probes_start)))
     on_end = attach(episodes, lookup, [entity], day_number(end), {
         "_cn": prefix, "_cd": f"{prefix}_unique", "_cg": f"{prefix}_positive"}, how="inner")
-    on_start = attach(on_end, lookup, [entity], F.least(day_number(start), day_number(end)), {
+    on_start = attach(on_end, lookup, [entity], early, {
         "_cn": f"{prefix}_before_start", "_cg": f"{prefix}_before_start_positive"})
     cols = [prefix, f"{prefix}_unique", f"{prefix}_positive", f"{prefix}_before_start",
             f"{prefix}_before_start_positive"]
