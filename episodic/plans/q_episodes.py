@@ -14,32 +14,30 @@ KEYS = ["id", "prefix", "start_date", "end_date"]
 
 # ------------------------------------------------------------------ C9 label
 
-LABEL_SQL = with_ctes(["episodes"], """
-SELECT t1.id, t1.prefix, t1.start_date, t1.end_date,
-       CAST(CASE WHEN coalesce((SELECT min(t2.start_date) FROM episodes t2
-                                WHERE t2.id = t1.id AND t2.start_date > t1.end_date) - t1.end_date,
-                               10000) BETWEEN 0 AND 365 THEN 1 ELSE 0 END AS INTEGER) AS label
-FROM episodes t1""")
+# Oracle forms, one sub-query per episode as the definitions read.  ``{e}`` is the episode table.
+GAP = """(SELECT min(x.start_date) - {e}.end_date FROM {t} x WHERE x.id = {e}.id AND x.start_date > {e}.end_date)"""
 
 
-@register("label_next_event", LABEL_SQL)
+def flag_sql(table: str, outer: str = "e", horizon: int = 365) -> str:
+    """1 if the gap to the next start is at most the horizon; no later start: 0."""
+    return f"CAST(coalesce({GAP.format(t=table, e=outer)} <= {horizon}, false) AS INTEGER)"
+
+
+def label_sql(table: str) -> str:
+    return with_ctes([table], f"SELECT e.id, e.prefix, e.start_date, e.end_date, {flag_sql(table)} AS label FROM {table} e")
+
+
+@register("label_next_event", label_sql("episodes"))
 def q_label_next_event(t):
     e = analog.episodes(t)
     return label_next_event(e, horizon_days=365, default_gap=10000).select(*KEYS, i32("label").alias("label"))
 
 
 # the flagship: label rate by end year over labelled episodes
-RATE_SQL = with_ctes(["episodes"], """
+@register("label_rate_by_year", with_ctes(["episodes"], f"""
 SELECT CAST(year(end_date) AS INTEGER) AS end_year, CAST(count(*) AS BIGINT) AS episodes,
-       CAST(sum(label) AS BIGINT) AS positives, round(avg(label), 6) AS label_rate
-FROM labelled GROUP BY year(end_date)""", extra=[("labelled", """
-SELECT t1.*, CASE WHEN coalesce((SELECT min(t2.start_date) FROM episodes t2
-                                 WHERE t2.id = t1.id AND t2.start_date > t1.end_date) - t1.end_date,
-                                10000) BETWEEN 0 AND 365 THEN 1 ELSE 0 END AS label
-FROM episodes t1""")])
-
-
-@register("label_rate_by_year", RATE_SQL)
+       CAST(sum(flag) AS BIGINT) AS positives, round(avg(flag), 6) AS label_rate
+FROM (SELECT e.end_date, {flag_sql("episodes")} AS flag FROM episodes e) GROUP BY ALL"""))
 def q_label_rate_by_year(t):
     lab = label_next_event(analog.episodes(t))
     return lab.groupBy(F.year("end_date").cast("int").alias("end_year")).agg(
@@ -50,38 +48,35 @@ def q_label_rate_by_year(t):
 
 # ---------------------------------------------------- C1, C2, D2, D3, B2, B8
 
+# a known date is one outside year 1; an episode without a fully dated span has no row
 BUILD_SQL = with_ctes(["components", "spans", "commitments"], """
-, felons AS (SELECT DISTINCT id, prefix FROM components WHERE felony_cd = 'FELON'),
-bounds AS (
-  SELECT id, prefix, min(begin_date) AS span_start, max(actual_end) AS end_actual, max(projected_end) AS end_proj
-  FROM spans
-  WHERE CAST(begin_date AS VARCHAR) NOT LIKE '0001%' AND CAST(projected_end AS VARCHAR) NOT LIKE '0001%'
-    AND CAST(actual_end AS VARCHAR) NOT LIKE '0001%'
-  GROUP BY id, prefix),
-court AS (SELECT id, prefix, effective_date FROM commitments
-          WHERE new_period_flag = 'Y' AND CAST(effective_date AS VARCHAR) NOT LIKE '0001%'),
-joined AS (SELECT b.id, b.prefix,
-                  CASE WHEN c.effective_date IS NULL OR b.span_start IS NULL THEN NULL
-                       ELSE least(c.effective_date, b.span_start) END AS start_date,
-                  b.end_actual AS end_date
-           FROM bounds b JOIN court c ON b.id = c.id AND b.prefix = c.prefix),
-ranked AS (SELECT j.*, row_number() OVER (PARTITION BY j.id, j.prefix
-                                          ORDER BY j.start_date NULLS LAST, j.end_date NULLS FIRST) AS rn
-           FROM joined j WHERE EXISTS (SELECT 1 FROM felons f WHERE f.id = j.id AND f.prefix = j.prefix))
-SELECT id, prefix, start_date, end_date FROM ranked WHERE rn = 1""")
+SELECT DISTINCT ON (m.id, m.prefix) m.id, m.prefix,
+       CASE WHEN s.opened IS NOT NULL THEN (SELECT min(d) FROM (VALUES (m.effective_date), (s.opened)) v(d)) END AS start_date,
+       s.closed AS end_date
+FROM commitments m, LATERAL (
+  SELECT min(p.begin_date) AS opened, max(p.actual_end) AS closed FROM spans p
+  WHERE p.id = m.id AND p.prefix = m.prefix AND year(p.begin_date) > 1 AND year(p.actual_end) > 1 AND year(p.projected_end) > 1) s
+WHERE m.new_period_flag = 'Y' AND year(m.effective_date) > 1 AND s.opened IS NOT NULL
+  AND (m.id, m.prefix) IN (SELECT (c.id, c.prefix) FROM components c WHERE c.felony_cd = 'FELON')
+ORDER BY m.id, m.prefix, start_date NULLS LAST, end_date NULLS FIRST""")
 
 
 @register("episodes_built", BUILD_SQL)
 def q_episodes_built(t):
-    return build_episodes(analog.components(t), analog.spans(t), analog.commitments(t)).select(*KEYS)
+    return build_episodes(analog.components(t), analog.spans(t), analog.commitments(t), "felony_cd", "FELON").select(*KEYS)
 
 
 # ------------------------------------------------------- W1, W2 (components)
 
-NUM_SENT = """
-SELECT e.*, ns.n AS num_components
-FROM episodes e LEFT JOIN (SELECT id, prefix, count(component_no) AS n FROM components GROUP BY id, prefix) ns
-  ON e.id = ns.id AND e.prefix = ns.prefix"""
+# what one episode adds to a history: its components and, from one day on, its length
+SIZED = """
+SELECT q.id, q.prefix, q.start_date, q.end_date,
+       (SELECT nullif(count(k.component_no), 0) FROM components k WHERE k.id = q.id AND k.prefix = q.prefix) AS parts,
+       CASE WHEN q.end_date > q.start_date THEN CAST(q.end_date - q.start_date AS DOUBLE) END AS days
+FROM episodes q"""
+EARLIER = "h.id = e.id AND h.end_date <= e.end_date"
+RECENT = EARLIER + " AND h.end_date >= e.end_date - 1825"
+NOT_OLD = "h.id = e.id AND h.end_date >= e.end_date - 1825"
 
 
 def _num_components(t):
@@ -90,131 +85,109 @@ def _num_components(t):
     return e.join(n, ["id", "prefix"], "left")
 
 
-def _hist_count_sql(where: str) -> str:
+def parts_sql(around: str) -> str:
     return with_ctes(["episodes", "components"], f"""
-SELECT a.id, a.prefix, a.start_date, a.end_date, a.num_components,
-       CAST(sum(b.num_components) AS BIGINT) AS total_components,
-       CAST(sum(b.num_components) // count(*) AS BIGINT) AS avg_components
-FROM num_sent a JOIN num_sent b ON a.id = b.id
-WHERE {where}
-GROUP BY a.id, a.prefix, a.start_date, a.end_date, a.num_components""", extra=[("num_sent", NUM_SENT)])
+SELECT e.id, e.prefix, e.start_date, e.end_date, e.parts AS num_components, f.total AS total_components, f.total // f.n AS avg_components
+FROM sized e, LATERAL (SELECT CAST(sum(h.parts) AS BIGINT) AS total, count(*) AS n FROM sized h WHERE {around}) f""",
+                     extra=[("sized", SIZED)])
 
 
-@register("history_all_prior_count", _hist_count_sql("b.end_date <= a.end_date"))
-def q_history_all_prior_count(t):
-    h = history(_num_components(t), "num_components", "all_prior", total_col="total_components",
+def _hist_count(t, frame):
+    h = history(_num_components(t), "num_components", frame, days=1825, total_col="total_components",
                 mean_col="avg_components", mean="truncate")
     return h.select(*KEYS, "num_components", i64("total_components").alias("total_components"),
                     i64("avg_components").alias("avg_components"))
 
 
-@register("history_trailing_5y_count",
-          _hist_count_sql("b.end_date >= a.end_date - 1825 AND b.end_date <= a.end_date"))
+@register("history_all_prior_count", parts_sql(EARLIER))
+def q_history_all_prior_count(t):
+    return _hist_count(t, "all_prior")
+
+
+@register("history_trailing_5y_count", parts_sql(RECENT))
 def q_history_trailing_5y_count(t):
-    h = history(_num_components(t), "num_components", "trailing", days=1825, total_col="total_components",
-                mean_col="avg_components", mean="truncate")
-    return h.select(*KEYS, "num_components", i64("total_components").alias("total_components"),
-                    i64("avg_components").alias("avg_components"))
+    return _hist_count(t, "trailing")
 
 
 # --------------------------------------------------- B6, B10, C7, W3, W4 (days)
 
-INC_LEN = """
-SELECT id, prefix, start_date, end_date, CAST(end_date - start_date AS DOUBLE) AS duration_days
-FROM episodes WHERE CAST(end_date - start_date AS DOUBLE) >= 1"""
-
 
-@register("duration_days", with_ctes(["episodes"], "SELECT id, prefix, start_date, end_date, "
-                                     "round(duration_days, 6) AS duration_days FROM inc_len",
-                                     extra=[("inc_len", INC_LEN)]))
+@register("duration_days", with_ctes(["episodes"], """
+SELECT id, prefix, start_date, end_date, round(CAST(end_date - start_date AS DOUBLE), 6) AS duration_days
+FROM episodes WHERE end_date > start_date"""))
 def q_duration_days(t):
     d = durations(analog.episodes(t), out="duration_days", min_days=1)
     return d.select(*KEYS, r6("duration_days").alias("duration_days"))
 
 
-def _hist_days_sql(where: str) -> str:
-    return with_ctes(["episodes"], f"""
-SELECT a.id, a.prefix, a.start_date, a.end_date,
-       round(sum(b.duration_days), 6) AS total_days, CAST(count(*) AS BIGINT) AS n_prior,
-       round(sum(b.duration_days) / count(*), 6) AS avg_days
-FROM inc_len a JOIN inc_len b ON a.id = b.id
-WHERE {where}
-GROUP BY a.id, a.prefix, a.start_date, a.end_date""", extra=[("inc_len", INC_LEN)])
+def days_sql(around: str, table: str = "episodes") -> str:
+    return with_ctes([table], f"""
+SELECT e.id, e.prefix, e.start_date, e.end_date, f.total AS total_days, f.n AS n_prior, round(f.total / f.n, 6) AS avg_days
+FROM {table} e, LATERAL (
+  SELECT CAST(sum(h.end_date - h.start_date) AS DOUBLE) AS total, count(*) AS n
+  FROM {table} h WHERE {around} AND h.end_date > h.start_date) f
+WHERE e.end_date > e.start_date""")
 
 
-def _hist_days(t, frame):
-    d = durations(analog.episodes(t), out="duration_days", min_days=1)
+def _hist_days(t, frame, episodes=analog.episodes):
+    d = durations(episodes(t), out="duration_days", min_days=1)
     h = history(d, "duration_days", frame, days=1825, total_col="total_days", count_col="n_prior",
                 mean_col="avg_days")
     return h.select(*KEYS, r6("total_days").alias("total_days"), i64("n_prior").alias("n_prior"),
                     r6("avg_days").alias("avg_days"))
 
 
-@register("history_all_prior_days", _hist_days_sql("b.end_date <= a.end_date"))
+@register("history_all_prior_days", days_sql(EARLIER))
 def q_history_all_prior_days(t):
     return _hist_days(t, "all_prior")
 
 
-@register("history_5y_unbounded", _hist_days_sql("b.end_date >= a.end_date - 1825"))
+@register("history_5y_unbounded", days_sql(NOT_OLD))
 def q_history_5y_unbounded(t):
     return _hist_days(t, "lower_bound_only")
 
 
-@register("history_5y_days", _hist_days_sql("b.end_date >= a.end_date - 1825 AND b.end_date <= a.end_date"))
+@register("history_5y_days", days_sql(RECENT))
 def q_history_5y_days(t):
     return _hist_days(t, "trailing")
 
 
 # --------------------------------------------------------- C8, D6, D7 events
 
-EVENTS_SQL = with_ctes(["episodes", "events_by_entity"], """
-SELECT l.id, l.prefix, l.start_date, l.end_date,
-       CAST(count(i.event_date) AS BIGINT) AS events,
-       CAST(count(DISTINCT i.event_date) AS BIGINT) AS events_unique,
-       CAST(sum(CASE WHEN i.verdict = 'GUILTY' THEN 1 ELSE 0 END) AS BIGINT) AS events_positive,
-       CAST(sum(CASE WHEN i.event_date <= l.start_date THEN 1 ELSE 0 END) AS BIGINT) AS events_before_start,
-       CAST(sum(CASE WHEN i.event_date <= l.start_date AND i.verdict = 'GUILTY' THEN 1 ELSE 0 END) AS BIGINT)
-         AS events_before_start_positive
-FROM episodes l LEFT JOIN events_by_entity i ON l.id = i.id
-WHERE i.verdict = 'GUILTY' AND l.end_date >= i.event_date
-GROUP BY l.id, l.prefix, l.start_date, l.end_date""")
+# counts of the positive events up to an episode's end
+EVENT_COUNTS = """
+SELECT count(*) AS n, count(DISTINCT v.event_date) AS n_days,
+       count(*) FILTER (WHERE v.event_date <= e.start_date) AS n_early
+FROM events_by_entity v WHERE v.verdict = 'GUILTY' AND v.id = e.id AND v.event_date <= e.end_date"""
+EVENT_COLUMNS = """c.n AS events, c.n_days AS events_unique, c.n AS events_positive,
+       c.n_early AS events_before_start, c.n_early AS events_before_start_positive"""
 
 
-@register("events_before_end", EVENTS_SQL)
+@register("events_before_end", with_ctes(["episodes", "events_by_entity"], f"""
+SELECT e.id, e.prefix, e.start_date, e.end_date, {EVENT_COLUMNS}
+FROM episodes e, LATERAL ({EVENT_COUNTS}) c WHERE c.n > 0"""))
 def q_events_before_end(t):
     return events_as_of(analog.episodes(t), analog.events_by_entity(t), prefix="events")
 
 
-# ------------------------------------------------------- skew: one hot entity
+@register("events_before_end_unknown_start", with_ctes(["episodes", "events_by_entity"], f"""
+SELECT e.id, e.prefix, e.start_date, e.end_date, {EVENT_COLUMNS}
+FROM (SELECT id, prefix, CASE WHEN prefix % 5 <> 0 THEN start_date END AS start_date, end_date FROM episodes) e,
+     LATERAL ({EVENT_COUNTS}) c WHERE c.n > 0"""))
+def q_events_before_end_unknown_start(t):
+    e = analog.episodes(t).withColumn("start_date", F.expr("CASE WHEN prefix % 5 <> 0 THEN start_date END"))
+    return events_as_of(e, analog.events_by_entity(t), prefix="events")
 
-HOT_LABEL_SQL = with_ctes(["episodes_hot"], """
-SELECT t1.id, t1.prefix, t1.start_date, t1.end_date,
-       CAST(CASE WHEN coalesce((SELECT min(t2.start_date) FROM episodes_hot t2
-                                WHERE t2.id = t1.id AND t2.start_date > t1.end_date) - t1.end_date,
-                               10000) BETWEEN 0 AND 365 THEN 1 ELSE 0 END AS INTEGER) AS label
-FROM episodes_hot t1""")
 
+# ------------------------------------------------------- skew: one hot entity
 
-@register("label_next_event_hot_entity", HOT_LABEL_SQL)
+
+@register("label_next_event_hot_entity", label_sql("episodes_hot"))
 def q_label_next_event_hot_entity(t):
     e = analog.episodes_hot(t)
     return label_next_event(e).select(*KEYS, i32("label").alias("label"))
 
 
-HOT_INC = """
-SELECT id, prefix, start_date, end_date, CAST(end_date - start_date AS DOUBLE) AS duration_days
-FROM episodes_hot WHERE CAST(end_date - start_date AS DOUBLE) >= 1"""
-
-
-@register("history_all_prior_days_hot_entity", with_ctes(["episodes_hot"], """
-SELECT a.id, a.prefix, a.start_date, a.end_date,
-       round(sum(b.duration_days), 6) AS total_days, CAST(count(*) AS BIGINT) AS n_prior,
-       round(sum(b.duration_days) / count(*), 6) AS avg_days
-FROM inc_len a JOIN inc_len b ON a.id = b.id
-WHERE b.end_date <= a.end_date
-GROUP BY a.id, a.prefix, a.start_date, a.end_date""", extra=[("inc_len", HOT_INC)]))
+@register("history_all_prior_days_hot_entity", days_sql(EARLIER, "episodes_hot"))
 def q_history_all_prior_days_hot_entity(t):
-    d = durations(analog.episodes_hot(t), out="duration_days", min_days=1)
-    h = history(d, "duration_days", "all_prior", total_col="total_days", count_col="n_prior", mean_col="avg_days")
-    return h.select(*KEYS, r6("total_days").alias("total_days"), i64("n_prior").alias("n_prior"),
-                    r6("avg_days").alias("avg_days"))
+    return _hist_days(t, "all_prior", analog.episodes_hot)

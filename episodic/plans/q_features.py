@@ -10,176 +10,100 @@ from . import analog
 from .analog import with_ctes
 from .catalog import i32, i64, r6, register
 from .features import WIDE_COLUMNS, feature_table
+from .q_episodes import EARLIER, EVENT_COUNTS, NOT_OLD, RECENT, SIZED, flag_sql
 
 KEYS = ["id", "prefix", "start_date", "end_date"]
 
-NULL_BDAY = """
-SELECT id AS aid, gender, race,
-       CASE WHEN CAST(birth_date AS VARCHAR) LIKE '0001%' THEN NULL ELSE birth_date END AS birth_date
-FROM attributes"""
-
-CHARS = """
-SELECT e.id, e.prefix, e.start_date, e.end_date, nb.gender, nb.race, nb.birth_date,
-       CASE WHEN CAST(e.start_date - nb.birth_date AS DOUBLE) / 365.0 < 0 THEN NULL
-            ELSE CAST(e.start_date - nb.birth_date AS DOUBLE) / 365.0 END AS age_at_start,
-       CASE WHEN CAST(e.end_date - nb.birth_date AS DOUBLE) / 365.0 < 0 THEN NULL
-            ELSE CAST(e.end_date - nb.birth_date AS DOUBLE) / 365.0 END AS age_at_end
-FROM episodes e LEFT JOIN null_bday nb ON nb.aid = e.id"""
-
-AGE_FIRST = """
-SELECT c.id, c.prefix, f.age_first
-FROM chars c LEFT JOIN (
-  SELECT id,
-         CASE WHEN CAST(min(start_date) - min(birth_date) AS DOUBLE) / 365.0 < 0 THEN NULL
-              ELSE CAST(min(start_date) - min(birth_date) AS DOUBLE) / 365.0 END AS age_first
-  FROM chars GROUP BY id) f ON c.id = f.id"""
-
-
-@register("join_left_attributes", with_ctes(["episodes", "attributes"], """
-SELECT id, prefix, start_date, end_date, gender, race, birth_date,
-       round(age_at_start, 6) AS age_at_start, round(age_at_end, 6) AS age_at_end
-FROM chars""", extra=[("null_bday", NULL_BDAY), ("chars", CHARS)]))
+# years between a day and the entity's known birth date; before birth: unknown
+def years_sql(day: str) -> str:
+    span = f"datediff('day', CASE WHEN year(p.birth_date) > 1 THEN p.birth_date END, {day})"
+    return f"round(CASE WHEN {span} >= 0 THEN {span} / 365.0::DOUBLE END, 6)"
+
+
+FIRST_START = "(SELECT min(o.start_date) FROM episodes o WHERE o.id = e.id)"
+
+
+@register("join_left_attributes", with_ctes(["episodes", "attributes"], f"""
+SELECT e.id, e.prefix, e.start_date, e.end_date, p.gender, p.race,
+       CASE WHEN year(p.birth_date) > 1 THEN p.birth_date END AS birth_date,
+       {years_sql("e.start_date")} AS age_at_start, {years_sql("e.end_date")} AS age_at_end
+FROM episodes e LEFT JOIN attributes p USING (id)"""))
 def q_join_left_attributes(t):
     c = attach_attributes(analog.episodes(t), analog.attributes(t))
     return c.select(*KEYS, "gender", "race", "birth_date", r6("age_at_start").alias("age_at_start"),
                     r6("age_at_end").alias("age_at_end"))
 
 
-@register("entity_first_value", with_ctes(["episodes", "attributes"], """
-SELECT id, prefix, round(age_first, 6) AS age_first FROM age_first""",
-                                          extra=[("null_bday", NULL_BDAY), ("chars", CHARS),
-                                                 ("age_first", AGE_FIRST)]))
+@register("entity_first_value", with_ctes(["episodes", "attributes"], f"""
+SELECT e.id, e.prefix, {years_sql(FIRST_START)} AS age_first
+FROM episodes e LEFT JOIN attributes p USING (id)"""))
 def q_entity_first_value(t):
     c = entity_first_age(attach_attributes(analog.episodes(t), analog.attributes(t)))
     return c.select("id", "prefix", r6("age_first").alias("age_first"))
 
 
-@register("child_count_left_join", with_ctes(["episodes", "components"], """
-SELECT e.id, e.prefix, e.start_date, e.end_date, s.num_components
-FROM episodes e LEFT JOIN (SELECT id, prefix, count(component_no) AS num_components
-                           FROM components WHERE component_no <> 3 GROUP BY id, prefix) s
-  ON e.id = s.id AND e.prefix = s.prefix"""))
+OWN = "k.id = e.id AND k.prefix = e.prefix"
+
+
+def codes_sql(column: str, scrub: bool = True) -> str:
+    """Sorted distinct codes of an episode's components."""
+    code = f"replace(k.{column}, ',', '')" if scrub else f"k.{column}"
+    return f"(SELECT string_agg(DISTINCT {code}, ',' ORDER BY {code}) FROM components k WHERE {OWN})"
+
+
+@register("child_count_left_join", with_ctes(["episodes", "components"], f"""
+SELECT e.id, e.prefix, e.start_date, e.end_date,
+       (SELECT nullif(count(k.component_no), 0) FROM components k WHERE {OWN}) AS num_components
+FROM episodes e"""))
 def q_child_count_left_join(t):
-    # line 3 removed from the children so that some episodes have none (NULL)
-    kids = analog.components(t).where(F.col("component_no") != 3)
-    return child_counts(analog.episodes(t), kids, ["id", "prefix"], "component_no", "num_components") \
+    return child_counts(analog.episodes(t), analog.components(t), ["id", "prefix"], "component_no", "num_components") \
         .select(*KEYS, "num_components")
 
 
-@register("distinct_list_agg", with_ctes(["episodes", "components"], """
-SELECT o.id, o.prefix,
-       string_agg(DISTINCT o.term, ',' ORDER BY o.term) AS term_list,
-       string_agg(DISTINCT o.county, ',' ORDER BY o.county) AS county_list
-FROM episodes l LEFT JOIN components o ON l.id = o.id AND l.prefix = o.prefix
-WHERE o.id IS NOT NULL
-GROUP BY o.id, o.prefix"""))
+@register("distinct_list_agg", with_ctes(["episodes", "components"], f"""
+SELECT e.id, e.prefix, {codes_sql("term", False)} AS term_list, {codes_sql("county", False)} AS county_list
+FROM episodes e WHERE EXISTS (SELECT 1 FROM components k WHERE {OWN})"""))
 def q_distinct_list_agg(t):
     return distinct_lists(analog.episodes(t), analog.components(t), ["id", "prefix"],
                           {"term": "term_list", "county": "county_list"}, keep="matched")
 
 
-@register("list_features_left", with_ctes(["episodes", "components"], """
-SELECT l.id, l.prefix,
-       string_agg(DISTINCT replace(o.offense, ',', ''), ',' ORDER BY replace(o.offense, ',', '')) AS offense_codes,
-       string_agg(DISTINCT replace(o.qualifier, ',', ''), ',' ORDER BY replace(o.qualifier, ',', '')) AS qualifier_codes,
-       string_agg(DISTINCT replace(o.penalty, ',', ''), ',' ORDER BY replace(o.penalty, ',', '')) AS penalty_codes
-FROM episodes l LEFT JOIN (SELECT * FROM components WHERE penalty <> 'C') o
-  ON l.id = o.id AND l.prefix = o.prefix
-GROUP BY l.id, l.prefix"""))
+@register("list_features_left", with_ctes(["episodes", "components"], f"""
+SELECT e.id, e.prefix, {codes_sql("offense")} AS offense_codes, {codes_sql("qualifier")} AS qualifier_codes,
+       {codes_sql("penalty")} AS penalty_codes
+FROM episodes e"""))
 def q_list_features_left(t):
-    kids = analog.components(t).where(F.col("penalty") != "C")
-    return distinct_lists(analog.episodes(t), kids, ["id", "prefix"],
+    return distinct_lists(analog.episodes(t), analog.components(t), ["id", "prefix"],
                           {"offense": "offense_codes", "qualifier": "qualifier_codes", "penalty": "penalty_codes"},
                           keep="all", scrub=True)
 
 
-WIDE_SQL = with_ctes(["episodes", "components", "attributes", "events_by_entity"], """
-SELECT l.id, l.prefix, l.start_date, l.end_date, l.label, round(l.duration_days, 6) AS duration_days,
-       t1.events, t1.events_unique, t1.events_positive, t1.events_before_start, t1.events_before_start_positive,
-       t2.offense_codes, t2.qualifier_codes, t2.penalty_codes,
-       t3.race, t3.gender, round(t3.age_at_start, 6) AS age_at_start, round(t3.age_at_end, 6) AS age_at_end,
-       round(t4.age_first, 6) AS age_first,
-       t5.total_components_allprior, t5.avg_components_allprior,
-       t6.total_components_5y, t6.avg_components_5y,
-       round(t8.total_days_allprior, 6) AS total_days_allprior, t8.n_prior_allprior,
-       round(t8.avg_days_allprior, 6) AS avg_days_allprior,
-       round(t9.total_days_5y, 6) AS total_days_5y, t9.n_prior_5y, round(t9.avg_days_5y, 6) AS avg_days_5y,
-       t10.term_list, t11.county_list, t12.num_components
-FROM inc_len l
-LEFT JOIN infractions t1 ON l.id = t1.id AND l.prefix = t1.prefix
-LEFT JOIN offense_penalty t2 ON l.id = t2.id AND l.prefix = t2.prefix
-LEFT JOIN chars t3 ON l.id = t3.id AND l.prefix = t3.prefix
-LEFT JOIN age_first t4 ON l.id = t4.id AND l.prefix = t4.prefix
-LEFT JOIN sent_all t5 ON l.id = t5.id AND l.prefix = t5.prefix
-LEFT JOIN sent_5y t6 ON l.id = t6.id AND l.prefix = t6.prefix
-LEFT JOIN days_all t8 ON l.id = t8.id AND l.prefix = t8.prefix
-LEFT JOIN days_5y t9 ON l.id = t9.id AND l.prefix = t9.prefix
-LEFT JOIN termlist t10 ON l.id = t10.id AND l.prefix = t10.prefix
-LEFT JOIN countylist t11 ON l.id = t11.id AND l.prefix = t11.prefix
-LEFT JOIN num_sent t12 ON l.id = t12.id AND l.prefix = t12.prefix""", extra=[
-    ("labelled", """
-SELECT t1.*, CAST(CASE WHEN coalesce((SELECT min(t2.start_date) FROM episodes t2
-                                      WHERE t2.id = t1.id AND t2.start_date > t1.end_date) - t1.end_date,
-                                     10000) BETWEEN 0 AND 365 THEN 1 ELSE 0 END AS INTEGER) AS label
-FROM episodes t1"""),
-    ("inc_len", """
-SELECT *, CAST(end_date - start_date AS DOUBLE) AS duration_days FROM labelled
-WHERE CAST(end_date - start_date AS DOUBLE) >= 1"""),
-    ("inc_all", """
-SELECT id, prefix, start_date, end_date, CAST(end_date - start_date AS DOUBLE) AS duration_days FROM episodes
-WHERE CAST(end_date - start_date AS DOUBLE) >= 1"""),
-    ("infractions", """
-SELECT l.id, l.prefix,
-       CAST(count(i.event_date) AS BIGINT) AS events,
-       CAST(count(DISTINCT i.event_date) AS BIGINT) AS events_unique,
-       CAST(sum(CASE WHEN i.verdict = 'GUILTY' THEN 1 ELSE 0 END) AS BIGINT) AS events_positive,
-       CAST(sum(CASE WHEN i.event_date <= l.start_date THEN 1 ELSE 0 END) AS BIGINT) AS events_before_start,
-       CAST(sum(CASE WHEN i.event_date <= l.start_date AND i.verdict = 'GUILTY' THEN 1 ELSE 0 END) AS BIGINT)
-         AS events_before_start_positive
-FROM episodes l LEFT JOIN events_by_entity i ON l.id = i.id
-WHERE i.verdict = 'GUILTY' AND l.end_date >= i.event_date
-GROUP BY l.id, l.prefix"""),
-    ("offense_penalty", """
-SELECT l.id, l.prefix,
-       string_agg(DISTINCT replace(o.offense, ',', ''), ',' ORDER BY replace(o.offense, ',', '')) AS offense_codes,
-       string_agg(DISTINCT replace(o.qualifier, ',', ''), ',' ORDER BY replace(o.qualifier, ',', '')) AS qualifier_codes,
-       string_agg(DISTINCT replace(o.penalty, ',', ''), ',' ORDER BY replace(o.penalty, ',', '')) AS penalty_codes
-FROM episodes l LEFT JOIN components o ON l.id = o.id AND l.prefix = o.prefix
-GROUP BY l.id, l.prefix"""),
-    ("null_bday", NULL_BDAY),
-    ("chars", CHARS),
-    ("age_first", AGE_FIRST),
-    ("num_sent", """
-SELECT e.*, ns.n AS num_components
-FROM episodes e LEFT JOIN (SELECT id, prefix, count(component_no) AS n FROM components GROUP BY id, prefix) ns
-  ON e.id = ns.id AND e.prefix = ns.prefix"""),
-    ("sent_all", """
-SELECT a.id, a.prefix, CAST(sum(b.num_components) AS BIGINT) AS total_components_allprior,
-       CAST(sum(b.num_components) // count(*) AS BIGINT) AS avg_components_allprior
-FROM num_sent a JOIN num_sent b ON a.id = b.id WHERE b.end_date <= a.end_date GROUP BY a.id, a.prefix"""),
-    ("sent_5y", """
-SELECT a.id, a.prefix, CAST(sum(b.num_components) AS BIGINT) AS total_components_5y,
-       CAST(sum(b.num_components) // count(*) AS BIGINT) AS avg_components_5y
-FROM num_sent a JOIN num_sent b ON a.id = b.id
-WHERE b.end_date >= a.end_date - 1825 AND b.end_date <= a.end_date GROUP BY a.id, a.prefix"""),
-    ("days_all", """
-SELECT a.id, a.prefix, sum(b.duration_days) AS total_days_allprior,
-       CAST(count(*) AS BIGINT) AS n_prior_allprior, sum(b.duration_days) / count(*) AS avg_days_allprior
-FROM inc_all a JOIN inc_all b ON a.id = b.id WHERE b.end_date <= a.end_date GROUP BY a.id, a.prefix"""),
-    ("days_5y", """
-SELECT a.id, a.prefix, sum(b.duration_days) AS total_days_5y,
-       CAST(count(*) AS BIGINT) AS n_prior_5y, sum(b.duration_days) / count(*) AS avg_days_5y
-FROM inc_all a JOIN inc_all b ON a.id = b.id
-WHERE b.end_date >= a.end_date - 1825 AND b.end_date <= a.end_date GROUP BY a.id, a.prefix"""),
-    ("termlist", """
-SELECT o.id, o.prefix, string_agg(DISTINCT o.term, ',' ORDER BY o.term) AS term_list
-FROM episodes l LEFT JOIN components o ON l.id = o.id AND l.prefix = o.prefix
-WHERE o.id IS NOT NULL GROUP BY o.id, o.prefix"""),
-    ("countylist", """
-SELECT o.id, o.prefix, string_agg(DISTINCT o.county, ',' ORDER BY o.county) AS county_list
-FROM episodes l LEFT JOIN components o ON l.id = o.id AND l.prefix = o.prefix
-WHERE o.id IS NOT NULL GROUP BY o.id, o.prefix"""),
-])
+def wide_sql(recent_days: str) -> str:
+    """One row per episode of at least a day, each family of features a sub-query over the entity's other rows.
+
+    ``recent_days`` is the condition of the five-year day totals.
+    """
+    return with_ctes(["episodes", "components", "attributes", "events_by_entity"], f"""
+SELECT e.id, e.prefix, e.start_date, e.end_date, {flag_sql("episodes")} AS label, round(e.days, 6) AS duration_days,
+       CASE WHEN c.n > 0 THEN c.n END AS events, CASE WHEN c.n > 0 THEN c.n_days END AS events_unique,
+       CASE WHEN c.n > 0 THEN c.n END AS events_positive, CASE WHEN c.n > 0 THEN c.n_early END AS events_before_start,
+       CASE WHEN c.n > 0 THEN c.n_early END AS events_before_start_positive,
+       {codes_sql("offense")} AS offense_codes, {codes_sql("qualifier")} AS qualifier_codes, {codes_sql("penalty")} AS penalty_codes,
+       {codes_sql("term", False)} AS term_list, {codes_sql("county", False)} AS county_list, e.parts AS num_components,
+       p.race, p.gender, {years_sql("e.start_date")} AS age_at_start, {years_sql("e.end_date")} AS age_at_end,
+       {years_sql(FIRST_START)} AS age_first,
+       past.parts AS total_components_allprior, past.parts // past.n AS avg_components_allprior,
+       past.parts_5y AS total_components_5y, past.parts_5y // past.n_5y AS avg_components_5y,
+       past.days AS total_days_allprior, past.n_days AS n_prior_allprior, round(past.days / past.n_days, 6) AS avg_days_allprior,
+       near.days AS total_days_5y, near.n AS n_prior_5y, round(near.days / near.n, 6) AS avg_days_5y
+FROM sized e LEFT JOIN attributes p USING (id),
+     LATERAL ({EVENT_COUNTS}) c,
+     LATERAL (SELECT CAST(sum(h.parts) AS BIGINT) AS parts, count(*) AS n, sum(h.days) AS days, count(h.days) AS n_days,
+                     CAST(sum(h.parts) FILTER (WHERE h.end_date >= e.end_date - 1825) AS BIGINT) AS parts_5y,
+                     count(*) FILTER (WHERE h.end_date >= e.end_date - 1825) AS n_5y
+              FROM sized h WHERE {EARLIER}) past,
+     LATERAL (SELECT sum(h.days) AS days, count(h.days) AS n FROM sized h WHERE {recent_days}) near
+WHERE e.days >= 1""", extra=[("sized", SIZED)])
 
 
 def wide_rounded(df):
@@ -200,17 +124,22 @@ def wide_rounded(df):
     return df.select(*out)
 
 
-@register("feature_table_wide", WIDE_SQL)
+def _wide(t, **kw):
+    return wide_rounded(feature_table(analog.episodes(t), analog.components(t), analog.attributes(t),
+                                      analog.events_by_entity(t), **kw))
+
+
+@register("feature_table_wide", wide_sql(RECENT))
 def q_feature_table_wide(t):
-    wide = feature_table(analog.episodes(t), analog.components(t), analog.attributes(t),
-                         analog.events_by_entity(t))
-    return wide_rounded(wide)
+    return _wide(t)
+
 
+@register("feature_table_wide_as_written", wide_sql(NOT_OLD))
+def q_feature_table_wide_as_written(t):
+    """The day totals of the last five years without an upper bound; component totals stay bounded."""
+    return _wide(t, bounded_5y=False)
 
 
-@register("feature_table_wide_hot_entity", analog.hot_sql(WIDE_SQL))
+@register("feature_table_wide_hot_entity", analog.hot_sql(wide_sql(RECENT)))
 def q_feature_table_wide_hot_entity(t):
-    h = analog.HotTables(t)
-    wide = feature_table(analog.episodes(h), analog.components(h), analog.attributes(h),
-                         analog.events_by_entity(h))
-    return wide_rounded(wide)
+    return _wide(analog.HotTables(t))

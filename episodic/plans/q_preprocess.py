@@ -127,11 +127,11 @@ QUALS = ["FA", "FN", "FR", "OA", "ON", "OR"]
     f"CAST(CASE WHEN list_contains(string_split(qualifier_codes, ','), '{q}') THEN 1 ELSE 0 END AS INTEGER)"
     f" AS qualifier_codes_{q}" for q in QUALS) + """
 FROM (SELECT l.id, l.prefix, string_agg(DISTINCT o.qualifier, ',' ORDER BY o.qualifier) AS qualifier_codes
-      FROM episodes l LEFT JOIN (SELECT * FROM components WHERE component_no <> 2) o
+      FROM episodes l LEFT JOIN components o
         ON l.id = o.id AND l.prefix = o.prefix GROUP BY l.id, l.prefix) s"""))
 def q_multi_hot(t):
     from ..operators.features import distinct_lists
-    kids = analog.components(t).where(F.col("component_no") != 2)
+    kids = analog.components(t)
     lists = distinct_lists(analog.episodes(t), kids, ["id", "prefix"], {"qualifier": "qualifier_codes"}, keep="all")
     vocab = P.fit_vocabulary(lists, "qualifier_codes", sep=",")
     return P.apply_multi_hot(lists, "qualifier_codes", vocab, sep=",")

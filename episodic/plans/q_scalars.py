@@ -226,11 +226,10 @@ SELECT e.id, e.prefix, coalesce(a.race, 'MISSING') AS race, coalesce(a.gender, '
        CAST(coalesce(v.n, 0) AS BIGINT) AS n_events
 FROM episodes e
 LEFT JOIN attributes a ON e.id = a.id
-LEFT JOIN (SELECT id, count(*) AS n FROM events_by_entity WHERE verdict = 'DISMISSED' AND id % 4 = 0
-           GROUP BY id) v ON e.id = v.id""", extra=[("attributes", analog.SQL["attributes"])]))
+LEFT JOIN (SELECT id, count(*) AS n FROM events_by_entity WHERE verdict = 'DISMISSED' GROUP BY id) v ON e.id = v.id""", extra=[("attributes", analog.SQL["attributes"])]))
 def q_fill_constant(t):
     a = analog.attributes(t).select("id", "race", "gender")
-    v = (analog.events_by_entity(t).where((F.col("verdict") == "DISMISSED") & (F.col("id") % 4 == 0))
+    v = (analog.events_by_entity(t).where(F.col("verdict") == "DISMISSED")
          .groupBy("id").agg(F.count(F.lit(1)).alias("n_events")))
     df = analog.episodes(t).join(a, "id", "left").join(v, "id", "left")
     df = df.fillna("MISSING", subset=["race", "gender"]).fillna(0, subset=["n_events"])
@@ -239,12 +238,12 @@ def q_fill_constant(t):
 
 # ------------------------------------------------------------ C1, C2, D1-D3
 
+# fully dated spans: every date is there and lies outside year 1
 BOUNDS = """
 SELECT id, prefix, min(begin_date) AS span_start, max(actual_end) AS end_actual, max(projected_end) AS end_proj
-FROM spans
-WHERE CAST(begin_date AS VARCHAR) NOT LIKE '0001%' AND CAST(projected_end AS VARCHAR) NOT LIKE '0001%'
-  AND CAST(actual_end AS VARCHAR) NOT LIKE '0001%'
-GROUP BY id, prefix"""
+FROM (SELECT * FROM spans WHERE least(year(begin_date), year(actual_end), year(projected_end)) > 1
+        AND begin_date IS NOT NULL AND actual_end IS NOT NULL AND projected_end IS NOT NULL)
+GROUP BY ALL"""
 
 
 @register("group_min_max", with_ctes(["spans"], "SELECT * FROM bounds", extra=[("bounds", BOUNDS)]))
