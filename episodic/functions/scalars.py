@@ -93,7 +93,8 @@ def empty_to_null(c) -> Column:
 def flag_to_dummy(c) -> Column:
     """Map Y/N-style flags to 1/0; anything else becomes NULL."""
     m = F.create_map(*[x for k, v in FLAG_MAP.items() for x in (F.lit(k), F.lit(v))])
-    return m[_c(c).cast("string")].cast("int")
+    text = _c(c).cast("string")
+    return m[F.when(text == "true", "True").when(text == "false", "False").otherwise(text)].cast("int")  # booleans as text
 
 
 def binary_code_dummy(c) -> Column:
@@ -110,6 +111,13 @@ def to_numeric(c, integral: bool = False) -> Column:
     return v
 
 
+def numeric_column(df, c: str):  # noqa: ANN001, ANN201 - DataFrame to DataFrame
+    """``c`` parsed as a number, as BIGINT only if every parsed value is whole (one aggregate decides)."""
+    v = to_numeric(c)
+    whole = df.agg(F.bool_and(v == F.floor(v))).first()[0]
+    return df.withColumn(c, v.cast("long") if whole else v)
+
+
 def parse_date(c, fmt: str | None = None) -> Column:
     """Text to DATE; unparseable values become NULL."""
     if fmt:

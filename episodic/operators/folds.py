@@ -11,6 +11,7 @@ feature table is written partitioned by it).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,12 @@ def temporal_folds(df: DataFrame, end: str, train_start_year: int, test_years: S
 
     A row appears once per fold that uses it (expanding windows re-use old
     rows by design); the fold list is a literal array, so no join and no
-    per-fold rescan of the input.
+    per-fold rescan of the input.  Rows outside all folds are cut by one date
+    range, which reaches the scan.
     """
+    if not test_years:
+        return df.where(F.lit(False)).select(F.lit(0).alias(fold_col), F.lit("").alias(role_col), *df.columns)
+    df = df.where((F.col(end) >= F.lit(date(min(train_start_year, *test_years), 1, 1))) & (F.col(end) < F.lit(date(max(test_years) + 1, 1, 1))))
     years = F.array(*[F.lit(int(y)) for y in test_years])
     train_of = F.filter(years, lambda y: train_predicate(end, train_start_year, y, gap_days))
     test_of = F.filter(years, lambda y: test_predicate(end, y))

@@ -6,7 +6,9 @@ import datetime as dt
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from episodic.operators.episodes import build_episodes, label_next_event, label_next_event_naive
+from episodic.operators.episodes import build_episodes, label_next_event
+
+from .naive import history_by_self_join, label_by_self_join
 from episodic.operators.history import durations, events_as_of, history
 
 D = dt.date
@@ -62,7 +64,7 @@ def test_naive_form_agrees(spark):
     rows = [(1, 1, D(2000, 1, 1), D(2000, 12, 31)), (1, 2, D(2000, 6, 1), D(2000, 7, 1)),
             (1, 3, D(2001, 2, 1), D(2001, 3, 1)), (2, 4, D(2000, 1, 1), D(2000, 1, 2))]
     e = ep(spark, rows)
-    assert labels(label_next_event(e)) == labels(label_next_event_naive(e))
+    assert labels(label_next_event(e)) == labels(label_by_self_join(e))
 
 
 def test_history_null_end_and_truncated_mean(spark):
@@ -128,18 +130,34 @@ def test_build_episodes(spark):
     court = spark.createDataFrame([(1, 10, D(2000, 1, 1), "Y"), (1, 10, D(1999, 12, 1), "Y"),
                                    (1, 11, D(2000, 1, 1), "Y")],
                                   "id long, prefix long, effective_date date, new_period_flag string")
-    out = build_episodes(comps, spans, court).collect()
+    out = build_episodes(comps, spans, court, "felony_cd", "FELON").collect()
     assert [(r["prefix"], r["start_date"], r["end_date"]) for r in out] == [(10, D(1999, 12, 1), D(2000, 3, 1))]
 
 
-def test_history_naive_agrees(spark):
-    from episodic.operators.history import history_naive
+def test_history_agrees_with_the_self_join(spark):
+    rows = [(1, i, D(2000, 1, 1) + dt.timedelta(days=(i * 37) % 90), None if i % 4 == 0 else float(i)) for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, prefix long, end_date date, v double")
+    for frame, lo, hi in (("all_prior", None, 0), ("trailing", -40, 0), ("lower_bound_only", -40, None), ("trailing", 0, 0)):
+        days = -lo if lo is not None else 0
+        a = {r["prefix"]: (r["total"], r["n"]) for r in history(df, "v", frame, days, count_col="n").collect()}
+        assert a == {r["prefix"]: (r["total"], r["n"]) for r in history_by_self_join(df, "v", lo, hi).collect()}
 
-    df = spark.createDataFrame([(1, i, D(2000, 1, 1) + dt.timedelta(days=(i * 37) % 90), float(i)) for i in range(12)],
-                               "id long, prefix long, end_date date, v double")
-    a = {r["prefix"]: (r["total"], r["n"]) for r in history(df, "v", "trailing", 40, count_col="n").collect()}
-    b = {r["prefix"]: (r["total"], r["n"]) for r in history_naive(df, "v", "trailing", 40).collect()}
-    assert a == b
+
+def test_unknown_start_has_no_event_before_it(spark):
+    e = spark.createDataFrame([(1, 1, None, D(2000, 2, 1)), (1, 2, D(2000, 1, 1), D(2000, 2, 1))],
+                              "id long, prefix long, start_date date, end_date date")
+    ev = spark.createDataFrame([(1, D(1999, 12, 1), "GUILTY"), (1, D(2000, 1, 15), "GUILTY")], "id long, event_date date, verdict string")
+    got = {r["prefix"]: (r["events"], r["events_before_start"]) for r in events_as_of(e, ev).collect()}
+    assert got == {1: (2, 0), 2: (2, 1)}
+
+
+def test_frames_are_linear_in_days(spark):
+    """No window recomputes its frame for each row: every range frame starts at the first row of its order."""
+    e = spark.createDataFrame([(1, 1, D(2000, 1, 1), D(2000, 2, 1), 1)], "id long, prefix long, start_date date, end_date date, v int")
+    for df in (label_next_event(e), history(e, "v", "trailing", 30), history(e, "v", "lower_bound_only", 30)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition" in plan.lower()
+        assert plan.count("RangeFrame, unboundedpreceding$()") == plan.count("RangeFrame,")
 
 
 def test_history_frames_one_pass_equals_single_frames(spark):
@@ -158,4 +176,5 @@ def test_history_frames_one_pass_equals_single_frames(spark):
             assert (g[f"{prefix_}_total"], g[f"{prefix_}_count"], g[f"{prefix_}_mean"]) == (r["total"], r["n"], r["m"])
     multi.write.format("noop").mode("overwrite").save()
     plan = multi._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("Window [") == 1  # three frames, one window node
+    # one node for the frames that run up from the first day, one for the frame without an upper end, in descending order
+    assert plan.count("Window [") == 2

@@ -8,7 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from episodic.operators import evaluate as E
-from episodic.operators.ranking import GROUP_N, RANK, global_rank, rank, window_rank
+from episodic.operators.ranking import GROUP_N, RANK, rank
+
+from .naive import rank_by_window
 
 
 def scored(spark, n, score=None, label=None, group=None):
@@ -34,24 +36,30 @@ def test_tied_scores_take_lowest_ids(spark):
     assert chosen == [0, 1]
 
 
-def test_global_rank_equals_window_rank_with_a_dominant_group(spark):
+def test_rank_equals_the_plain_window(spark):
+    """A dominant group, a NULL group and small groups, at several partition counts."""
     rnd = random.Random(7)
-    data = [(i, 0 if rnd.random() < 0.7 else rnd.randint(1, 5), rnd.randint(0, 30)) for i in range(3000)]
+    data = [(i, (0 if rnd.random() < 0.6 else rnd.choice([None, 1, 2, 3])), rnd.randint(0, 30)) for i in range(3000)]
     df = spark.createDataFrame(data, "id long, g int, s long")
     order = [F.col("s").desc(), F.col("id").asc()]
-    a = {r["id"]: (r[RANK], r[GROUP_N]) for r in global_rank(df, order, ["g"], num_partitions=13).collect()}
-    b = {r["id"]: (r[RANK], r[GROUP_N]) for r in window_rank(df, order, ["g"]).collect()}
-    assert a == b
-
-
-def test_rank_auto_switches_on_group_size(spark):
-    df = spark.createDataFrame([(i, i % 3) for i in range(100)], "id long, g int")
-    order = [F.col("id").asc()]
-    small = rank(df, order, ["g"], max_group_rows=1000)
-    big = rank(df, order, ["g"], max_group_rows=10)
-    key = lambda d: sorted((r["id"], r[RANK]) for r in d.collect())
-    assert key(small) == key(big)
-    assert "Window" in small._jdf.queryExecution().executedPlan().toString()
+    key = lambda d: {r["id"]: (r[RANK], r[GROUP_N]) for r in d.collect()}
+    want = key(rank_by_window(df, order, ["g"]))
+    assert len(want) == 3000
+    for n in (1, 13):
+        assert key(rank(df, order, ["g"], num_partitions=n)) == want
+
+
+def test_several_tiebreak_columns(spark):
+    df = spark.createDataFrame([(1, k, 1.0, 0) for k in range(20)], "id long, prefix long, score double, label int")
+    top = E.label_top_fraction(df, tiebreak=["id", "prefix"], pct=10).where("prediction = 1")
+    assert sorted(r["prefix"] for r in top.collect()) == [0, 1]
+
+
+def test_histogram_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, 0.1), (None, 0.9), (1, 0.5), (1, 0.7)], "g int, score double")
+    got = {r["g"]: 0 for r in E.score_histogram(df, by=["g"], bins=2).collect()}
+    assert set(got) == {None, 1}
+    assert sum(r["count"] for r in E.score_histogram(df, by=["g"], bins=2).collect()) == 4
 
 
 def metric_row(df, pct=10):

@@ -15,11 +15,46 @@ from .conftest import SF_SMALL
 def test_csv_short_rows_dropped_long_rows_rejected(spark):
     path = IO.scratch_path(spark, "csvtest")
     bad = IO.scratch_path(spark, "bad")
-    spark.createDataFrame([("a,b,c",), ('1,"x,y",3',), ("4,5",), ("6,7,8,9",), ("10,,12",)], "value string") \
+    spark.createDataFrame([("a,b,c",), ('1,"x,y",3',), ("4,5",), ("6,7,8,9",), ("10,,12",), ("7,8,9,",), ("1,2,3,,5",)], "value string") \
         .coalesce(1).write.text(path)
-    out = IO.read_csv_checked(spark, path, bad_records=bad).collect()
+    out = IO.read_csv_checked(spark, path, bad).collect()
     assert [(r["a"], r["b"], r["c"]) for r in out] == [("1", "x,y", "3"), ("10", None, "12")]
-    assert [r["value"] for r in spark.read.text(bad).collect()] == ["6,7,8,9"]
+    assert sorted(r["value"] for r in spark.read.text(bad).collect()) == ["1,2,3,,5", "6,7,8,9", "7,8,9,"]
+
+
+def test_csv_keeps_quotes_lines_and_several_files(spark):
+    path = IO.scratch_path(spark, "csvtest")
+    rows = [(str(i), x) for i, x in enumerate(['a"b', "line\nend", 'q",c', "plain", "k,e\n\"", None, "back\\slash", '""'])]
+    IO.write_csv(spark.createDataFrame(rows, "k string, v string").repartition(3), path)
+    out = IO.read_csv_checked(spark, path, IO.scratch_path(spark, "bad"))
+    assert sorted((r["k"], r["v"]) for r in out.collect()) == rows
+
+
+def test_materialise_refuses_its_own_input(spark):
+    path = IO.scratch_path(spark, "own")
+    df = IO.materialise(spark.range(5), path)
+    with pytest.raises(ValueError):
+        IO.materialise(df.where("id > 1"), path)
+    assert IO.materialise(spark.range(3), path).count() == 3
+
+
+def test_folds_push_a_date_range(spark):
+    path = IO.scratch_path(spark, "dated")
+    df = IO.materialise(spark.sql("select id, date_add(date'1990-01-01', cast(id * 40 as int)) as end_date from range(300)"), path)
+    folds = T.temporal_folds(df, "end_date", 1995, [1999, 2001])
+    assert "GreaterThanOrEqual(end_date" in folds._jdf.queryExecution().executedPlan().toString()
+    want = sum(T.temporal_train_split(df, "end_date", 1995, y).count() + T.temporal_test_split(df, "end_date", y).count() for y in (1999, 2001))
+    assert folds.count() == want
+    assert T.temporal_folds(df, "end_date", 1995, []).count() == 0
+
+
+def test_boolean_flags_and_whole_numbers(spark):
+    from episodic.functions import scalars as S
+
+    got = spark.createDataFrame([(True,), (False,), (None,)], "f boolean").select(S.flag_to_dummy("f").alias("d")).collect()
+    assert [r["d"] for r in got] == [1, 0, None]
+    df = spark.createDataFrame([("1", "1.5"), ("x", "2"), (None, "3")], "a string, b string")
+    assert S.numeric_column(S.numeric_column(df, "a"), "b").dtypes == [("a", "bigint"), ("b", "double")]
 
 
 def test_fixed_width_and_names(spark):
@@ -132,19 +167,9 @@ def test_results_rows_layout(spark):
     assert cols[10:14] == ["accuracy_1", "precision_1", "recall_1", "f1_1"]
 
 
-def test_spread_small_inputs_only(spark):
-    from episodic.session import recommended_conf, spread_small
+def test_recommended_conf_follows_the_input():
+    from episodic.session import recommended_conf
 
-    big = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")   # one row group, ~10 MB
-    tiny = spark.read.parquet(f"{SF_SMALL}/region.parquet")
-    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in plan(spread_small(big))
-    assert "RoundRobinPartitioning" not in plan(spread_small(tiny))
-    spark.conf.set("episodic.io.spreadSmallScans", "false")
-    try:
-        assert "RoundRobinPartitioning" not in plan(spread_small(big))
-    finally:
-        spark.conf.unset("episodic.io.spreadSmallScans")
     conf = recommended_conf(100 << 40, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
