@@ -12,12 +12,15 @@ in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import GROUP_N, RANK, rank
+
 # ------------------------------------------------------------ D13 null columns
 
 
@@ -36,16 +39,47 @@ _AGGS: dict[str, Callable[[str], Column]] = {
     "mean": lambda c: F.avg(c),
     "max": lambda c: F.max(c),
     "min": lambda c: F.min(c),
-    "median": lambda c: F.median(c),
 }
 
 
+def fit_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns, linearly interpolated between order statistics.
+
+    The values of all columns are ranked in one range-partitioned pass
+    (``ranking.rank``), so no task holds the distinct values of a column; only
+    the two ranks around each quantile reach the driver (at most
+    ``2 * len(ps)`` rows a column).  NULLs take no part; a column without
+    values has NULL quantiles.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
+    long = df.select(F.explode(cells).alias("_c")).select("_c.name", "_c.v").where(F.col("v").isNotNull())
+    ranked = rank(long, [F.col("v").asc()], ["name"])
+    at = F.array(*[F.lit(float(p)) * (F.col(GROUP_N) - 1) for p in ps])
+    wanted = F.exists(at, lambda x: (F.floor(x) + 1 == F.col(RANK)) | (F.ceil(x) + 1 == F.col(RANK)))
+    rows = ranked.where(wanted).select("name", "v", RANK, GROUP_N).collect()
+    found = {(r["name"], r[RANK]): r["v"] for r in rows}
+    sizes = {r["name"]: r[GROUP_N] for r in rows}
+
+    def value(c: str, p: float) -> float | None:
+        if c not in sizes:
+            return None
+        x = float(p) * (sizes[c] - 1)
+        lo, hi = math.floor(x), math.ceil(x)
+        a, b = found[c, lo + 1], found[c, hi + 1]
+        return a if lo == hi or a == b else (hi - x) * a + (x - lo) * b
+
+    return {c: [value(c, p) for p in ps] for c in cols}
+
+
+
 def fit_fill(df: DataFrame, cols: Sequence[str], how: str | Callable[[str], Column] = "mean") -> dict:
     """Column -> fill value, from one aggregation over ``df``.
 
     ``how`` is mean / max / min / median or any ``str -> Column`` aggregate
     (the caller-supplied fill function of the original API).
     """
+    if how == "median":
+        return {c: v[0] for c, v in fit_quantiles(df, cols, [0.5]).items()}
     if isinstance(how, str):
         if how not in _AGGS:
             raise ValueError("fill only supports mean, max, min or median")
@@ -99,24 +133,13 @@ def null_outliers(df: DataFrame, cols: Sequence[str], sd: float = 3.0, stats: di
 # ------------------------------------------------------------ D14, P6 deciles
 
 
-def fit_quantile_edges(df: DataFrame, col: str, q: int = 10, exact: bool = True,
-                       accuracy: int = 100000, round_digits: int | None = None) -> list[float]:
-    """Distinct quantile edges (linear interpolation, like ``qcut``).
-
-    ``exact`` uses ``percentile`` (holds a count per distinct value, fine for
-    low-cardinality or modest data); ``exact=False`` uses
-    ``percentile_approx`` for very large inputs.
-    """
-    ps = [i / q for i in range(q + 1)]
-    if exact:
-        agg = F.percentile(F.col(col), F.array(*[F.lit(p) for p in ps]))
-    else:
-        agg = F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in ps]), accuracy)
-    edges = df.agg(agg.alias("e")).first()["e"] or []
-    edges = [float(e) for e in edges if e is not None]
-    if round_digits is not None:
-        edges = [round(e, round_digits) for e in edges]
-    return sorted(set(edges))
+def fit_quantile_edges(df: DataFrame, cols: Sequence[str], q: int = 10, round_digits: int | None = None) -> dict[str, list[float]]:
+    """Distinct quantile edges of each column (linear interpolation, like ``qcut``), all from one ranking."""
+    out = {}
+    for c, values in fit_quantiles(df, cols, [i / q for i in range(q + 1)]).items():
+        edges = [v if round_digits is None else round(v, round_digits) for v in values if v is not None]
+        out[c] = sorted(set(edges))
+    return out
 
 
 def apply_bins(col: str, edges: list[float]) -> Column:
@@ -136,9 +159,9 @@ def apply_bins(col: str, edges: list[float]) -> Column:
 def discretise(df: DataFrame, cols: Sequence[str], q: int = 10, suffix: str = "cat",
                round_digits: int | None = None) -> DataFrame:
     out = df
+    edges = fit_quantile_edges(df, cols, q, round_digits)
     for c in cols:
-        edges = fit_quantile_edges(df, c, q, round_digits=round_digits)
-        out = out.withColumn(c + suffix, apply_bins(c, edges))
+        out = out.withColumn(c + suffix, apply_bins(c, edges[c]))
     return out
 
 
@@ -173,15 +196,20 @@ def invert_minmax(df: DataFrame, stats: dict) -> DataFrame:
 # ------------------------------------------------------------ R1-R3 encoders
 
 
-def fit_vocabulary(df: DataFrame, col: str, sep: str | None = None) -> list[str]:
-    """Sorted distinct values (or tokens of a delimited list) of ``col``.
+MOST_CODES = 100_000
 
-    The vocabulary is aggregated on the cluster; only the distinct codes
-    (bounded by the category count) reach the driver.
-    """
-    c = F.explode(F.split(F.col(col), sep)) if sep else F.col(col)
-    vals = df.select(c.alias("v")).where(F.col("v").isNotNull()).distinct().collect()
-    return sorted(str(r["v"]) for r in vals)
+
+def distinct_codes(codes: DataFrame, most: int = MOST_CODES) -> list[str]:
+    """Sorted distinct values of a one-column frame; an error beyond ``most``, so that free text never fills the driver."""
+    got = codes.toDF("v").where(F.col("v").isNotNull()).distinct().limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} distinct codes: not a vocabulary")
+    return sorted(str(r["v"]) for r in got)
+
+
+def fit_vocabulary(df: DataFrame, col: str, sep: str | None = None, most: int = MOST_CODES) -> list[str]:
+    """Sorted distinct values (or tokens of a delimited list) of ``col``, at most ``most``."""
+    return distinct_codes(df.select(F.explode(F.split(F.col(col), sep)) if sep else F.col(col)), most)
 
 
 def apply_one_hot(df: DataFrame, col: str, vocab: Sequence[str], keep: bool = True) -> DataFrame:

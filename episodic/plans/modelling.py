@@ -83,7 +83,7 @@ def fold_vectors(wide: DataFrame, test_year: int, train_start: int = 1995, gap_d
     test = reuse(P.apply_minmax(test, mm), "prepared_test")
 
     tok_train = train.withColumn("_tok", _tokens())
-    vocab = sorted(r[0] for r in tok_train.select(F.explode("_tok").alias("t")).distinct().collect())
+    vocab = P.distinct_codes(tok_train.select(F.explode("_tok")))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="_tok", outputCol="_cat", binary=True)
     numeric = CONTINUOUS + [f"{a}_missing" for a in AGES]
 

@@ -92,3 +92,21 @@ def test_null_columns(spark):
 def test_keep_null_inequality(spark):
     df = spark.createDataFrame([("FEMALE",), (None,), ("MALE",)], "g string")
     assert df.where(S.not_equal_keep_null("g", "FEMALE")).count() == 2
+
+
+def test_quantiles_equal_the_builtin_over_several_columns(spark):
+    df = spark.range(997).select((F.pmod(F.col("id") * 7919, F.lit(101)) / 3).alias("x"), F.when(F.col("id") % 4 > 0, F.col("id") * 1.5).alias("y"),
+                                 F.lit(None).cast("double").alias("z"))
+    ps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    want = df.agg(*[F.percentile(c, F.array(*map(F.lit, ps))).alias(c) for c in "xyz"]).first()
+    got = P.fit_quantiles(df, ["x", "y", "z"], ps)
+    for c in "xy":
+        assert got[c] == pytest.approx(list(want[c]))
+    assert got["z"] == [None] * 6
+
+
+def test_vocabulary_fails_loudly_beyond_its_limit(spark):
+    df = spark.range(30).select(F.col("id").cast("string").alias("c"))
+    assert len(P.fit_vocabulary(df, "c", most=30)) == 30
+    with pytest.raises(ValueError):
+        P.fit_vocabulary(df, "c", most=29)
