@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -29,9 +29,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reuse
+from ..session import reuse, scratch_table_path
 
-MAX_DEPTH = 30  # MLlib's limit; deeper requests are clamped and reported
+MAX_DEPTH = 30  # MLlib's limit; see effective_points
 SEED = 0
 
 # The parameter grids (test / small / large) of the ten
@@ -98,6 +98,15 @@ def parameter_grid(spec: dict[str, list]) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[spec[k] for k in keys])]
 
 
+def effective_points(spec: dict[str, list]) -> list[dict]:
+    """The parameter points that can be fitted: depths beyond MLlib's limit become the limit, and equal points are one.
+
+    The results then name the depth that was fitted.
+    """
+    points = [p | ({"max_depth": min(p["max_depth"], MAX_DEPTH)} if "max_depth" in p else {}) for p in parameter_grid(spec)]
+    return list({params_key(p): p for p in points}.values())
+
+
 def params_key(params: dict) -> str:
     """Stable text form of a parameter point (sorted JSON)."""
     return json.dumps(params, sort_keys=True, default=str)
@@ -107,7 +116,9 @@ def params_key(params: dict) -> str:
 
 
 def _depth(d) -> int:
-    return int(min(int(d), MAX_DEPTH))
+    if int(d) > MAX_DEPTH:
+        raise ValueError(f"max_depth {d} is beyond MLlib's limit of {MAX_DEPTH}")
+    return int(d)
 
 
 def _min_instances(min_samples_split) -> int:
@@ -164,13 +175,12 @@ def positive_score(pred: DataFrame, name: str, model=None, params: dict | None =
     return vector_to_array("probability")[1]
 
 
-def fit_adaboost(train: DataFrame, params: dict, features: str = "features", label: str = "label",
-                 checkpoint_every: int = 5) -> list[tuple[float, object]]:
+def fit_adaboost(train: DataFrame, params: dict, features: str = "features", label: str = "label") -> list[tuple[float, object]]:
     """SAMME / SAMME.R boosting of depth-1 trees on row weights.
 
     Each round: fit a weighted stump, get its weighted error with one
-    aggregate, reweight rows with a column expression.  Lineage is cut by a
-    reliable checkpoint every few rounds.
+    aggregate, reweight rows with a column expression.  Each round's weights
+    are written once, so no job replays earlier rounds.
     """
     algo = params.get("algorithm", "SAMME.R")
     rounds = int(params.get("n_estimators", 50))
@@ -200,10 +210,9 @@ def fit_adaboost(train: DataFrame, params: dict, features: str = "features", lab
             ysign = F.col(label) * 2 - 1
             stumps.append((1.0, model))
             df = pr.select(features, label, (F.col("_w") * F.exp(-ysign * h)).alias("_w"))
+        df = reuse(df, "boost_weights")  # the next round reads weights, not this round's trees
         total = df.agg(F.sum("_w")).first()[0] or 1.0
         df = df.withColumn("_w", F.col("_w") / F.lit(total))
-        if (m + 1) % checkpoint_every == 0:
-            df = reuse(df, "boost_weights")
     return stumps
 
 
@@ -224,58 +233,99 @@ def score_adaboost(test: DataFrame, stumps, algo: str, features: str = "features
 
 # ------------------------------------------------------------ k nearest neighbours
 
+QUERY_CHUNK = 128
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int, weights: str = "uniform", id_col: str = "id",
-                vec: str = "embedding", label: str = "label", block_rows: int = 20000) -> DataFrame:
-    """Exact k-NN vote by blocked brute force, fully distributed.
-
-    Test and train rows are hashed into blocks of about ``block_rows`` rows;
-    each (test block, train block) pair is one cogroup task that computes the
-    distances with numpy and keeps only the k nearest train rows per test
-    row.  A grouped top-k then merges the candidates of all train blocks, so
-    the result is exact, no task holds more than two blocks, nothing passes
-    through the driver, and no (test, train) pair is materialised as a row.
-    Ties in distance are broken by train id; the vote picks the smallest
-    label among equal votes.
+
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query row: the positions of its k nearest rows (ties to the smaller id) and their exact distances.
+
+    Products of one chunk of queries preselect what may be among the k within
+    their rounding error; only those distances are computed from differences.
+    """
+    size = (x * x).sum(1)
+    for at in range(0, len(q), QUERY_CHUNK):
+        part = q[at:at + QUERY_CHUNK]
+        own = (part * part).sum(1)
+        near = own[:, None] - 2 * part @ x.T + size
+        kk = min(k, len(x))
+        edge = np.partition(near, kk - 1, axis=1)[:, kk - 1] + 1e-9 * (own + size.max() + 1)
+        for i in range(len(part)):
+            some = np.flatnonzero(near[i] <= edge[i])
+            d = np.sqrt(((x[some] - part[i]) ** 2).sum(1))
+            best = np.lexsort((ids[some], d))[:kk]
+            yield at + i, some[best], d[best]
+
+
+def knn_neighbours(train: DataFrame, test: DataFrame, k: int, block_rows: int = 20000) -> DataFrame:
+    """``qid, nid, dist, nlabel`` of the k nearest train rows of each test row, by blocked brute force.
+
+    ``test`` has ``qid, qv`` and ``train`` has ``nid, nv, nlabel``.  Rows are
+    hashed into blocks of about ``block_rows``; each (test block, train block)
+    pair is one cogroup task that keeps k candidates a test row and holds one
+    chunk of distances at a time.  A grouped top-k merges the candidates, so
+    the result is exact and no pair is materialised as a row.
     """
     from pyspark.sql import Window
 
     n_train, n_test = train.count(), test.count()
     rb = max(1, math.ceil(n_train / block_rows))
     tb = max(1, math.ceil(n_test / block_rows))
-    q = (test.select(F.col(id_col).alias("qid"), F.col(vec).alias("qv"))
-         .withColumn("tb", F.pmod(F.xxhash64("qid"), F.lit(tb)).cast("int"))
+    q = (test.withColumn("tb", F.pmod(F.xxhash64("qid"), F.lit(tb)).cast("int"))
          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
-    r = (train.select(F.col(id_col).alias("nid"), F.col(vec).alias("nv"), F.col(label).cast("long").alias("nlabel"))
-         .withColumn("rb", F.pmod(F.xxhash64("nid"), F.lit(rb)).cast("int"))
+    r = (train.withColumn("rb", F.pmod(F.xxhash64("nid"), F.lit(rb)).cast("int"))
          .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)))))
-    schema = "qid long, nid long, dist double, nlabel long"
 
     def nearest(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or rp.empty:
             return pd.DataFrame({"qid": [], "nid": [], "dist": [], "nlabel": []})
         qm = np.stack([np.asarray(v, dtype=np.float64) for v in qp["qv"]])
         tm = np.stack([np.asarray(v, dtype=np.float64) for v in rp["nv"]])
-        tids = rp["nid"].to_numpy(dtype=np.int64)
-        d2 = (qm * qm).sum(1)[:, None] - 2 * qm @ tm.T + (tm * tm).sum(1)[None, :]
-        d = np.sqrt(np.maximum(d2, 0.0))
-        kk = min(k, len(tids))
-        order = np.lexsort((np.broadcast_to(tids, d.shape), d), axis=1)[:, :kk]
-        rows_i = np.repeat(np.arange(len(qp)), kk)
-        cols_i = order.reshape(-1)
-        return pd.DataFrame({"qid": np.repeat(qp["qid"].to_numpy(dtype=np.int64), kk), "nid": tids[cols_i],
-                             "dist": d[rows_i, cols_i], "nlabel": rp["nlabel"].to_numpy(dtype=np.int64)[cols_i]})
-
-    cand = q.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb")).applyInPandas(nearest, schema)
+        ids, labels, qids = (c.to_numpy(dtype=np.int64) for c in (rp["nid"], rp["nlabel"], qp["qid"]))
+        found = list(_nearest(qm, tm, ids, k))
+        at = np.concatenate([p for _, p, _ in found])
+        return pd.DataFrame({"qid": np.concatenate([np.full(len(p), qids[i]) for i, p, _ in found]), "nid": ids[at],
+                             "dist": np.concatenate([d for *_, d in found]), "nlabel": labels[at]})
+
+    cand = q.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb")).applyInPandas(nearest, "qid long, nid long, dist double, nlabel long")
     w = Window.partitionBy("qid").orderBy("dist", "nid")
-    top = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    wt = F.lit(1.0) if weights == "uniform" else F.when(F.col("dist") > 0, 1.0 / F.col("dist")).otherwise(F.lit(1e300))
-    votes = top.groupBy("qid", "nlabel").agg(F.sum(wt).alias("_v"))
+    return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def _votes(top: DataFrame, weights: str) -> DataFrame:
+    """Each neighbour's vote: 1, or 1 / distance; where some distance is 0, only those neighbours vote."""
+    from pyspark.sql import Window
+
+    if weights == "uniform":
+        return top.withColumn("_w", F.lit(1.0))
+    zero = F.min("dist").over(Window.partitionBy("qid")) == 0
+    return top.withColumn("_w", F.when(zero, (F.col("dist") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("dist"))))
+
+
+def knn_predict(train: DataFrame, test: DataFrame, k: int, weights: str = "uniform", id_col: str = "id",
+                vec: str = "embedding", label: str = "label", block_rows: int = 20000) -> DataFrame:
+    """Exact k-NN vote: the label with the most votes, the smallest among equals."""
+    from pyspark.sql import Window
+
+    top = knn_neighbours(train.select(F.col(id_col).alias("nid"), F.col(vec).alias("nv"), F.col(label).cast("long").alias("nlabel")),
+                         test.select(F.col(id_col).alias("qid"), F.col(vec).alias("qv")), k, block_rows)
+    votes = _votes(top, weights).groupBy("qid", "nlabel").agg(F.sum("_w").alias("_v"))
     wv = Window.partitionBy("qid").orderBy(F.col("_v").desc(), F.col("nlabel").asc())
     return (votes.withColumn("_r", F.row_number().over(wv)).where(F.col("_r") == 1)
             .select(F.col("qid").alias(id_col), F.col("nlabel").cast("int").alias("predicted")))
 
 
+def knn_score(train: DataFrame, test: DataFrame, params: dict, keep: Sequence[str], features: str = "features",
+              label: str = "label") -> DataFrame:
+    """Vote share of class 1 for every test row, as the other families score."""
+    rows = reuse(test.withColumn("qid", F.monotonically_increasing_id()), "knn_test")
+    known = reuse(train.select(F.monotonically_increasing_id().alias("nid"), vector_to_array(features).alias("nv"),
+                               F.col(label).cast("long").alias("nlabel")), "knn_train")
+    top = knn_neighbours(known, rows.select("qid", vector_to_array(features).alias("qv")), int(params.get("n_neighbors", 5)))
+    share = _votes(top, params.get("weights", "uniform")).groupBy("qid").agg(
+        (F.sum(F.col("_w") * (F.col("nlabel") == 1).cast("double")) / F.sum("_w")).alias("score"))
+    return rows.join(share, "qid", "left").select(*keep, "score")
+
+
 # ------------------------------------------------------------ fitting and scoring
 
 
@@ -289,7 +339,7 @@ def fit_and_score(name: str, params: dict, train: DataFrame, test: DataFrame, ke
         sc = score_adaboost(test, stumps, params.get("algorithm", "SAMME.R"), features)
         return sc.select(*keep, F.col("score").cast("double").alias("score")), stumps
     if name == "KNN":
-        raise ValueError("use knn_predict for k-NN")
+        return knn_score(train, test, params, keep, features, label), None
     feats = nb_features if (name == "NB" and nb_features) else features
     est = make_estimator(name, params, n_train, feats, label)
     model = est.fit(train)
@@ -305,36 +355,54 @@ def tree_text(model) -> str | None:
 
 def feature_importance(name: str, model, names: Sequence[str]) -> pd.DataFrame | None:
     """Coefficients (LR, SVM), class-1 log-likelihoods (NB) or impurity
-    importances (trees), sorted descending; None where no importance exists."""
+    importances (trees; AB: of its stumps by their weight) of all features,
+    sorted descending; None where no importance exists."""
     if name in ("LR", "SVM"):
         vals = model.coefficients.toArray()
     elif name == "NB":
         vals = np.asarray(model.theta.toArray())[1]
     elif name in ("RF", "ET", "GB", "DT"):
         vals = model.featureImportances.toArray()
+    elif name == "AB" and model:
+        vals = sum(a * m.featureImportances.toArray() for a, m in model) / sum(a for a, _ in model)
     else:
         return None
     df = pd.DataFrame({"feature": list(names), "importance": vals[: len(names)]})
     return df.sort_values("importance", ascending=False, kind="mergesort").reset_index(drop=True)
 
 
+IMPORTANCE = "model string, parameters string, position int, feature string, importance double"
+
+
+def importance_rows(name: str, params: dict, model, names: Sequence[str]) -> list[tuple]:
+    """All importances of one fit as rows of ``IMPORTANCE``."""
+    got = feature_importance(name, model, names)
+    if got is None:
+        return []
+    return [(name, params_key(params), i + 1, r.feature, float(r.importance)) for i, r in enumerate(got.itertuples())]
+
+
 def run_grid(train: DataFrame, test: DataFrame, models: Sequence[str], grid: dict, keep: Sequence[str],
              features: str = "features", label: str = "label", max_workers: int = 4,
-             nb_features: str | None = None) -> DataFrame:
-    """Fit every (model, parameter point); union of all test scores with
-    ``model`` and ``parameters`` columns.  Fits run from a small driver
-    thread pool; each fit is itself distributed."""
+             nb_features: str | None = None, importances: list | None = None, names: Sequence[str] = ()) -> DataFrame:
+    """Fit every (model, parameter point); all test scores with ``model`` and
+    ``parameters`` columns.  Fits run from a small driver thread pool; each
+    fit is itself distributed and appends its scores to one table, so the
+    result is read from files and no plan unites the fits.  ``importances``
+    is extended by each fit's rows (``names``: the features)."""
     n_train = train.count()
-    jobs = [(m, p) for m in models for p in parameter_grid(grid[m])]
+    jobs = [(m, p) for m in models for p in effective_points(grid[m])]
+    path = scratch_table_path(train.sparkSession, "grid-scores")
 
     def one(job):
-        m, p = job
-        sc, _ = fit_and_score(m, p, train, test, keep, features, label, n_train, nb_features)
-        return sc.select(F.lit(m).alias("model"), F.lit(params_key(p)).alias("parameters"), *keep, "score")
+        k, (m, p) = job
+        sc, model = fit_and_score(m, p, train, test, keep, features, label, n_train, nb_features)
+        sc.select(F.lit(m).alias("model"), F.lit(params_key(p)).alias("parameters"), *keep,
+                  F.col("score").cast("double").alias("score")).write.parquet(f"{path}/fit={k}")
+        return importance_rows(m, p, model, names) if importances is not None else []
 
     with ThreadPoolExecutor(max_workers=max_workers) as ex:
-        parts = list(ex.map(one, jobs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        for rows in ex.map(one, enumerate(jobs)):
+            if importances is not None:
+                importances += rows
+    return train.sparkSession.read.parquet(path).drop("fit")

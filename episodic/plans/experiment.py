@@ -27,7 +27,7 @@ def results_rows(scores: DataFrame, year: int, n_train: int, n_features: int, n_
                  subgroups: Sequence[str] = ("MALE", "FEMALE"), levels=E.LEVELS) -> DataFrame:
     tagged = E.subgroup_tags(scores, "gender", list(subgroups), out="subgroup")
     keys = ["model", "parameters", "subgroup"]
-    ranked = E.rank_scores(tagged, "score", "id", keys)
+    ranked = E.rank_scores(tagged, "score", ["id", "prefix"], keys)
     wide = E.metrics_wide(E.metrics_by_level(ranked, "label", keys, levels), keys, levels)
     auc = E.auc(ranked, "label", "score", keys)
     return wide.join(auc, keys).select(
@@ -43,27 +43,52 @@ def fairness_by_model(scores: DataFrame, pct: float = 10, attrs: Sequence[str] =
     top ``pct`` percent of the fold is predicted positive, then counts and
     rates per attribute value -- one grouped job for the whole grid."""
     keys = ["model", "parameters"]
-    pred = E.label_top_fraction(scores, "score", "id", pct, by=keys)
+    pred = E.label_top_fraction(scores, "score", ["id", "prefix"], pct, by=keys)
     return E.fairness_crosstab(pred, list(attrs), "label", "prediction", keys, min_group_size)
 
 
+def predictions(scores: DataFrame, year: int, pct: float = 10) -> DataFrame:
+    """Every fit's scores with the label its top ``pct`` percent gives."""
+    pred = E.label_top_fraction(scores, "score", ["id", "prefix"], pct, by=["model", "parameters"])
+    return pred.select(F.lit(int(year)).alias("year"), "model", "parameters", *KEEP, "score", "prediction")
+
+
+def histograms(scores: DataFrame, year: int, bins: int = 10) -> DataFrame:
+    """The score histogram of every fit."""
+    return E.score_histogram(scores, "score", ["model", "parameters"], bins).withColumn("year", F.lit(int(year)))
+
+
 def run_fold(wide: DataFrame, year: int, models: Sequence[str], grid: dict, train_start: int = 1995,
              gap_days: int = 365, exclude: tuple[str, str] | None = None,
-             subgroups: Sequence[str] = ("MALE", "FEMALE")) -> DataFrame:
+             subgroups: Sequence[str] = ("MALE", "FEMALE"), outputs: str | None = None) -> DataFrame:
+    """Result rows of one fold.  With ``outputs`` every fit's predictions, histogram and fairness table, the feature
+    list and the complete importances are appended below that folder, partitioned by year."""
     fd = fold_vectors(wide, year, train_start, gap_days, subgroup=exclude)
     train, test = reuse(fd.train, "fold_train"), reuse(fd.test, "fold_test")
-    scores = reuse(M.run_grid(train, test, models, grid, KEEP, nb_features="nb_features"), "scores")
+    kept: list = []
+    scores = reuse(M.run_grid(train, test, models, grid, KEEP, nb_features="nb_features", importances=kept,
+                              names=fd.feature_names), "scores")
     base = test.agg(F.avg("label")).first()[0] or 0.0
+    if outputs:
+        spark, at = wide.sparkSession, outputs.rstrip("/")
+        append_table(predictions(scores, year), f"{at}/predictions", partition_by=["year"])
+        append_table(histograms(scores, year), f"{at}/histograms", partition_by=["year"])
+        append_table(fairness_by_model(scores).withColumn("year", F.lit(int(year))), f"{at}/fairness", partition_by=["year"])
+        names = spark.createDataFrame([(int(year), i, n) for i, n in enumerate(fd.feature_names)], "year int, position int, feature string")
+        append_table(names, f"{at}/features", partition_by=["year"])
+        if kept:
+            append_table(spark.createDataFrame([(int(year), *r) for r in kept], "year int, " + M.IMPORTANCE), f"{at}/importances", partition_by=["year"])
     return results_rows(scores, year, fd.n_train, len(fd.feature_names), fd.n_test, base, subgroups)
 
 
 def run_years(wide: DataFrame, years: Sequence[int], results_path: str, models: Sequence[str] = M.DEFAULT_MODELS,
               grid_size: str = "small", train_start: int = 1995, gap_days: int = 365,
-              exclude: tuple[str, str] | None = None, subgroups: Sequence[str] = ("MALE", "FEMALE")) -> DataFrame:
+              exclude: tuple[str, str] | None = None, subgroups: Sequence[str] = ("MALE", "FEMALE"),
+              outputs: str | None = None) -> DataFrame:
     """Append results rows of every test year to ``results_path`` (Parquet,
-    partitioned by year) and return the whole table."""
+    partitioned by year) and return the whole table; ``outputs`` as in ``run_fold``."""
     grid = M.GRIDS[grid_size]
     for y in years:
-        rows = run_fold(wide, y, models, grid, train_start, gap_days, exclude, subgroups)
+        rows = run_fold(wide, y, models, grid, train_start, gap_days, exclude, subgroups, outputs)
         append_table(rows, results_path, partition_by=["year"])
     return wide.sparkSession.read.parquet(results_path)

@@ -13,35 +13,25 @@ from ..operators import models as M
 from ..session import reuse
 from ..sources import io as IO
 from . import analog
-from .catalog import i32, register
+from .analog import with_ctes
+from .catalog import i32, i64, register
 from .features import feature_table
 from .modelling import fold_vectors
+from .q_episodes import flag_sql
 
 TEST_YEAR = 1999
-_WIDE_CACHE: dict = {}
 
 
 def wide_table(t):
-    """The labelled wide table, materialised once per session and input."""
-    key = (t.spark.sparkContext.applicationId, id(t.spark), t.sf_dir)
-    if key not in _WIDE_CACHE:
-        wide = feature_table(analog.episodes(t), analog.components(t), analog.attributes(t),
-                             analog.events_by_entity(t))
-        _WIDE_CACHE[key] = IO.materialise(wide, IO.scratch_path(t.spark, "wide"))
-    return _WIDE_CACHE[key]
-
-
-_FOLD_CACHE: dict = {}
+    """The labelled wide table, materialised."""
+    wide = feature_table(analog.episodes(t), analog.components(t), analog.attributes(t), analog.events_by_entity(t))
+    return IO.materialise(wide, IO.scratch_path(t.spark, "wide"))
 
 
 def fold(t, year: int = TEST_YEAR):
-    key = (t.spark.sparkContext.applicationId, id(t.spark), t.sf_dir, year)
-    if key not in _FOLD_CACHE:
-        fd = fold_vectors(wide_table(t), year)
-        fd.train = reuse(fd.train, "fold_train")
-        fd.test = reuse(fd.test, "fold_test")
-        _FOLD_CACHE[key] = fd
-    return _FOLD_CACHE[key]
+    fd = fold_vectors(wide_table(t), year)
+    fd.train, fd.test = reuse(fd.train, "fold_train"), reuse(fd.test, "fold_test")
+    return fd
 
 
 KEEP = ["id", "prefix", "label"]
@@ -116,16 +106,53 @@ def q_results_by_year(t):
 
 @register("feature_importance")
 def q_feature_importance(t):
+    """All importances of one point of four families."""
     fd = fold(t)
     rows = []
-    for name in ("LR", "DT", "GB"):
+    for name in ("LR", "DT", "GB", "AB"):
         params = M.parameter_grid(M.GRIDS["test"][name])[0]
         _, model = M.fit_and_score(name, params, fd.train, fd.test, KEEP, n_train=fd.n_train)
-        imp = M.feature_importance(name, model, fd.feature_names)
-        for i, r in enumerate(imp.head(10).itertuples()):
-            rows.append((name, M.params_key(params), i + 1, r.feature, float(r.importance)))
-    return t.spark.createDataFrame(rows, "model string, parameters string, position int, feature string, "
-                                         "importance double")
+        rows += M.importance_rows(name, params, model, fd.feature_names)
+    return t.spark.createDataFrame(rows, M.IMPORTANCE)
+
+
+# the rows of the test fold, from the tables: episodes of at least a day that end in its year
+FOLD_SQL = with_ctes(["episodes"], f"""
+, fold AS (SELECT e.id, e.prefix, {flag_sql("episodes")} AS label FROM episodes e
+           WHERE e.end_date > e.start_date AND year(e.end_date) = {TEST_YEAR}),
+fits(model) AS (VALUES ('LR'), ('RF'), ('GB'), ('DT'), ('SVM'), ('NB'), ('BAG'), ('AB'), ('ET'), ('KNN'))""")
+
+
+def _all_families(t):
+    """Scores of one point of each family on the test fold."""
+    from .experiment import KEEP as RKEEP
+
+    fd = fold(t)
+    families = ["LR", "RF", "GB", "DT", "SVM", "NB", "BAG", "AB", "ET", "KNN"]
+    return M.run_grid(fd.train, fd.test, families, M.GRIDS["test"], RKEEP, nb_features="nb_features")
+
+
+@register("grid_rows_checked", FOLD_SQL + """
+SELECT model, id, prefix, label, true AS scored FROM fold, fits""")
+def q_grid_rows_checked(t):
+    """Every family scores each row of the fold once: a number, from 0 to 1 but for the margin of the SVM."""
+    ok = F.col("score").isNotNull() & ~F.isnan("score") & ((F.col("model") == "SVM") | F.col("score").between(0, 1))
+    return _all_families(t).select("model", "id", "prefix", i32("label").alias("label"), ok.alias("scored"))
+
+
+@register("grid_predictions", FOLD_SQL + """
+SELECT model, CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS positives,
+       CAST(round_even(CAST(count(*) AS DOUBLE) * 0.1, 0) AS BIGINT) AS predicted, CAST(count(*) AS BIGINT) AS in_histogram
+FROM fold, fits GROUP BY model""")
+def q_grid_predictions(t):
+    """Predictions and histograms of every fit: sizes, base rate and the exact number of positives at ten percent."""
+    from .experiment import histograms, predictions
+
+    scores = reuse(_all_families(t), "scores")
+    counts = predictions(scores, TEST_YEAR).groupBy("model").agg(
+        i64(F.count(F.lit(1))).alias("n"), i64(F.sum("label")).alias("positives"), i64(F.sum("prediction")).alias("predicted"))
+    drawn = histograms(scores, TEST_YEAR).groupBy("model").agg(i64(F.sum("count")).alias("in_histogram"))
+    return counts.join(drawn, "model")
 
 
 @register("predictions_table")
@@ -134,7 +161,7 @@ def q_predictions_table(t):
     params = M.parameter_grid(M.GRIDS["test"]["LR"])[0]
     sc, _ = M.fit_and_score("LR", params, fd.train, fd.test, ["id", "prefix", "start_date", "end_date", "label"],
                             n_train=fd.n_train)
-    pred = E.label_top_fraction(sc, "score", "id", 10)
+    pred = E.label_top_fraction(sc, "score", ["id", "prefix"], 10)
     out = pred.select(F.lit(TEST_YEAR).alias("year"), F.lit("LR").alias("model"),
                       F.lit(json.dumps(params, sort_keys=True)).alias("parameters"), "id", "prefix", "start_date",
                       "end_date", "label", "score", "prediction")

@@ -173,3 +173,25 @@ def test_recommended_conf_follows_the_input():
     conf = recommended_conf(100 << 40, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_depths_beyond_the_limit_are_fitted_and_named_once():
+    spec = {"max_depth": [20, 50, 100], "criterion": ["gini"]}
+    assert [p["max_depth"] for p in M.effective_points(spec)] == [20, 30]
+    with pytest.raises(ValueError):
+        M.make_estimator("DT", {"max_depth": 50}, 10)
+
+
+def test_zero_distance_neighbours_vote_alone(spark):
+    train = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [1.0, 0.0], 1), (3, [1.1, 0.0], 1)], "id long, embedding array<double>, label int")
+    test = spark.createDataFrame([(10, [0.0, 0.0]), (11, [1.05, 0.0])], "id long, embedding array<double>")
+    got = {r["id"]: r["predicted"] for r in M.knn_predict(train, test, 3, "distance").collect()}
+    assert got == {10: 0, 11: 1}
+
+
+def test_neighbours_are_exact_for_near_ties(spark):
+    import numpy as np
+
+    x = np.array([[1e6, 1.0], [1e6, 1.0 + 1e-7], [1e6, 1.0]])
+    found = list(M._nearest(x[:1], x, np.array([5, 6, 2]), 2))
+    assert found[0][1].tolist() == [2, 0] and found[0][2].tolist() == [0.0, 0.0]
