@@ -19,20 +19,13 @@ from ..functions.frames import add_indicators
 from ..operators import preprocess as P
 from ..operators.folds import temporal_test_split, temporal_train_split
 from ..session import reuse
+from .features import FAMILIES
 
-# The continuous features scaled to [0, 1] on train, the ages
-# imputed by the cascade, event counts filled with 0, list-valued and
-# single-valued categorical features.
-CONTINUOUS = [
-    "duration_days", "total_days_allprior", "n_prior_allprior", "avg_days_allprior", "total_days_5y",
-    "n_prior_5y", "avg_days_5y", "num_components", "total_components_allprior", "avg_components_allprior",
-    "total_components_5y", "avg_components_5y", "age_at_start", "age_at_end", "age_first",
-    "events", "events_unique", "events_positive", "events_before_start", "events_before_start_positive",
-]
-AGES = ["age_at_start", "age_at_end", "age_first"]
-ZERO_FILL = ["events", "events_unique", "events_positive", "events_before_start", "events_before_start_positive"]
-LIST_FEATURES = ["county_list", "penalty_codes", "offense_codes", "qualifier_codes"]
-CATEGORICAL = ["term_list", "race", "gender"]
+# what the families' columns are to a model: scaled numbers, ages imputed by the cascade, counts where none means zero,
+# delimited lists and single categories
+AGES, ZERO_FILL, LIST_FEATURES = FAMILIES["ages"], FAMILIES["events"], FAMILIES["code_lists"]
+CONTINUOUS = [c for f in ("length", "size", "ages", "component_history", "day_history", "events") for c in FAMILIES[f]]
+CATEGORICAL = FAMILIES["single_codes"] + FAMILIES["entity"]
 
 
 @dataclass
