@@ -38,13 +38,14 @@ POOL = 4096
 
 @dataclass
 class Example:
-    """What is left of an example from position ``at`` on."""
+    """What is left of an example from position ``at`` on; ``skip`` tokens of it came before ``ids``."""
 
     name: int | None
     ids: np.ndarray
     at: int
     loss_start: int
     total: int
+    skip: int = 0
 
     def demand(self) -> tuple[int, int]:
         n = len(self.ids)
@@ -75,6 +76,8 @@ class VectorPacker:
             end = e.reach(self.tokens, self.loss)
             yield [(e, e.at, end)]
             e.at = end
+        if n and e.at:  # a copy of the rest, so that what waits doesn't hold whole batches
+            e = Example(e.name, e.ids[e.at:].copy(), 0, max(0, e.loss_start - e.at), e.total, e.at)
         if n:
             self.waiting.append(e)
         if len(self.waiting) >= self.pool:
@@ -157,7 +160,7 @@ def pack(rows: DataFrame, *, tokens: int = 2048, segments: int = 256, loss: int
                 offset = 0
                 for e, a, b in pieces:
                     raw = e.ids[a:b].astype("<u4")
-                    out.append((e.name, a, b - a, zlib.crc32(raw), e.total, sequence, offset) + ((raw.astype(np.int32),) if with_ids else ()))
+                    out.append((e.name, e.skip + a, b - a, zlib.crc32(raw), e.total, sequence, offset) + ((raw.astype(np.int32),) if with_ids else ()))
                     offset += b - a
                 sequence += 1
 
