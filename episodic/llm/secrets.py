@@ -59,6 +59,11 @@ MARKUP = "{}=;<>[]\"'`$"
 CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access", "auth", "bearer", "credential", "private", "key")
 
 
+PLAIN = re.compile(r"[A-Z]?[a-z]+[.,]?")
+NAMED = re.compile("|".join(CUES), re.I)
+DIGIT, MARK = re.compile("[0-9]"), re.compile("[" + re.escape(MARKUP) + "]")
+
+
 def base_spans(text: str, kinds: tuple[str, ...] = KINDS[:3]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base rules, in code points, by start and then kind as listed."""
     out = []
@@ -122,6 +127,34 @@ def file_features(tokens: int, with_digits: int, markup: int) -> np.ndarray:
     return np.array([with_digits > 0.2 * tokens, markup > 0.3 * tokens, tokens < 50, 1.0])
 
 
+def _runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of consecutive numbers: first and one past the last."""
+    for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+        yield int(part[0]), int(part[-1]) + 1
+
+
+def _spans(text: str, found: list[re.Match], tags: list[int]) -> list[tuple[int, int]]:
+    """Spans of tagged tokens, without the marks around them."""
+    out: list[tuple[int, int]] = []
+    for m, t in zip(found, tags, strict=True):
+        if t == O:
+            continue
+        a, b = m.span()
+        if t == I and out:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    cut = []
+    for a, b in out:
+        while a < b and text[a] in "\"'`([{<":
+            a += 1
+        while b > a and text[b - 1] in "\"'`)]}>.,;:!?":
+            b -= 1
+        if a < b:
+            cut.append((a, b))
+    return cut
+
+
 @dataclass
 class SecretModel:
     """Weights of the CRF: ``emit`` of (feature, tag), ``step`` of (tag before, tag), ``first`` of the first tag."""
@@ -131,7 +164,7 @@ class SecretModel:
     first: np.ndarray
 
     def __post_init__(self) -> None:
-        self.token_scores: dict[str, np.ndarray] = {}
+        self.token_scores: dict[tuple, tuple] = {}
         # what O can lose at both steps around a token by being O, at most
         into = max(self.step[p, t] - self.step[p, O] for p in range(3) for t in (B, I))
         into = max(into, max(self.first[t] - self.first[O] for t in (B, I)))
@@ -143,101 +176,119 @@ class SecretModel:
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
         """Scores (token, tag) of one file."""
-        e = np.array([self.own(t) for t in tokens])
-        c = [cue(t) for t in tokens]
+        known = [self._plain(t) if PLAIN.fullmatch(t) and not NAMED.search(t) else (self.own(t), cue(t)) for t in tokens]
+        e = np.array([x for x, _ in known])
+        c = [x for _, x in known]
         before, after = [3, *c[:-1]], [*c[1:], 3]
-        digits = sum(any(ch.isdigit() for ch in t) for t in tokens)
-        markup = sum(any(ch in MARKUP for ch in t) for t in tokens)
+        digits = sum(DIGIT.search(t) is not None for t in tokens)
+        markup = sum(MARK.search(t) is not None for t in tokens)
         return (e + self.emit[N_TOKEN:][before] + self.emit[N_TOKEN + N_CUE:][after]
                 + file_features(len(tokens), digits, markup) @ self.emit[-N_FILE:])
 
+    def _decode(self, e: np.ndarray, opens: bool, ends: bool) -> list[int]:
+        """The best tags of a run whose neighbours are O; ``opens`` and ``ends``: it is the file's first or last."""
+        score = (self.first if opens else self.step[O]) + e[0]
+        back = []
+        for row in e[1:]:
+            total = score[:, None] + self.step
+            back.append(total.argmax(axis=0))
+            score = total.max(axis=0) + row
+        if not ends:
+            score = score + self.step[:, O]
+        tags = [int(score.argmax())]
+        for pointer in reversed(back):
+            tags.append(int(pointer[tags[-1]]))
+        return tags[::-1]
+
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """The best tags, decoded between the tokens that are O for certain."""
-        n = len(e)
-        tags = np.zeros(n, np.int8)
-        sure = e[:, O] - e[:, 1:].max(axis=1) > self.margin
-        at = 0
-        open_ = np.flatnonzero(~sure)
-        while at < len(open_):
-            a = b = int(open_[at])
-            while at + 1 < len(open_) and open_[at + 1] == b + 1:
-                at += 1
-                b += 1
-            at += 1
-            score = (self.first if a == 0 else self.step[O]) + e[a]
-            back = []
-            for i in range(a + 1, b + 1):
-                total = score[:, None] + self.step
-                back.append(total.argmax(axis=0))
-                score = total.max(axis=0) + e[i]
-            if b + 1 < n:
-                score = score + self.step[:, O]
-            tag = int(score.argmax())
-            tags[b] = tag
-            for i in range(b - 1, a - 1, -1):
-                tag = int(back[i - a][tag])
-                tags[i] = tag
+        tags = np.zeros(len(e), np.int8)
+        for a, b in _runs(np.flatnonzero(e[:, O] - e[:, 1:].max(axis=1) <= self.margin)):
+            tags[a:b] = self._decode(e[a:b], a == 0, b == len(e))
         return tags
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Tagged spans in code points; marks around them are left out."""
-        found = [m for m in TOKEN.finditer(text)]
-        if not found:
-            return []
-        tags = self.viterbi(self.emissions([m[0] for m in found]))
-        out: list[tuple[int, int]] = []
-        for m, t in zip(found, tags.tolist(), strict=True):
-            if t == O:
-                continue
-            a, b = m.span()
-            if t == I and out:
-                out[-1] = (out[-1][0], b)
-            else:
-                out.append((a, b))
-        cut = []
-        for a, b in out:
-            while a < b and text[a] in "\"'`([{<":
-                a += 1
-            while b > a and text[b - 1] in "\"'`)]}>.,;:!?":
-                b -= 1
-            if a < b:
-                cut.append((a, b))
-        return cut
-
-    def suspicious(self, texts: pa.Array) -> np.ndarray:
-        """Whether a text has a token that isn't O for certain, whatever its neighbours and file are."""
+        found = list(TOKEN.finditer(text))
+        return _spans(text, found, self.viterbi(self.emissions([m[0] for m in found])).tolist()) if found else []
+
+    def spans_at(self, text: str, unsure: np.ndarray, file: np.ndarray) -> list[tuple[int, int]]:
+        """The same from the tokens that aren't O for certain and the file's features."""
+        found = list(TOKEN.finditer(text))
+        n, tags, whole = len(found), {}, file @ self.emit[-N_FILE:]
+        for a, b in _runs(unsure):
+            near = [found[k][0] if 0 <= k < n else None for k in range(a - 1, b + 1)]
+            e = np.array([self.own(t) + self.emit[N_TOKEN + cue(before)] + self.emit[N_TOKEN + N_CUE + cue(after)] + whole
+                          for before, t, after in zip(near, near[1:-1], near[2:], strict=False)])
+            tags.update(zip(range(a, b), self._decode(e, a == 0, b == n), strict=True))
+        marked = [k for k, t in tags.items() if t != O]
+        return _spans(text, [found[k] for k in marked], [tags[k] for k in marked])
+
+    def suspicious(self, texts: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """The texts with tokens that aren't O for certain, these tokens' numbers, and the file's features.
+
+        This is the test of ``viterbi`` on all tokens of a column at once.
+
+        What depends on a token alone is computed once for each distinct one.
+        """
         lists = pc.split_pattern_regex(texts, TOKEN_SPLIT)
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
-        around = self.emit[N_TOKEN:N_TOKEN + N_CUE], self.emit[N_TOKEN + N_CUE:N_TOKEN + 2 * N_CUE], self.emit[-N_FILE:]
-        gain = sum((g[:, 1:] - g[:, :1]).max() for g in around[:2]) + np.maximum(around[2][:, 1:] - around[2][:, :1], 0).max(axis=1).sum()
-        need = self.margin + gain
-        words = coded.dictionary
-        # plain words of one script, perhaps with a mark at an end, share few shapes: their scores are kept by shape
-        shape = pc.replace_substring_regex(pc.replace_substring_regex(words, r"\p{Ll}", "a"), r"\p{Lu}", "A").to_pylist()
-        plain = pc.match_substring_regex(words, r"^\p{Lu}?\p{Ll}*[.,]?$").to_numpy(zero_copy_only=False)
-        out = np.zeros(len(words), bool)
-        kept = self.token_scores
-        for i, w in enumerate(words.to_pylist()):
-            if not w:
-                continue
-            if plain[i]:
-                key = f"{shape[i]}/{min(4, len(set(w)) // 4)}/{all(c in 'abcdef' for c in w)}"
-                s = kept.get(key)
-                if s is None:
-                    if len(kept) > 100_000:
-                        kept.clear()
-                    s = kept[key] = self._least(w)
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        full = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)[index] if len(index) else np.zeros(0, bool)
+        offsets = np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+        index = index[full]
+        if not len(index):
+            return {}
+        lead, cues = self._distinct(words)
+        digit = pc.match_substring_regex(words, r"[0-9]").to_numpy(zero_copy_only=False)
+        markup = pc.match_substring_regex(words, "[" + re.escape(MARKUP) + "]").to_numpy(zero_copy_only=False)
+        cue_at = cues[index]
+        first, last = offsets[:-1], offsets[1:] - 1
+        some = np.flatnonzero(np.diff(offsets))
+        before, after = np.empty_like(cue_at), np.empty_like(cue_at)
+        before[1:], after[:-1] = cue_at[:-1], cue_at[1:]
+        before[first[some]] = after[last[some]] = 3
+        start = offsets[some]
+        size = np.diff(offsets)[some]
+        files = np.stack([np.add.reduceat(digit[index].astype(np.int64), start) > 0.2 * size,
+                          np.add.reduceat(markup[index].astype(np.int64), start) > 0.3 * size, size < 50, np.ones(len(size))], axis=1)
+        # O's lead over B and over I, token by token
+        gap = self.emit[:, :1] - self.emit[:, 1:]
+        around = gap[N_TOKEN:N_TOKEN + N_CUE][before] + gap[N_TOKEN + N_CUE:N_TOKEN + 2 * N_CUE][after]
+        whole = lead[index] + around + np.repeat(files @ gap[-N_FILE:], size, axis=0)
+        unsure = np.flatnonzero(whole.min(axis=1) <= self.margin + 1e-9)
+        owner = np.searchsorted(start, unsure, side="right") - 1
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        return {int(some[o[0]]): (u - start[o[0]], files[o[0]]) for u, o in zip(np.split(unsure, cuts), np.split(owner, cuts), strict=True) if len(u)}
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """O's lead over B and I by a token's own features, and its cue, for distinct tokens.
+
+        Words of letters with nothing around them but a mark at the end fall
+        into few kinds (shape, distinct letters, hexadecimal or not), which
+        are computed once.
+        """
+        text = words.to_pylist()
+        lead, cues = np.empty((len(text), 2)), np.empty(len(text), np.int64)
+        plain = pc.match_substring_regex(words, r"^\p{Lu}?\p{Ll}+[.,]?$").to_numpy(zero_copy_only=False)
+        named = pc.match_substring_regex(words, "(?i)" + "|".join(CUES)).to_numpy(zero_copy_only=False)
+        fixed = (plain & ~named).tolist()
+        for i, w in enumerate(text):
+            if w:
+                e, cues[i] = self._plain(w) if fixed[i] else (self.own(w), cue(w))
+                lead[i] = e[O] - e[B], e[O] - e[I]
             else:
-                s = self._least(w)
-            out[i] = s <= need
-        flag = np.append(out[coded.indices.to_numpy()].astype(np.int64), 0)
-        return (np.add.reduceat(flag, np.minimum(offsets[:-1], len(flag) - 1)) > 0) & (np.diff(offsets) > 0)
+                lead[i], cues[i] = 0.0, 3
+        return lead, cues
 
-    def _least(self, token: str) -> float:
-        e = self.own(token)
-        return float(e[O] - max(e[B], e[I]))
+    def _plain(self, word: str) -> tuple[np.ndarray, int]:
+        core = word.rstrip(".,")
+        key = (len(core), core[0].isupper(), min(4, len(set(core)) // 4), word[-1] if word[-1] in ".," else "")
+        got = self.token_scores.get(key)
+        if got is None:
+            got = self.token_scores[key] = (self.own(word), cue(word))
+        return got
 
 
 # ---- training -------------------------------------------------------------------------------------------------
@@ -263,10 +314,10 @@ def training_windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     n = len(tokens)
     if not n:
         return
-    digits = sum(any(ch.isdigit() for ch in t) for t in tokens)
+    digits = sum(any("0" <= ch <= "9" for ch in t) for t in tokens)
     markup = sum(any(ch in MARKUP for ch in t) for t in tokens)
     whole = file_features(n, digits, markup)
-    odd = [i for i, t in enumerate(tokens) if any(ch.isdigit() for ch in t)]
+    odd = [i for i, t in enumerate(tokens) if any("0" <= ch <= "9" for ch in t)]
     at = np.flatnonzero(tags == B)[:WINDOWS].tolist() + odd[:: max(1, len(odd) // 4)][:4] + [n // 3, 2 * n // 3]
     done = -1
     for i in sorted(set(at)):
@@ -322,7 +373,7 @@ def fit(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: f
     return SecretModel(weights[:N_FEATURES * 3].reshape(-1, 3), weights[-12:-3].reshape(3, 3), weights[-3:])
 
 
-def train(documents: DataFrame, *, sample: int = SAMPLE, most_windows: int = 6000) -> SecretModel | None:
+def train(documents: DataFrame, *, sample: int = SAMPLE, most_windows: int = 2500) -> SecretModel | None:
     """Fits on windows of about ``sample`` documents chosen by a hash of their id; None without any base span there."""
     n = documents.count()
     share = min(1.0, sample / max(1, n))
@@ -351,14 +402,16 @@ def all_spans(texts: pa.Array, model: SecretModel | None) -> list[tuple[list[tup
     """Base spans and all spans of each text."""
     n = len(texts)
     maybe = {k: pc.match_substring_regex(texts, p).to_numpy(zero_copy_only=False) for k, p in MAYBE.items()}
-    odd = model.suspicious(texts) if model else np.zeros(n, bool)
+    odd = model.suspicious(texts) if model else {}
     out: list = [([], [])] * n
-    for i in np.flatnonzero(odd | maybe["assign"] | maybe["access"] | maybe["hex"]):
+    flagged = maybe["assign"] | maybe["access"] | maybe["hex"]
+    flagged[list(odd)] = True
+    for i in np.flatnonzero(flagged).tolist():
         text = texts[int(i)].as_py()
         base = base_spans(text, tuple(k for k in KINDS[:3] if maybe[k][i]))
         more = []
-        if odd[i]:
-            more = [(a, b, "crf") for a, b in model.spans(text) if not any(a < d and c < b for c, d, _ in base)]
+        if i in odd:
+            more = [(a, b, "crf") for a, b in model.spans_at(text, *odd[i]) if not any(a < d and c < b for c, d, _ in base)]
         out[i] = (base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))))
     return out
 
