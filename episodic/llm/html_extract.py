@@ -418,7 +418,8 @@ def extract(pages: DataFrame) -> DataFrame:
             todo.append((stream, r["pages"], c, l))
         return pa.table({"layout": pa.array([r["layout"] for r in got], pa.int64()), "main": pa.array(infer(todo), pa.list_(pa.int32()))})
 
-    judged = layouts.groupBy("host").applyInArrow(judge, "layout long, main array<int>")
+    # written, so that the join below is planned by its size: where it is small, the blocks aren't shuffled
+    judged = reuse(layouts.groupBy("host").applyInArrow(judge, "layout long, main array<int>"), "judged-layouts")
     text = F.expr("array_join(transform(filter(blocks, b -> array_contains(main, b.slot)), b -> b.text), ' ')")
     return parsed.join(judged, "layout", "left").select(
         "page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
