@@ -9,8 +9,7 @@ the other has once, it becomes a repeated group; differing text is a slot.
 Every slot of the wrapper is then judged once for the host: slots inside
 navigation, headers, footers, side bars, notices, adverts, forms and reader
 comments are left out; of the others those inside the article (or ``main``)
-are the main text, or, on hosts without one, those of the region that holds
-most of the text, link lists left out.
+are the main text, or, on hosts without one, all but link lists.
 
 All pages take part in the inference: tasks parse their pages once, count the
 distinct streams of each host and write the pages' blocks; only distinct
@@ -27,7 +26,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -58,6 +57,8 @@ CHROME_WORDS = {
     "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "responses", "share", "sharing", "sidebar", "signup", "skip", "social",
     "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets", "complementary", "contentinfo", "search", "alert"}
 ARTICLE = {"article", "main"}
+#: Elements whose text is prose even where it is all links.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "caption"}
 LONGEST_REPEAT = 12
 
 
@@ -325,25 +326,19 @@ def is_chrome(path: tuple) -> bool:
     return False
 
 
+def in_list(path: tuple) -> bool:
+    """Whether links in a slot may be a link list: not those of paragraphs, headings and the like, unless a list item holds them."""
+    names = [step.partition(".")[0] for step in path]
+    return not names or names[-1] not in PROSE or "li" in names
+
+
 def main_slots(paths: list[tuple], chars: dict[int, int], linked: dict[int, int]) -> set[int]:
     """The slots of main text among slots with these paths, characters and characters in links."""
     content = [k for k, p in enumerate(paths) if not is_chrome(p)]
     inside = [k for k in content if any(s.partition(".")[0] in ARTICLE or "main" in s.split(".")[1:] for s in paths[k])]
     if inside:
         return set(inside)
-    content = [k for k in content if 2 * linked.get(k, 0) < max(1, chars.get(k, 0))]
-    total = sum(chars.get(k, 0) for k in content)
-    region: tuple = ()
-    while True:  # the deepest region that still holds most of the text
-        below: Counter = Counter()
-        for k in content:
-            if paths[k][:len(region)] == region and len(paths[k]) > len(region):
-                below[paths[k][:len(region) + 1]] += chars.get(k, 0)
-        best = min(below, key=lambda p: (-below[p], p), default=None)
-        if best is None or below[best] * 5 < total * 4 or len(best) > 6:
-            break
-        region = best
-    return {k for k in content if paths[k][:len(region)] == region}
+    return {k for k in content if not (in_list(paths[k]) and 2 * linked.get(k, 0) >= max(1, chars.get(k, 0)))}
 
 
 def infer(layouts: list[tuple[tuple, int, list[int], list[int]]]) -> list[list[int]]:

@@ -34,6 +34,17 @@ def test_pages_without_article(spark):
     assert texts(pages(spark, [SHELL.format(main=body)]))[0] == " ".join(["A long paragraph of plain text, again and again."] * 3)
 
 
+def test_all_of_an_article_without_article_tag(spark):
+    """Titles, subheadings, lists, quotes, tables and short sections stay, however much of the text the paragraphs hold."""
+    long = "<p>" + "A long paragraph of plain text. " * 40 + "</p>"
+    body = ("<div class='post'><h1>Title</h1>" + long + "<h2><a href='#x'>Linked heading</a></h2>" + long + "<ul><li>first<li>second</ul><blockquote>Quote</blockquote>"
+            "<table><tr><td>cell</td></tr></table><p><a href=x>See also</a></p></div><div class='more'><h2>Short</h2><p>section</p></div>"
+            "<ul><li><a href=x>one link</a><li><a href=y>another</a></ul>")
+    plain = " ".join(["A long paragraph of plain text."] * 40)
+    want = f"Title {plain} Linked heading {plain} first second Quote cell See also Short section"
+    assert texts(pages(spark, [SHELL.format(main=body), SHELL.format(main=body.replace("Title", "Other"))])) == {0: want, 1: want.replace("Title", "Other")}
+
+
 def test_odd_rows(spark):
     sources = [None, "", "plain text only", "<p>unclosed <b>bold", "<article><p>cut off in a tag <a href='x", "<article><!-- no end <p>x", "a < b &amp c &unknown; &#233;", "<script>x",
                "<article>" + "<p>word</p>" * 20_000 + "</article>", "</div></p>text<article><p>&lt;p&gt;</p>"]
