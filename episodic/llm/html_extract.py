@@ -41,7 +41,13 @@ from .url_filter import host_and_path
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "title", "object", "video", "audio", "canvas", "select", "button"}
+#: Text up to the end tag, or to the end of the page.
+RAW = {"script", "style", "textarea", "title"}
+#: Left out with all they hold if their own end tag follows; otherwise only the tag itself is left out.
+LEFT_OUT = {"noscript", "template", "iframe", "svg", "math", "object", "video", "audio", "canvas", "select", "button"}
+HOLDS = re.compile(rf"<(?:{'|'.join(sorted(LEFT_OUT))})[\s/>]", re.I)
+#: ``<svg .../>``, but not a slash that ends an unquoted value.
+EMPTY = re.compile(r"(?<!\S)/$|[\"']/$|^/$|(?:^|\s)[^\s=\"']+/$")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr",
           "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -83,9 +89,56 @@ def _words(attributes: str) -> str:
     return ".".join(sorted(words))
 
 
+def _raw_end(source: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(source, at)
+    return end.end() if end else len(source)
+
+
+def left_out(source: str) -> dict[int, int]:
+    """Where each closed element of ``LEFT_OUT`` ends, by the end of its opening tag; one that its parent's end tag or the page's end cuts off isn't closed."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = defaultdict(int)
+
+    def pop_to(name: str) -> int:
+        while True:
+            top, start = stack.pop()
+            count[top] -= 1
+            if top == name:
+                return start
+
+    at = 0
+    for m in iter(lambda: TAG.search(source, at), None):
+        at = m.end()
+        name = (m[2] or "").lower()
+        if not name or name in INLINE or name in VOID:
+            continue
+        if m[1]:
+            if count[name]:
+                start = pop_to(name)
+                if name in LEFT_OUT:
+                    ends[start] = at
+            continue
+        empty = bool(EMPTY.search(m[3]))
+        if name in RAW:
+            if empty and (count["svg"] or count["math"]):
+                ends[at] = at
+            else:
+                at = _raw_end(source, name, at)
+            continue
+        if name in LEFT_OUT and empty:
+            continue
+        if name in ("button", "select") and count[name]:  # they don't nest: the one before has no end tag
+            pop_to(name)
+        stack.append((name, at))
+        count[name] += 1
+    return ends
+
+
 def parse(source: str) -> Page:
     """The block structure of a page as far as it goes."""
     page, stack, text = Page(), [], []
+    after = left_out(source) if HOLDS.search(source) else {}
     links = linked = 0
 
     def flush() -> None:
@@ -116,16 +169,15 @@ def parse(source: str) -> Page:
         if not m[2]:
             continue
         name, closing = m[2].lower(), bool(m[1])
-        if name in RAW and not closing:
-            end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(source, at)
-            at = end.end() if end else len(source)
+        if not closing and (name in RAW or name in LEFT_OUT):
+            at = after[at] if at in after else _raw_end(source, name, at) if name in RAW else at
             continue
         if name in INLINE:
             if name == "a":
                 links = 0 if closing else 1
             continue
         flush()
-        if name in UNSEEN or name in VOID or name in RAW:
+        if name in UNSEEN or name in VOID or name in RAW or name in LEFT_OUT:
             continue
         links = 0
         if closing:

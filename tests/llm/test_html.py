@@ -45,6 +45,20 @@ def test_all_of_an_article_without_article_tag(spark):
     assert texts(pages(spark, [SHELL.format(main=body), SHELL.format(main=body.replace("Title", "Other"))])) == {0: want, 1: want.replace("Title", "Other")}
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<p>a</p><svg class=i /><iframe src='x'/><object/><video controls/><canvas/><math/><p>b</p>", "a b"),
+    ("<p>a <svg/> b</p><p>c</p><svg><title/><path/></svg><p>d</p>", "a b c d"),
+    ("<div><button>Go</div><p>b</p><button>x</button><p>c</p>", "Go b c"),
+    ("<form><select><option>o</form><p>b</p><select><option>o</select><p>c</p>", "o b c"),
+    ("<div><iframe src=x></div><p>b</p><noscript>n</noscript><p>c</p>", "b c"),
+    ("<p>a</p><svg><svg>i</svg>o</svg><object><p>x<object>y</object></object><p>b</p>", "a b"),
+    ("<p>a</p><iframe src=http://x/>gone</iframe><p>b</p>", "a b"),
+    ("<p>a</p><script src=x>var s='<svg/>';</script><p>b</p><textarea>t<p>c</p>", "a b"),
+    ("<p>a</p>" + "<svg>" * 20_000 + "<button>" * 20_000 + "<p>b</p>", "a b")])
+def test_elements_without_an_end_tag(source, want):
+    assert " ".join(text for _, text, _ in h.parse(source).blocks) == want
+
+
 def test_odd_rows(spark):
     sources = [None, "", "plain text only", "<p>unclosed <b>bold", "<article><p>cut off in a tag <a href='x", "<article><!-- no end <p>x", "a < b &amp c &unknown; &#233;", "<script>x",
                "<article>" + "<p>word</p>" * 20_000 + "</article>", "</div></p>text<article><p>&lt;p&gt;</p>"]
