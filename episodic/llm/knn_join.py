@@ -7,7 +7,8 @@ has a summary: centre c, radius r around it, largest norm and number of
 vectors.  For a query q every vector of the part scores at most
 ``q.c + |q| r`` (and at most ``|q| * largest norm``) and at least
 ``q.c - |q| r``, so the summaries alone give each query a floor that at least
-k candidates reach: the k-th score by lower bounds.  A query is copied only to
+k candidates reach: the k-th score by lower bounds, after as many rows more as
+the query's own id has.  A query is copied only to
 the parts whose upper bound reaches its floor, parts are solved locally, and
 the k best of the parts' answers remain.
 
@@ -84,13 +85,13 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
                                              names=["vec_id", "v", "dim", "cell"])
 
     celled = good.mapInArrow(nearest, "vec_id long, v array<long>, dim int, cell int")
-    celled = reuse(celled, "cells")
+    celled = reuse(celled.withColumn("row", F.monotonically_increasing_id()), "cells")
     sizes = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     rows = max(part_rows, -(-total // (MAX_SUMMARIES // 2)))
     parts = sizes.select("dim", "cell", F.ceil(F.col("n") / rows).alias("cuts"))
     data = celled.join(parts, ["dim", "cell"]).select(
-        "vec_id", "v", "dim", F.concat_ws("/", "dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("cuts"))).alias("part"))
+        "vec_id", "v", "dim", F.concat_ws("/", "dim", "cell", F.pmod(F.xxhash64("row"), F.col("cuts"))).alias("part"))
     data = reuse(data, "parts")
 
     # summaries by partial sums: centre, then the radius around it
@@ -113,8 +114,8 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, dims = batch.column("vec_id").to_pylist(), batch.column("dim").to_pylist()
-            for i, (name, d) in enumerate(zip(names, dims, strict=True)):
+            names, dims, own = (batch.column(c).to_pylist() for c in ("vec_id", "dim", "own"))
+            for i, (name, d, mine) in enumerate(zip(names, dims, own, strict=True)):
                 c, r, norm, n, part = shared.value[d]
                 q = np.array(batch.column("v")[i].as_py(), np.float64)
                 size = np.linalg.norm(q)
@@ -123,7 +124,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
                 high = np.minimum(middle + size * r, size * norm) + slack
                 low = np.maximum(middle - size * r, -size * norm) - slack
                 order = np.argsort(-low)
-                reached = np.cumsum(n[order]) >= k + 1  # the query itself may be among them
+                reached = np.cumsum(n[order]) >= k + mine  # all rows of the query's id may be among them
                 floor = low[order][np.argmax(reached)] if reached.any() else -np.inf
                 to = [part[t] for t in np.flatnonzero(high >= floor)]
                 m = len(to)
@@ -131,7 +132,9 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
                     [pa.array(to, pa.string()), pa.array([name] * m, pa.int64()), pa.array([batch.column("v")[i].as_py()] * m, pa.list_(pa.int64()))],
                     names=["part", "vec_id", "v"])
 
-    asked = data.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "dim").distinct()
+    asking = data.where(F.pmod("vec_id", F.lit(every)) == 0)
+    own = asking.groupBy("vec_id", "dim").agg(F.count(F.lit(1)).alias("own"))
+    asked = asking.select("vec_id", "v", "dim").distinct().join(own, ["vec_id", "dim"])
     routed = asked.mapInArrow(route, "part string, vec_id long, v array<long>")
     both = routed.select("part", F.lit(True).alias("asks"), "vec_id", "v").unionByName(
         data.select("part", F.lit(False).alias("asks"), "vec_id", "v"))

@@ -77,3 +77,29 @@ def test_knn_ties_few_candidates_and_empty(spark):
     score = 256 * 256 + 128 * 128
     assert got == [(0, 1, 3, score), (0, 2, 7, score), (0, 3, 50, score), (50, 1, 0, score), (50, 2, 3, score), (50, 3, 7, score)]
     assert knn_join.top_k(frame.where("false")).count() == 0
+
+
+def test_knn_repeated_query_ids(spark, monkeypatch):
+    """Rows of the query's own id neither make up its floor nor stay together in one part."""
+    g = np.random.default_rng(8)
+    rows = [("x", 0, [100.0, 0.0], 0, 0)] * 6 + [("x", 50, [0.0, 60.0 + float(x)], 0, 0) for x in g.normal(size=100)]
+    rows += [("x", 51 + i, [float(a), float(b)], 0, 0) for i, (a, b) in enumerate(g.normal(size=(49, 2)))]
+    frame, sizes, reuse = spark.createDataFrame(rows, SCHEMA), [], knn_join.reuse
+
+    def spy(df, name):
+        out = reuse(df, name)
+        if name == "parts":
+            sizes.extend(r["count"] for r in out.groupBy("part").count().collect())
+        return out
+
+    monkeypatch.setattr(knn_join, "reuse", spy)
+    got = sorted(tuple(r) for r in knn_join.top_k(frame, part_rows=10, pivots=64).collect())
+    q = {i: {tuple(int(np.floor(256 * x)) for x in np.float32(v)) for _, j, v, *_ in rows if j == i} for i in (0, 50, 100)}
+    data = [(j, [int(np.floor(256 * x)) for x in np.float32(v)]) for _, j, v, *_ in rows]
+    want = []
+    for i in q:
+        if any(j == i for j, _ in data):
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for v in q[i] for j, w in data if j != i)[:5]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
+    assert got == want and len(want) >= 10
+    assert max(sizes) < 40
