@@ -5,9 +5,9 @@ B (a secret begins) or I (it goes on).  A tag's score is the sum of weights of
 the token's shape features, of cues of the words before and after it, of
 features of the whole file (its share of tokens with digits and of markup
 characters) and of the step from the tag before; Viterbi decoding gives the
-best sequence.  Weights are trained by the CRF likelihood on windows of about
-``SAMPLE`` documents (those whose hashed id falls below a share), tagged by
-the base rules.
+best sequence.  Weights are trained by the CRF likelihood on windows tagged by
+the base rules, from up to ``SAMPLE`` documents with a base span and as many
+without one (those with the smallest hashed ids among all documents).
 
 Scanning is exact and cheap where nothing is suspicious: when a token's own
 score for O beats B and I by more than any two steps can return, the best path
@@ -19,7 +19,7 @@ as kind ``crf``.
 
 Defined cases: null text is empty and has no span; repeated rows and null ids
 are scanned like others; texts of any length are scanned whole; where no
-sampled document has a base span, the model adds nothing.
+document has a base span, the model adds nothing.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reuse
 from .common import table, text_slices
 
 #: The base rules, fixed by contract.
@@ -373,11 +374,37 @@ def fit(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: f
     return SecretModel(weights[:N_FEATURES * 3].reshape(-1, 3), weights[-12:-3].reshape(3, 3), weights[-3:])
 
 
+def _sampled(documents: DataFrame, sample: int) -> tuple[DataFrame, bool]:
+    """The documents with the ``sample`` smallest hashes among those with a base span and as many among the others; whether any has a span."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))).alias("hash"), text.alias("text"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        for batch in batches:
+            for part in text_slices(batch):
+                texts, hashes = part.column("text"), part.column("hash").to_numpy()
+                maybe = {k: pc.match_substring_regex(texts, p).to_numpy(zero_copy_only=False) for k, p in MAYBE.items()}
+                hit = np.zeros(len(hashes), bool)
+                for i in np.flatnonzero(maybe["assign"] | maybe["access"] | maybe["hex"]).tolist():
+                    hit[i] = bool(base_spans(texts[i].as_py(), tuple(k for k in KINDS[:3] if maybe[k][i])))
+                for tagged in (0, 1):
+                    kept[tagged] = np.unique(np.concatenate([kept[tagged], hashes[hit == bool(tagged)]]))[:sample]
+        for tagged, h in enumerate(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.full(len(h), tagged), pa.int32())], names=["hash", "tagged"])
+
+    found = reuse(rows.mapInArrow(least, "hash long, tagged int").distinct(), "sampled-documents")
+    with_span, without = ([r["hash"] for r in found.where(F.col("tagged") == tagged).orderBy("hash").limit(sample).collect()]  # bounded by the limit
+                          for tagged in (1, 0))
+    return rows.where(F.col("hash").isin(with_span + without)).select("text"), bool(with_span)
+
+
 def train(documents: DataFrame, *, sample: int = SAMPLE, most_windows: int = 2500) -> SecretModel | None:
-    """Fits on windows of about ``sample`` documents chosen by a hash of their id; None without any base span there."""
-    n = documents.count()
-    share = min(1.0, sample / max(1, n))
-    rows = documents.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) < int(share * (1 << 30))))
+    """Fits on windows of up to ``sample`` documents with a base span and as many without, at most ``most_windows`` tagged
+    and as many untagged windows, all by the smallest hashes; None where no document has a base span."""
+    rows, any_span = _sampled(documents, sample)
+    if not any_span:
+        return None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,10 +415,8 @@ def train(documents: DataFrame, *, sample: int = SAMPLE, most_windows: int = 250
                     [pa.array(tagged, pa.int32()), pa.array([r.tobytes() for r, _ in got], pa.binary()), pa.array([t.tobytes() for _, t in got], pa.binary())],
                     names=["tagged", "x", "y"])
 
-    windows = rows.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "tagged int, x binary, y binary")
-    got = windows.orderBy(F.desc("tagged"), F.xxhash64("x"), "x", "y").limit(most_windows).collect()  # bounded by the limit
-    if not got or not got[0]["tagged"]:
-        return None
+    windows = reuse(rows.mapInArrow(work, "tagged int, x binary, y binary"), "training-windows")
+    got = [r for tagged in (1, 0) for r in windows.where(F.col("tagged") == tagged).orderBy(F.xxhash64("x"), "x", "y").limit(most_windows).collect()]
     return fit([(np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES), np.frombuffer(r["y"], np.int8)) for r in got])
 
 

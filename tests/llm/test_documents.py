@@ -265,6 +265,23 @@ def test_model_adds_what_the_rules_miss(secret_model):
     assert secrets.all_spans(pa.array(["Of the 12 onnd from 108.51.216.133 to a@b.example of 2024 in."]), secret_model)[0] == ([], [])
 
 
+def test_training_windows_of_rare_and_frequent_secrets(spark, monkeypatch):
+    """One document with a secret among many trains the model; where all have some, windows without are there as well."""
+    taken = []
+    monkeypatch.setattr(secrets, "fit", taken.extend)
+    words = "plain words of no interest 12 and 34 more of them "
+    for k in range(3):
+        secrets.train(documents(spark, [words * 5 + ("password=hunter22" if i == 500 + k else "") for i in range(2000)]), sample=20, most_windows=30)
+        assert sum(bool(tags.any()) for _, tags in taken) == 1 and sum(not tags.any() for _, tags in taken) == 30
+        taken.clear()
+    secrets.train(documents(spark, [words * 5 + f"password=hunter{i} " + words * 5 for i in range(200)]), sample=100, most_windows=30)
+    assert sum(bool(tags.any()) for _, tags in taken) == 30 and sum(not tags.any() for _, tags in taken) == 30
+    taken.clear()
+    nameless = documents(spark, [words + f"token: abcdef{i}" for i in range(4)]).selectExpr("cast(null as long) as doc_id", "text")
+    secrets.train(nameless, sample=2)
+    assert any(tags.any() for _, tags in taken)
+
+
 def test_masked_documents(spark, secret_model):
     frame = documents(spark, ["a password=abcdef12 b", None, "clean text"])
     got = secrets.without_secrets(frame, secret_model)
