@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import models as M
+from ..operators.folds import temporal_train_split
 from ..session import reuse
 from ..sources.io import append_table
 from .modelling import fold_vectors
@@ -81,6 +82,14 @@ def run_fold(wide: DataFrame, year: int, models: Sequence[str], grid: dict, trai
     return results_rows(scores, year, fd.n_train, len(fd.feature_names), fd.n_test, base, subgroups)
 
 
+def test_years(wide: DataFrame, train_start: int = 1995, gap_days: int = 365, exclude: tuple[str, str] | None = None) -> list[int]:
+    """Every end year with a train fold before it, in order."""
+    if exclude:
+        wide = wide.where(~F.col(exclude[0]).eqNullSafe(exclude[1]))
+    years = sorted(r[0] for r in wide.select(F.year("end_date")).distinct().collect() if r[0] is not None)  # one row per year
+    return [y for y in years if not temporal_train_split(wide, "end_date", train_start, y, gap_days).isEmpty()]
+
+
 def run_years(wide: DataFrame, years: Sequence[int], results_path: str, models: Sequence[str] = M.DEFAULT_MODELS,
               grid_size: str = "small", train_start: int = 1995, gap_days: int = 365,
               exclude: tuple[str, str] | None = None, subgroups: Sequence[str] = ("MALE", "FEMALE"),

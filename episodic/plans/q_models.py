@@ -91,15 +91,16 @@ def q_fairness_by_model(t):
 
 @register("results_by_year")
 def q_results_by_year(t):
-    """Two test years x test grid, appended to a year-partitioned results
-    table, then read back; the male-and-missing subgroup run is appended to
-    its own table and stacked with a ``population`` tag."""
-    from .experiment import run_years
+    """All test years x test grid, appended to a year-partitioned results
+    table, then read back; the male-and-missing subgroup run over all years
+    is appended to its own table and stacked with a ``population`` tag."""
+    from .experiment import run_years, test_years
 
     wide = wide_table(t)
-    total = run_years(wide, [1998, 1999], IO.scratch_path(t.spark, "results"), grid_size="test")
-    male = run_years(wide, [1999], IO.scratch_path(t.spark, "results_male"), models=["LR"], grid_size="test",
-                     exclude=("gender", "FEMALE"), subgroups=["MALE"])
+    total = run_years(wide, test_years(wide), IO.scratch_path(t.spark, "results"), grid_size="test")
+    exclude = ("gender", "FEMALE")
+    male = run_years(wide, test_years(wide, exclude=exclude), IO.scratch_path(t.spark, "results_male"), grid_size="test",
+                     exclude=exclude, subgroups=["MALE"])
     return (total.withColumn("population", F.lit("ALL"))
             .unionByName(male.withColumn("population", F.lit("MALE_AND_MISSING"))))
 

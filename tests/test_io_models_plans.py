@@ -195,3 +195,25 @@ def test_neighbours_are_exact_for_near_ties(spark):
     x = np.array([[1e6, 1.0], [1e6, 1.0 + 1e-7], [1e6, 1.0]])
     found = list(M._nearest(x[:1], x, np.array([5, 6, 2]), 2))
     assert found[0][1].tolist() == [2, 0] and found[0][2].tolist() == [0.0, 0.0]
+
+
+def test_results_by_year_runs_every_fold(spark, monkeypatch):
+    """The year loop and the subgroup run take each end year that has a train fold, with the default families."""
+    import datetime
+
+    from episodic.plans import experiment, q_models
+
+    rows = [(datetime.date(y, 6, 1), g) for y in range(1995, 2002) for g in ("MALE", "FEMALE", None)] + [(None, "MALE")]
+    wide = spark.createDataFrame(rows, "end_date date, gender string")
+    calls = []
+
+    def run_years(wide, years, path, models=experiment.M.DEFAULT_MODELS, **rest):
+        calls.append((list(years), list(models), rest.get("exclude")))
+        return spark.createDataFrame([(1,)], "year int")
+
+    monkeypatch.setattr(q_models, "wide_table", lambda t: wide)
+    monkeypatch.setattr(experiment, "run_years", run_years)
+    q_models.q_results_by_year(type("T", (), {"spark": spark})())
+    years = [1997, 1998, 1999, 2000, 2001]
+    families = list(experiment.M.DEFAULT_MODELS)
+    assert calls == [(years, families, None), (years, families, ("gender", "FEMALE"))]
