@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, html_extract, knn_join, packing, secrets, token_files, toxicity, url_filter, weighted_minhash
+from . import (
+    bpe,
+    embedding_dedup,
+    html_extract,
+    knn_join,
+    packing,
+    secrets,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    url_filter,
+    weighted_minhash,
+)
 
-MODULES = (packing, embedding_dedup, knn_join, toxicity, token_files, html_extract, weighted_minhash, url_filter, secrets, bpe)
+MODULES = (packing, embedding_dedup, knn_join, toxicity, token_files, html_extract, weighted_minhash, url_filter, secrets, bpe,
+           suffix_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
