@@ -10,6 +10,7 @@ from . import (
     packing,
     secrets,
     suffix_dedup,
+    token_alignment,
     token_files,
     toxicity,
     url_filter,
@@ -17,6 +18,6 @@ from . import (
 )
 
 MODULES = (packing, embedding_dedup, knn_join, toxicity, token_files, html_extract, weighted_minhash, url_filter, secrets, bpe,
-           suffix_dedup)
+           token_alignment, suffix_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
