@@ -49,4 +49,4 @@ def i32(c) -> F.Column:
 
 
 # Import the query modules so they register themselves.
-from . import q_episodes, q_evaluate, q_features, q_io, q_models, q_preprocess, q_scalars, q_selection  # noqa: E402,F401
+from . import q_episodes, q_evaluate, q_features, q_io, q_models, q_preprocess, q_scalars, q_selection, q_trees  # noqa: E402,F401
