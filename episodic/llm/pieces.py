@@ -39,7 +39,8 @@ class PieceEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, keys: list[str]) -> list[bytes]:
+    def ids(self, keys: list[str]) -> list[bytes]:
+        """Little-endian uint32 ids of distinct pieces, from the worker's store where they are in it."""
         young, old = self.young, self.old
         got = [young.get(k) for k in keys]
         missing = [i for i, v in enumerate(got) if v is None]
@@ -88,7 +89,7 @@ class PieceEncoder:
             first, index_first = np.unique(index[offsets[:-1]], return_inverse=True)
             index[offsets[:-1]] = len(keys) + index_first
             keys = [" " + k for k in keys] + [keys[i] for i in first]
-        got = self._ids(keys)
+        got = self.ids(keys)
         sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         flat = np.frombuffer(b"".join(got), np.uint32)

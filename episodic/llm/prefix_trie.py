@@ -69,8 +69,8 @@ class ZFastTrie:
         self.of: list[int] = []
         self.parent: list[int] = []
         self.roots: dict[tuple, int] = {}
-        self.handles: dict[tuple, int] = {}
-        self.children: dict[tuple, int] = {}  # by the prefix one turn below the parent
+        self.handles: dict[tuple, int] = {}  # by depth of the root and prefix: trees below different roots may share prefixes
+        self.children: dict[tuple, int] = {}  # by the prefix one turn below the parent, likewise
         self.strings: list[tuple[int, list[tuple]]] = []  # depth of the root, prefix hashes from there on
 
     def _node(self, low: int, extent: int, of: int, parent: int) -> int:
@@ -82,8 +82,8 @@ class ZFastTrie:
 
     def _file(self, v: int) -> None:
         base, keys = self.strings[self.of[v]]
-        self.handles[keys[two_fattest(self.low[v], self.extent[v]) - base]] = v
-        self.children[keys[self.low[v] + 1 - base]] = v
+        self.handles[base, keys[two_fattest(self.low[v], self.extent[v]) - base]] = v
+        self.children[base, keys[self.low[v] + 1 - base]] = v
 
     def locate(self, s: int) -> tuple[int, int]:
         """The exit node of a string and how deep the string follows it."""
@@ -92,7 +92,7 @@ class ZFastTrie:
         bottom = high
         while low < high:  # fat binary search
             f = two_fattest(low, high)
-            u = self.handles.get(keys[f - base])
+            u = self.handles.get((base, keys[f - base]))
             if u is None:
                 high = f - 1
                 continue
@@ -101,7 +101,7 @@ class ZFastTrie:
                 return u, self._shared(s, u, f)
             v, low = u, e
         if self.extent[v] < bottom:  # a child may be left before its handle
-            u = self.children.get(keys[self.extent[v] + 1 - base])
+            u = self.children.get((base, keys[self.extent[v] + 1 - base]))
             if u is not None:
                 return u, self._shared(s, u, self.extent[v] + 1)
         return v, self.extent[v]

@@ -8,6 +8,7 @@ from . import (
     html_extract,
     knn_join,
     packing,
+    prefix_trie,
     secrets,
     suffix_dedup,
     token_alignment,
@@ -18,6 +19,6 @@ from . import (
 )
 
 MODULES = (packing, embedding_dedup, knn_join, toxicity, token_files, html_extract, weighted_minhash, url_filter, secrets, bpe,
-           token_alignment, suffix_dedup)
+           prefix_trie, token_alignment, suffix_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

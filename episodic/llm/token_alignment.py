@@ -11,8 +11,8 @@ the end that is behind, and its sizes give the new shift.
 A text is cut before a single space between visible characters, where both
 vocabularies always end a token (no piece of B holds a space behind another
 character, A's pattern takes a space to the word behind it).  Each distinct
-segment of a slice is tokenised once, and the distinct segments that a worker
-hasn't seen lately are aligned as one stream.
+segment of a slice is tokenised once (a worker keeps the ids of recent ones),
+and all distinct segments of the slice are aligned as one stream.
 
 Counts: a task sums, for each slice of documents, in how many of them an id
 pair is linked; sums by pair give the corpus counts, a window by A id the
@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,12 +45,13 @@ from pyspark.sql import functions as F
 
 from ..session import reuse
 from .common import table, text_slices
-from .pieces import ODD_SPACE, tokenizer_pieces
+from .pieces import ODD_SPACE, PieceEncoder, tokenizer_pieces
 
 #: Bytes of text whose documents share one list of pairs.
 SLICE_BYTES = 4_000_000
-CACHED_SEGMENTS = 100_000
-LONGEST_CACHED = 48
+#: Segments whose ids a worker keeps, twice for each vocabulary.
+CACHED_SEGMENTS = 200_000
+NOTHING = np.zeros(0, np.uint32)
 #: What may not stand beside the space of a cut: white space and controls.
 INVISIBLE = r"\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 CUT = re.compile(f"(?<=[^{INVISIBLE}]) (?=[^{INVISIBLE}])")
@@ -103,19 +105,45 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return ends_a, ends_b
 
 
-@dataclass(slots=True)
-class Segment:
-    """Tokens of a segment and its groups; ``a`` is None where the tokens don't spell the segment."""
+@dataclass
+class Aligned:
+    """Texts as places of distinct segments, the segments' tokens and groups one after another in flat arrays.
+
+    ``from_*`` hold where each segment's part begins (one more at the end);
+    ``starts`` where each text's places begin.  ``spelt`` is false for segments
+    without tokens because they don't spell the segment.
+    """
 
-    a: np.ndarray | None
+    place: np.ndarray
+    starts: np.ndarray
+    spelt: np.ndarray
+    a: np.ndarray
     b: np.ndarray
-    ends_a: np.ndarray
+    from_a: np.ndarray
+    from_b: np.ndarray
+    ends_a: np.ndarray  # tokens up to the end of each group, counted from the first segment
     ends_b: np.ndarray
-    pairs: np.ndarray  # A id << 32 | B id of each link
-    text: str  # the groups as ``a1,a2|b1;a3|b2``
-
-
-NOTHING = np.zeros(0, np.uint32)
+    from_group: np.ndarray
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """``A id << 32 | B id`` of every link of every group, and where each segment's links begin."""
+        size_a, size_b = np.diff(self.ends_a, prepend=0), np.diff(self.ends_b, prepend=0)
+        many = size_a * size_b
+        of_group = np.repeat(np.arange(len(many)), many)
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pairs = (self.a[(self.ends_a - size_a)[of_group] + inside // size_b[of_group]].astype(np.int64) << 32
+                 | self.b[(self.ends_b - size_b)[of_group] + inside % size_b[of_group]])
+        return pairs, np.concatenate([[0], np.cumsum(many)])[self.from_group]
+
+    def told(self) -> list[str]:
+        """Each segment's groups as ``a1,a2|b1;a3|b2``."""
+        of_a, of_b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        groups, p, r = [], 0, 0
+        for q, s in zip(self.ends_a.tolist(), self.ends_b.tolist(), strict=True):
+            groups.append((of_a[p] if q - p == 1 else ",".join(of_a[p:q])) + "|" + (of_b[r] if s - r == 1 else ",".join(of_b[r:s])))
+            p, r = q, s
+        cuts = self.from_group.tolist()
+        return [";".join(groups[g:h]) for g, h in zip(cuts, cuts[1:])]
 
 
 def byte_characters() -> dict[str, int]:
@@ -137,98 +165,67 @@ def byte_level_entries(path: str) -> list[bytes]:
 
 
 class Aligner:
-    """Segments of texts by a byte-level vocabulary A (tokenizers) and a piece vocabulary B (sentencepiece)."""
+    """Aligns texts by a byte-level vocabulary A (tokenizers) and a piece vocabulary B (sentencepiece)."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
 
-        self.encode_a = tokenizer_pieces(a_path)
+        pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        ids = range(pieces.get_piece_size())
         self.bytes_a = byte_level_entries(a_path)
-        self.sizes_a = np.array([len(x) for x in self.bytes_a])
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        ids = range(self.pieces.get_piece_size())
-        self.bytes_b = [bytes([int(self.pieces.id_to_piece(i)[3:5], 16)]) if self.pieces.is_byte(i)
-                        else self.pieces.id_to_piece(i).replace("▁", " ").encode() for i in ids]
-        self.sizes_b = np.array([len(x) for x in self.bytes_b])
-        self.young: dict[str, Segment] = {}
-        self.old: dict[str, Segment] = {}
-
-    def _new(self, keys: list[str]) -> list[Segment]:
-        """Segments of distinct texts (a space stands before each), aligned as one stream."""
-        raw_a = [np.frombuffer(x, np.uint32) for x in self.encode_a([" " + k for k in keys])]
-        raw_b = [np.array(x, np.uint32) for x in self.pieces.encode(keys, num_threads=1)]
-        spelt = []
-        for k, a, b in zip(keys, raw_a, raw_b, strict=True):
-            whole = b" " + k.encode()
-            spelt.append(b"".join([self.bytes_a[i] for i in a.tolist()]) == whole and b"".join([self.bytes_b[i] for i in b.tolist()]) == whole)
-        good = [i for i, s in enumerate(spelt) if s]
-        out = [Segment(None, NOTHING, NOTHING, NOTHING, NOTHING, "")] * len(keys)
-        if not good:
-            return out
-        a, b = (np.concatenate([raw[i] for i in good]) for raw in (raw_a, raw_b))
-        ends_a, ends_b = (np.array(x) for x in align(np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist()))
-        from_a, from_b = (np.concatenate([[0], np.cumsum([len(raw[i]) for i in good])]) for raw in (raw_a, raw_b))
-        groups = np.searchsorted(ends_a, from_a, side="right")  # groups that end up to a segment's start
-        size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
-        # every link of every group: each A token of the group meets each B token
-        links = size_a * size_b
-        of_group = np.repeat(np.arange(len(links)), links)
-        inside = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
-        pairs = (a[(ends_a - size_a)[of_group] + inside // size_b[of_group]].astype(np.int64) << 32
-                 | b[(ends_b - size_b)[of_group] + inside % size_b[of_group]])
-        from_link = np.concatenate([[0], np.cumsum(links)])[groups]
-        text_a, text_b = [str(x) for x in a.tolist()], [str(x) for x in b.tolist()]
-        starts_a, starts_b = (ends_a - size_a).tolist(), (ends_b - size_b).tolist()
-        told = [(text_a[p] if q - p == 1 else ",".join(text_a[p:q])) + "|" + (text_b[r] if s - r == 1 else ",".join(text_b[r:s]))
-                for p, q, r, s in zip(starts_a, ends_a.tolist(), starts_b, ends_b.tolist(), strict=True)]
-        for n, i in enumerate(good):
-            g, h = groups[n], groups[n + 1]
-            out[i] = Segment(raw_a[i], raw_b[i], ends_a[g:h] - from_a[n], ends_b[g:h] - from_b[n],
-                             pairs[from_link[n]:from_link[n + 1]].copy(), ";".join(told[g:h]))
-        return out
-
-    def segments(self, keys: list[str]) -> list[Segment]:
-        young, old = self.young, self.old
-        got = [young.get(k) or old.get(k) for k in keys]
-        unknown = [i for i, s in enumerate(got) if s is None]
-        for at in range(0, len(unknown), 20_000):
-            part = unknown[at:at + 20_000]
-            for i, s in zip(part, self._new([keys[i] for i in part]), strict=True):
-                got[i] = s
-        for k, s in zip(keys, got, strict=True):
-            if len(k) <= LONGEST_CACHED:
-                young[k] = s
-        if len(young) > CACHED_SEGMENTS:
-            self.old, self.young = young, {}
-        return got
-
-    def align_texts(self, texts: pa.Array) -> tuple[list[Segment], np.ndarray, np.ndarray]:
-        """Distinct segments, the segment at each place, and where each text's places begin (one more at the end)."""
+        self.bytes_b = [bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode() for i in ids]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in entries]) for entries in (self.bytes_a, self.bytes_b))
+        encode_a = tokenizer_pieces(a_path)
+        self.encoder_a = PieceEncoder(lambda keys: encode_a([" " + k for k in keys]), True, CACHED_SEGMENTS)
+        self.encoder_b = PieceEncoder(lambda keys: [array("I", x).tobytes() for x in pieces.encode(keys, num_threads=1)], False, CACHED_SEGMENTS)
+
+    def _tokens(self, keys: list[str]) -> tuple:
+        """Ids of A and of B of distinct texts (a space stands before each) and whether both spell the text."""
+        raw = [" " + k for k in keys]
+        size = np.fromiter((len(k.encode()) for k in raw), np.int64, len(raw))
+        whole = "".join(raw).encode()
+        flat, begin, wrong = [], [], np.zeros(len(keys), bool)
+        for encoder, entries, sizes in ((self.encoder_a, self.bytes_a, self.sizes_a), (self.encoder_b, self.bytes_b, self.sizes_b)):
+            got = encoder.ids(keys)
+            ids = np.frombuffer(b"".join(got), np.uint32)
+            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)])
+            spent = np.diff(np.concatenate([[0], np.cumsum(sizes[ids])])[at])
+            wrong |= spent != size
+            if wrong.any() or b"".join([entries[i] for i in ids.tolist()]) != whole:
+                cuts = at.tolist()
+                listed = ids.tolist()
+                wrong |= np.array([b"".join([entries[i] for i in listed[p:q]]) != k.encode() for p, q, k in zip(cuts, cuts[1:], raw)], bool)
+            flat.append(ids)
+            begin.append(at)
+        return *flat, *begin, ~wrong
+
+    def _aligned(self, lists: pa.ListArray) -> Aligned:
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        a, b, from_a, from_b, spelt = self._tokens(coded.dictionary.to_pylist())
+        if not spelt.all():
+            (a, from_a), (b, from_b) = ((x[np.repeat(spelt, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at) * spelt)])) for x, at in ((a, from_a), (b, from_b)))
+        ends_a, ends_b = (np.array(x, np.int64) for x in align(np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist()))
+        return Aligned(coded.indices.to_numpy(), starts - starts[0], spelt, a, b, from_a, from_b, ends_a, ends_b,
+                       np.searchsorted(ends_a, from_a, side="right"))
+
+    def align_texts(self, texts: pa.Array) -> Aligned:
         spaced = pc.binary_join_element_wise("", texts, " ")
         odd = pc.match_substring_regex(spaced, ODD_SPACE).to_numpy(zero_copy_only=False)
-        plain = pc.split_pattern(texts, " ")
-        lists = plain
+        lists = pc.split_pattern(texts, " ")
         if odd.any():
             rows = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
             cut = pa.array([CUT.split(t) if t else [] for t in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
-            lists = pa.concat_arrays([plain.filter(pa.array(~odd)), cut]).take(pa.array(np.argsort(rows, kind="stable")))
-        index, starts, keys = self._coded(lists)
-        got = self.segments(keys)
-        bad = np.array([s.a is None for s in got], bool)
-        if len(index) and bad[index].any():
+            lists = pa.concat_arrays([lists.filter(pa.array(~odd)), cut]).take(pa.array(np.argsort(rows, kind="stable")))
+        out = self._aligned(lists)
+        if len(out.place) and not out.spelt[out.place].all():
             # a text with a segment that isn't spelt by its tokens is judged as a whole
-            wrong = np.add.reduceat(np.append(bad[index], False), starts[:-1]) * (np.diff(starts) > 0) > 0
+            bad = np.append(~out.spelt[out.place], False)
+            wrong = (np.add.reduceat(bad, out.starts[:-1]) > 0) & (np.diff(out.starts) > 0)
             whole = [[t] if w else p for t, p, w in zip(texts.to_pylist(), lists.to_pylist(), wrong, strict=True)]
-            index, starts, keys = self._coded(pa.array(whole, pa.list_(pa.string())))
-            got = self.segments(keys)
-        return got, index, starts
-
-    @staticmethod
-    def _coded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        starts = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        return coded.indices.to_numpy(), starts - starts[0], coded.dictionary.to_pylist()
+            out = self._aligned(pa.array(whole, pa.list_(pa.string())))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -247,17 +244,18 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, *, id_col: str =
         al = aligner(a_path, b_path)
         for batch in batches:
             for piece in text_slices(batch, limit=SLICE_BYTES):
-                got, index, starts = al.align_texts(piece.column("text"))
+                got = al.align_texts(piece.column("text"))
                 rows = []
-                for p, q in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    own = [got[k] for k in index[p:q].tolist()]
-                    own = [s for s in own if s.a is not None]
-                    a0, b0, groups = 0, 0, []
-                    for s in own:
-                        groups += [{"a_end": int(x), "b_end": int(y)} for x, y in zip(s.ends_a + a0, s.ends_b + b0, strict=True)]
-                        a0, b0 = a0 + len(s.a), b0 + len(s.b)
-                    rows.append((np.concatenate([s.a for s in own] or [NOTHING]).astype(np.int32),
-                                 np.concatenate([s.b for s in own] or [NOTHING]).astype(np.int32), groups))
+                for p, q in zip(got.starts[:-1].tolist(), got.starts[1:].tolist(), strict=True):
+                    a, b, groups = [NOTHING], [NOTHING], []
+                    n_a = n_b = 0
+                    for k in got.place[p:q].tolist():
+                        (x, x2), (y, y2), (g, h) = ((f[k], f[k + 1]) for f in (got.from_a, got.from_b, got.from_group))
+                        groups += [{"a_end": i, "b_end": j} for i, j in zip((got.ends_a[g:h] - x + n_a).tolist(), (got.ends_b[g:h] - y + n_b).tolist(), strict=True)]
+                        a.append(got.a[x:x2])
+                        b.append(got.b[y:y2])
+                        n_a, n_b = n_a + int(x2 - x), n_b + int(y2 - y)
+                    rows.append((np.concatenate(a).astype(np.int32), np.concatenate(b).astype(np.int32), groups))
                 ids = pa.list_(pa.int32())
                 kinds = [ids, ids, pa.list_(pa.struct([("a_end", pa.int32()), ("b_end", pa.int32())]))]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(3))],
@@ -281,17 +279,17 @@ def _sliced(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
         pair = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())]))
         for batch in batches:
             for piece in text_slices(batch, limit=SLICE_BYTES):
-                got, index, starts = al.align_texts(piece.column("text"))
-                n = len(starts) - 1
-                sizes = np.array([(0 if s.a is None else len(s.a), len(s.b), len(s.ends_a), len(s.pairs)) for s in got], np.int64).reshape(-1, 4)
-                sums = np.vstack([np.zeros((1, 4), np.int64), np.cumsum(sizes[index], axis=0)])[starts]
-                told = [s.text for s in got]
-                at = index.tolist()
+                got = al.align_texts(piece.column("text"))
+                starts, n = got.starts, len(got.starts) - 1
+                pairs, from_link = got.links()
+                sizes = np.stack([np.diff(x) for x in (got.from_a, got.from_b, got.from_group, from_link)], axis=1)
+                sums = np.vstack([np.zeros((1, 4), np.int64), np.cumsum(sizes[got.place], axis=0)])[starts]
+                told = got.told()
+                at = got.place.tolist()
                 sha = ["" if not total else hashlib.sha256(";".join([told[k] for k in at[p:q]]).encode()).hexdigest()
                        for p, q, total in zip(starts[:-1].tolist(), starts[1:].tolist(), np.diff(sums[:, 0]).tolist(), strict=True)]
-                flat, code = np.unique(np.concatenate([s.pairs for s in got] or [NOTHING]).astype(np.int64), return_inverse=True)
-                ends = np.concatenate([[0], np.cumsum(sizes[:, 3])]).astype(np.int32)
-                links = pa.ListArray.from_arrays(pa.array(ends), pa.array(code)).take(pa.array(index)).flatten().to_numpy()
+                flat, code = np.unique(pairs, return_inverse=True)
+                links = pa.ListArray.from_arrays(pa.array(from_link.astype(np.int32)), pa.array(code)).take(pa.array(got.place)).flatten().to_numpy()
                 owner = np.repeat(np.arange(n), np.diff(sums[:, 3]))
                 held, times = np.unique(owner * max(1, len(flat)) + links, return_counts=True)
                 owner, links = np.divmod(held, max(1, len(flat)))
