@@ -14,6 +14,7 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reuse, scratch_table_path
+from . import trees as T
 
-MAX_DEPTH = 30  # MLlib's limit; see effective_points
+MAX_DEPTH = 30  # MLlib's limit; deeper trees and random thresholds are grown by operators.trees
 SEED = 0
 
 # The parameter grids (test / small / large) of the ten
@@ -99,11 +101,10 @@ def parameter_grid(spec: dict[str, list]) -> list[dict]:
 
 
 def effective_points(spec: dict[str, list]) -> list[dict]:
-    """The parameter points that can be fitted: depths beyond MLlib's limit become the limit, and equal points are one.
-
-    The results then name the depth that was fitted.
-    """
-    points = [p | ({"max_depth": min(p["max_depth"], MAX_DEPTH)} if "max_depth" in p else {}) for p in parameter_grid(spec)]
+    """The parameter points to fit: ``algorithm`` of k-NN only names a way to the same neighbours, so such points are one."""
+    points = parameter_grid(spec)
+    if "n_neighbors" in spec:
+        points = [p | {"algorithm": "auto"} for p in points]
     return list({params_key(p): p for p in points}.values())
 
 
@@ -115,12 +116,6 @@ def params_key(params: dict) -> str:
 # ------------------------------------------------------------ estimators
 
 
-def _depth(d) -> int:
-    if int(d) > MAX_DEPTH:
-        raise ValueError(f"max_depth {d} is beyond MLlib's limit of {MAX_DEPTH}")
-    return int(d)
-
-
 def _min_instances(min_samples_split) -> int:
     return max(1, math.ceil(int(min_samples_split) / 2))
 
@@ -135,19 +130,19 @@ def make_estimator(name: str, params: dict, n_train: int, features: str = "featu
         return LogisticRegression(featuresCol=features, labelCol=label, maxIter=100,
                                   elasticNetParam=1.0 if p.get("penalty", "l1") == "l1" else 0.0,
                                   regParam=1.0 / (c * max(n_train, 1)), standardization=False)
-    if name in ("RF", "ET", "BAG"):
+    if name in ("RF", "BAG"):
         strategy = "all" if name == "BAG" else p.get("max_features", "sqrt")
         return RandomForestClassifier(
             featuresCol=features, labelCol=label, seed=seed, numTrees=int(p.get("n_estimators", 10)),
-            maxDepth=_depth(p.get("max_depth", 5 if name != "BAG" else MAX_DEPTH)),
+            maxDepth=int(p.get("max_depth", 5 if name != "BAG" else MAX_DEPTH)),
             featureSubsetStrategy=strategy, minInstancesPerNode=_min_instances(p.get("min_samples_split", 2)),
-            impurity=p.get("criterion", "gini"), bootstrap=(name != "ET"))
+            impurity=p.get("criterion", "gini"))
     if name == "GB":
         return GBTClassifier(featuresCol=features, labelCol=label, seed=seed, maxIter=int(p.get("n_estimators", 10)),
                              stepSize=float(p.get("learning_rate", 0.1)),
-                             subsamplingRate=float(p.get("subsample", 1.0)), maxDepth=_depth(p.get("max_depth", 3)))
+                             subsamplingRate=float(p.get("subsample", 1.0)), maxDepth=int(p.get("max_depth", 3)))
     if name == "DT":
-        kw = dict(featuresCol=features, labelCol=label, seed=seed, maxDepth=_depth(p.get("max_depth", 5)),
+        kw = dict(featuresCol=features, labelCol=label, seed=seed, maxDepth=int(p.get("max_depth", 5)),
                   impurity=p.get("criterion", "gini"),
                   minInstancesPerNode=_min_instances(p.get("min_samples_split", 2)))
         if weight:
@@ -326,6 +321,47 @@ def knn_score(train: DataFrame, test: DataFrame, params: dict, keep: Sequence[st
     return rows.join(share, "qid", "left").select(*keep, "score")
 
 
+# ------------------------------------------------------------ trees as tables
+
+
+def is_grown(name: str, params: dict) -> bool:
+    """Whether a point is beyond MLlib: random thresholds, or depths over its limit."""
+    return name == "ET" or name in ("RF", "DT", "GB") and int(params.get("max_depth") or 0) > MAX_DEPTH
+
+
+def tree_settings(name: str, params: dict) -> T.TreeSettings:
+    return T.TreeSettings(
+        n_trees=1 if name == "DT" else int(params.get("n_estimators", 10)), max_depth=params.get("max_depth"),
+        min_samples_split=int(params.get("min_samples_split", 2)), criterion=params.get("criterion", "gini"),
+        splitter="random" if name == "ET" else "best", max_features=params.get("max_features", "sqrt") if name in ("RF", "ET") else "all",
+        bootstrap=name == "RF", seed=int(params.get("random_state") or SEED))
+
+
+@dataclass
+class GrownTrees:
+    """A fitted model of ``operators.trees``."""
+
+    nodes: DataFrame
+
+
+def fit_grown(name: str, params: dict, train: DataFrame, test: DataFrame, keep: Sequence[str], features: str = "features",
+              label: str = "label") -> tuple[DataFrame, GrownTrees]:
+    """Trees grown as tables: scores of ``test`` and the nodes."""
+    rows = reuse(train.select(F.monotonically_increasing_id().alias("_row"), label, T.entries(features).alias("x")), "grown_train")
+    asked = reuse(test.select(F.monotonically_increasing_id().alias("_row"), *keep, T.entries(features).alias("x")), "grown_test")
+    settings = tree_settings(name, params)
+    if name == "GB":
+        start, rounds = T.boost(rows, settings, settings.n_trees, float(params.get("learning_rate", 0.1)), float(params.get("subsample", 1.0)), "_row", label)
+        scores = T.boosted_scores(asked, start, rounds, ["_row"])
+        nodes = rounds[0]
+        for m, more in enumerate(rounds[1:], 1):
+            nodes = nodes.unionByName(more.withColumn("tree", F.lit(m)))
+    else:
+        nodes = reuse(T.grow_forest(rows, settings, "_row", label), "forest")
+        scores = T.forest_scores(asked, nodes, ["_row"])
+    return asked.join(scores, "_row").select(*keep, F.col("score").cast("double").alias("score")), GrownTrees(nodes)
+
+
 # ------------------------------------------------------------ fitting and scoring
 
 
@@ -334,6 +370,8 @@ def fit_and_score(name: str, params: dict, train: DataFrame, test: DataFrame, ke
                   nb_features: str | None = None) -> tuple[DataFrame, object]:
     """Fit one family at one parameter point; return test scores and model."""
     n_train = n_train if n_train is not None else train.count()
+    if is_grown(name, params):
+        return fit_grown(name, params, train, test, keep, features, label)
     if name == "AB":
         stumps = fit_adaboost(train, params, features, label)
         sc = score_adaboost(test, stumps, params.get("algorithm", "SAMME.R"), features)
@@ -357,11 +395,14 @@ def feature_importance(name: str, model, names: Sequence[str]) -> pd.DataFrame |
     """Coefficients (LR, SVM), class-1 log-likelihoods (NB) or impurity
     importances (trees; AB: of its stumps by their weight) of all features,
     sorted descending; None where no importance exists."""
-    if name in ("LR", "SVM"):
+    if isinstance(model, GrownTrees):
+        held = {r.feature: r.importance for r in T.importances(model.nodes).collect()}  # a number per feature
+        vals = np.array([held.get(i, 0.0) for i in range(len(names))])
+    elif name in ("LR", "SVM"):
         vals = model.coefficients.toArray()
     elif name == "NB":
         vals = np.asarray(model.theta.toArray())[1]
-    elif name in ("RF", "ET", "GB", "DT"):
+    elif name in ("RF", "GB", "DT"):
         vals = model.featureImportances.toArray()
     elif name == "AB" and model:
         vals = sum(a * m.featureImportances.toArray() for a, m in model) / sum(a for a, _ in model)

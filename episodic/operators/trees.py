@@ -3,9 +3,8 @@
 The rows of all trees are one table (tree, path, weight, target, features);
 ``path`` names a node by the turns from the root, 0 for left and 1 for right.
 A level is one aggregate over (tree, path, feature, bin), from which every
-node's split is picked with functions on grouped rows, and one join that moves
-the rows to their children; rows of finished nodes drop out, so a level costs
-what is still growing.  The fitted model is a table of nodes, never an object
+node's split is picked, and one join that moves the rows to their children;
+rows of finished nodes drop out, so a level costs what is still growing.  The fitted model is a table of nodes, never an object
 on the driver, and it scores rows by one join a level.
 
 Bins: a feature with at most ``max_bins`` values has one bin per value, others
@@ -19,14 +18,17 @@ any partitioning, and after a lost executor.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reuse
+from ..session import reuse, scratch_table_path
 
 NODE = ["tree", "path"]
 #: Levels whose joins share one plan when rows are scored.
@@ -52,6 +54,7 @@ class TreeSettings:
     bootstrap: bool = False
     max_bins: int = 64
     seed: int = 0
+    first_tree: int = 0  # number of the first tree: forests are grown in lots
 
 
 def uniform(*parts: Column | str | int) -> Column:
@@ -60,6 +63,11 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def hashed(*parts: object) -> float:
+    """``uniform`` outside of Spark."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
 def entries(features: str) -> Column:
     """A vector's values other than zero as a map from position to value."""
     v = F.unwrap_udt(F.col(features))
@@ -100,13 +108,14 @@ def apply_bins(rows: DataFrame, bins: DataFrame, key: str) -> DataFrame:
     return rows.drop("x").join(coded, key, "left").withColumn("b", F.coalesce("b", F.create_map().cast("map<int,int>")))
 
 
-def _impurity(criterion: str, n: Column, s: Column) -> Column:
-    """The node's impurity times its rows (for ``squared``: up to what all splits of a node have in common)."""
+def _impurity(criterion: str, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """A node's impurity times its rows (for ``squared``: up to what all splits of a node have in common)."""
     if criterion == "gini":
         return 2 * s * (n - s) / n
     if criterion == "entropy":
-        part = lambda k: F.when(k > 0, -k * F.log(k / n)).otherwise(0.0)
-        return part(s) + part(n - s)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = lambda k: np.where(k > 0, -k * np.log(k / n), 0.0)
+            return part(s) + part(n - s)
     if criterion == "squared":
         return -s * s / n
     raise ValueError(f"unknown criterion {criterion}")
@@ -117,59 +126,104 @@ def _drawn(settings: TreeSettings, n_features: int) -> int:
     return max(1, int(k))
 
 
-def splits_of_level(state: DataFrame, totals: DataFrame, bins: DataFrame, settings: TreeSettings, n_features: int) -> DataFrame:
-    """``tree, path, feature, bin, threshold`` of the nodes in ``totals`` that can be split.
+def best_split(tree: int, path: str, n: int, s: float, hist: dict[str, np.ndarray], settings: TreeSettings, k: int | None) -> tuple | None:
+    """``feature, bin, threshold, gain`` of a node, or None where no feature varies.
 
-    ``state`` has ``tree, path, w, y, b``; ``totals`` has ``tree, path, n, s``.
+    ``hist`` has a row per feature and bin of the node's values other than zero: ``feature, bin, n, s``, the bin's
+    largest value ``high`` and the next bin's smallest ``next``, and the same of the bin of zero (``zero...``).
     """
-    hist = (state.join(totals.select(*NODE), NODE).select(*NODE, "w", "y", F.explode("b").alias("feature", "bin"))
-            .groupBy(*NODE, "feature", "bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s")))
-    # zeros are what the node's other values leave
-    seen = hist.groupBy(*NODE, "feature").agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
-    zeros = (seen.join(totals, NODE).where(F.col("n") > F.col("_n")).join(bins.select("feature", "zero"), "feature")
-             .select(*NODE, "feature", F.col("zero").alias("bin"), (F.col("n") - F.col("_n")).alias("n"), (F.col("s") - F.col("_s")).alias("s")))
-    hist = hist.unionByName(zeros).groupBy(*NODE, "feature", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    own = Window.partitionBy(*NODE, "feature")
-    up = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (hist.join(bins, "feature")
-           .withColumns({"_l": F.sum("n").over(up), "_ls": F.sum("s").over(up), "_all": F.sum("n").over(own), "_alls": F.sum("s").over(own)}))
+    f = hist["feature"]
+    order = np.lexsort((hist["bin"], f))
+    h = {c: v[order] for c, v in hist.items()}
+    f = h["feature"]
+    first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+    rest, rest_s = n - np.add.reduceat(h["n"], first), s - np.add.reduceat(h["s"], first)
+    zero = np.flatnonzero(rest > 0)  # zeros are what the node's other values leave
+    at = first[zero]
+    cols = {"feature": np.append(f, f[at]), "bin": np.append(h["bin"], h["zero"][at]), "n": np.append(h["n"], rest[zero]),
+            "s": np.append(h["s"], rest_s[zero]), "high": np.append(h["high"], h["zero_high"][at]), "next": np.append(h["next"], h["zero_next"][at])}
+    order = np.lexsort((cols["bin"], cols["feature"]))
+    f, b, c, t, high, next_ = (cols[x][order] for x in ("feature", "bin", "n", "s", "high", "next"))
+    begin = np.concatenate([[True], f[1:] != f[:-1]])
+    group = np.cumsum(begin) - 1
+    left, left_s = np.cumsum(c), np.cumsum(t)
+    left, left_s = left - (left - c)[begin][group], left_s - (left_s - t)[begin][group]
+    cut = left < n
+    cut[:-1] &= (f[1:] != f[:-1]) | (b[1:] != b[:-1])  # values of the zero bin may stand in two rows
     if settings.splitter == "random":
-        value = F.col("highs")[F.col("bin")]
-        cut = cut.withColumns({"_low": F.min(value).over(own), "_high": F.max(value).over(own)})
-        drawn = F.col("_low") + uniform(settings.seed, F.col("tree"), F.col("path"), F.col("feature"), "cut") * (F.col("_high") - F.col("_low"))
-        cut = cut.where((F.col("_low") < F.col("_high")) & (value <= drawn))
-        cut = cut.withColumn("_last", F.max("bin").over(own)).where(F.col("bin") == F.col("_last"))
-    else:
-        cut = cut.where(F.col("_l") < F.col("_all"))
-    k = _drawn(settings, n_features)
-    if k < n_features:
+        low, top = high[begin], np.maximum.reduceat(high, np.flatnonzero(begin))
+        u = np.array([hashed(settings.seed, tree, path, x, "cut") for x in f[begin].tolist()])
+        cut &= high <= (low + u * (top - low))[group]
+        last = np.full(len(low), -1)
+        np.maximum.at(last, group[cut], b[cut])
+        cut &= b == last[group]
+    if k is not None and cut.any():
         # of the features that vary in the node, the ones with the smallest hashes
-        order = Window.partitionBy(*NODE).orderBy("_draw", "feature")
-        cut = (cut.withColumn("_draw", uniform(settings.seed, F.col("tree"), F.col("path"), F.col("feature"), "draw"))
-               .withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= k))
-    n, s = F.col("_all") - F.col("_l"), F.col("_alls") - F.col("_ls")
-    whole = _impurity(settings.criterion, F.col("_all").cast("double"), F.col("_alls").cast("double"))
-    after = (_impurity(settings.criterion, F.col("_l").cast("double"), F.col("_ls").cast("double"))
-             + _impurity(settings.criterion, n.cast("double"), s.cast("double")))
-    threshold = (F.col("highs")[F.col("bin")] + F.col("lows")[F.col("bin") + 1]) / 2
-    best = (cut.withColumns({"_after": F.round(after, 9), "_gain": whole - after, "threshold": threshold})
-            .groupBy(*NODE).agg(F.min(F.struct("_after", "feature", "bin", "threshold", "_gain")).alias("_best")))
-    found = best.select(*NODE, "_best.feature", "_best.bin", "_best.threshold", F.col("_best._gain").alias("gain"))
-    return found.where("gain > 1e-9") if settings.criterion == "squared" else found
-
-
-def grow(rows: DataFrame, settings: TreeSettings, key: str = "id", target: str = "label", n_features: int | None = None) -> DataFrame:
+        draw = sorted((hashed(settings.seed, tree, path, x, "draw"), x) for x in np.unique(f[cut]).tolist())
+        cut &= np.isin(f, [x for _, x in draw[:k]])
+    at = np.flatnonzero(cut)
+    if not len(at):
+        return None
+    l, ls = left[at].astype(np.float64), left_s[at].astype(np.float64)
+    after = _impurity(settings.criterion, l, ls) + _impurity(settings.criterion, n - l, s - ls)
+    i = np.lexsort((b[at], f[at], np.round(after, 9)))[0]
+    gain = float(_impurity(settings.criterion, np.array([float(n)]), np.array([float(s)]))[0] - after[i])
+    if settings.criterion == "squared" and gain <= 1e-9:
+        return None
+    at = at[i]
+    return int(f[at]), int(b[at]), float((high[at] + next_[at]) / 2), gain
+
+
+def nodes_of_level(state: DataFrame, bins: DataFrame, depth: int, settings: TreeSettings, n_features: int) -> DataFrame:
+    """The nodes at ``depth``: ``tree, path, depth, n, s, feature, bin, threshold, gain``; the last four null at leaves.
+
+    One aggregate over (tree, path, feature, bin), the node itself as feature -1, then a node's sums (at most bins times
+    features) are gathered to pick its split.
+    """
+    cells = F.explode(F.map_concat("b", F.create_map(F.lit(-1), F.lit(0)))).alias("feature", "bin")
+    hist = state.select(*NODE, "w", "y", cells).groupBy(*NODE, "feature", "bin").agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"), F.min("y").alias("least"), F.max("y").alias("most"))
+    hist = hist.join(bins, ["feature", "bin"], "left")
+    names = ["feature", "bin", "n", "s", "high", "next", "zero", "zero_high", "zero_next"]
+    open_depth = settings.max_depth is None or depth < settings.max_depth
+    k = _drawn(settings, n_features)
+    k = k if k < n_features else None
+
+    def pick(key: tuple, t: pa.Table) -> pa.Table:
+        tree, path = (x.as_py() for x in key)
+        cols = {c: t.column(c).to_numpy(zero_copy_only=False) for c in [*names, "least", "most"]}
+        own = cols["feature"] == -1
+        n, s, mixed = int(cols["n"][own][0]), float(cols["s"][own][0]), cols["least"][own][0] < cols["most"][own][0]
+        found = None
+        if open_depth and mixed and n >= settings.min_samples_split and not own.all():
+            found = best_split(tree, path, n, s, {c: cols[c][~own] for c in names}, settings, k)
+        feature, bin_, threshold, gain = found or (None,) * 4
+        return pa.table({"tree": pa.array([tree], pa.int32()), "path": [path], "depth": pa.array([depth], pa.int32()), "n": [n], "s": [s],
+                         "feature": pa.array([feature], pa.int32()), "bin": pa.array([bin_], pa.int32()),
+                         "threshold": pa.array([threshold], pa.float64()), "gain": pa.array([gain], pa.float64())})
+
+    return hist.groupBy(*NODE).applyInArrow(pick, "tree int, path string, depth int, n long, s double, feature int, bin int, threshold double, gain double")
+
+
+def grow(rows: DataFrame, settings: TreeSettings, key: str = "id", target: str = "label") -> DataFrame:
     """The nodes of all trees: ``tree, path, depth, n, s`` (weighted rows and their targets' sum), ``feature, threshold, gain`` (null at leaves).
 
     ``rows`` has ``x`` (see ``entries``); ``key`` is a unique id.  A node is
     split if it has ``min_samples_split`` rows and mixed targets, while its
     depth is below ``max_depth``.
     """
+    spark = rows.sparkSession
     source = rows.select(F.col(key).alias("id"), F.col(target).cast("double").alias("y"), "x")
     bins = reuse(fit_bins(source, settings.max_bins), "bins")
-    n_features = n_features or bins.count()
+    n_features = bins.count()
     zero_of = bins.select("feature", "zero")
-    state = (apply_bins(source, bins, "id").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(settings.n_trees - 1))))
+    cells = bins.select("feature", F.posexplode("highs").alias("bin", "high"), "lows", "highs", "zero").select(
+        "feature", "bin", "high", F.get("lows", F.col("bin") + 1).alias("next"), "zero", F.get("highs", F.col("zero")).alias("zero_high"),
+        F.get("lows", F.col("zero") + 1).alias("zero_next"))
+    cells = reuse(cells.select("feature", "bin", "high", F.coalesce("next", "high").alias("next"), "zero", F.coalesce("zero_high", F.lit(0.0)).alias("zero_high"),
+                               F.coalesce("zero_next", F.lit(0.0)).alias("zero_next")), "cells")
+    first = settings.first_tree
+    state = (apply_bins(source, bins, "id").withColumn("tree", F.explode(F.sequence(F.lit(first), F.lit(first + settings.n_trees - 1))))
              .withColumn("path", F.lit("")))
     if settings.bootstrap:
         u = uniform(settings.seed, F.col("tree"), F.col("id"), "row")
@@ -178,25 +232,27 @@ def grow(rows: DataFrame, settings: TreeSettings, key: str = "id", target: str =
     else:
         state = state.withColumn("w", F.lit(1).cast("long"))
     state = reuse(state.select(*NODE, "w", "y", "b"), "tree_rows")
-    levels, depth = [], 0
+    folder, depth = scratch_table_path(spark, "trees"), 0
     while True:
-        totals = reuse(state.groupBy(*NODE).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"), (F.min("y") < F.max("y")).alias("_mixed")), "nodes")
-        open_ = totals.where(F.col("_mixed") & (F.col("n") >= settings.min_samples_split))
-        if settings.max_depth is not None and depth >= settings.max_depth:
-            open_ = open_.where("false")
-        splits = reuse(splits_of_level(state, open_.select(*NODE, "n", "s"), bins, settings, n_features), "splits")
-        levels.append(totals.join(splits, NODE, "left").select(
-            *NODE, F.lit(depth).alias("depth"), "n", "s", "feature", "threshold", "gain"))
+        level = f"{folder}/depth={depth}"
+        nodes_of_level(state, cells, depth, settings, n_features).drop("depth").write.parquet(level)
+        splits = spark.read.parquet(level).where("feature is not null").select(*NODE, "feature", "bin")
         if splits.isEmpty():
             break
         moved = state.join(splits, NODE).join(zero_of, "feature")
         left = F.coalesce(F.col("b")[F.col("feature")], F.col("zero")) <= F.col("bin")
         state = reuse(moved.select("tree", F.concat("path", F.when(left, "0").otherwise("1")).alias("path"), "w", "y", "b"), "tree_rows")
         depth += 1
-    nodes = levels[0]
-    for more in levels[1:]:
-        nodes = nodes.unionByName(more)
-    return reuse(nodes, "trees")
+    return spark.read.parquet(folder).select(*NODE, "depth", "n", "s", "feature", "threshold", "gain")
+
+
+def grow_forest(rows: DataFrame, settings: TreeSettings, key: str = "id", target: str = "label", lot: int = 50) -> DataFrame:
+    """``grow`` for many trees, ``lot`` of them at a time, so that the table of rows stays a bounded multiple of the data."""
+    nodes = None
+    for first in range(0, settings.n_trees, lot):
+        more = grow(rows, replace(settings, n_trees=min(lot, settings.n_trees - first), first_tree=first), key, target)
+        nodes = more if nodes is None else nodes.unionByName(more)
+    return nodes
 
 
 def leaves(rows: DataFrame, nodes: DataFrame, keep: Sequence[str], values: str = "x", feature: str = "feature") -> DataFrame:
@@ -217,7 +273,7 @@ def leaves(rows: DataFrame, nodes: DataFrame, keep: Sequence[str], values: str =
         step = F.when(F.coalesce(F.col("_x")[F.col("_f")], F.lit(0.0)) <= F.col("_t"), "0").otherwise("1")
         done = F.col("_n").isNotNull() & F.col("_f").isNull()
         at = at.join(level, NODE, "left").select(
-            *keep, "_x", "tree", F.when(F.col("_f").isNotNull(), F.concat("path", step)).otherwise(F.col("path")).alias("path"),
+            *[F.col(c) for c in keep], "_x", "tree", F.when(F.col("_f").isNotNull(), F.concat("path", step)).otherwise(F.col("path")).alias("path"),
             F.when(done, F.col("_n")).otherwise(F.col("n")).alias("n"), F.when(done, F.col("_s")).otherwise(F.col("s")).alias("s"))
         if depth % SCORED_TOGETHER == SCORED_TOGETHER - 1:
             at = reuse(at, "scored_levels")
@@ -259,21 +315,21 @@ def boost(rows: DataFrame, settings: TreeSettings, rounds: int, rate: float, sub
     base = rows.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
     base = min(max(base, 1e-9), 1 - 1e-9)
     start = math.log(base / (1 - base))
-    scored = rows.select(key, F.col(target).cast("double").alias("_y"), "x", F.lit(start).alias("_f"))
+    scored = rows.select(key, F.col(target).cast("double").alias("_y"), "x", F.lit(start).alias("_score"))
     out = []
     for m in range(rounds):
-        p = 1 / (1 + F.exp(-F.col("_f")))
+        p = 1 / (1 + F.exp(-F.col("_score")))
         scored = reuse(scored.withColumns({"_p": p, "_r": F.col("_y") - p}), "boosted")
         part = scored.where(uniform(settings.seed, m, F.col(key), "row") < subsample)
-        one = TreeSettings(**{**settings.__dict__, "criterion": "squared", "n_trees": 1, "seed": settings.seed + m})
+        one = replace(settings, criterion="squared", n_trees=1, seed=settings.seed + m)
         nodes = grow(part.select(key, "_r", "x"), one, key, "_r")
         step = (leaves(part.select(key, "_r", "_p", "x"), nodes, [key, "_r", "_p"]).groupBy("path")
                 .agg(F.sum("_r").alias("_rs"), F.greatest(F.sum(F.col("_p") * (1 - F.col("_p"))), F.lit(1e-12)).alias("_h")))
         nodes = reuse(nodes.join(step, "path", "left").withColumns(
             {"s": F.coalesce(rate * F.col("_rs") / F.col("_h"), F.lit(0.0)), "n": F.lit(1).cast("long")}).drop("_rs", "_h"), "boosted_tree")
         out.append(nodes)
-        moved = leaves(scored, nodes, [key, "_y", "_f"]).select(key, (F.col("_f") + F.col("s")).alias("_f2"))
-        scored = scored.join(moved, key).select(key, "_y", "x", F.col("_f2").alias("_f"))
+        moved = leaves(scored, nodes, [key, "_score"]).select(key, (F.col("_score") + F.col("s")).alias("_next"))
+        scored = scored.join(moved, key).select(key, "_y", "x", F.col("_next").alias("_score"))
     return start, out
 
 

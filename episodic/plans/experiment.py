@@ -4,11 +4,14 @@
 row per model x parameter point x subgroup: descriptors, AUC and
 ``metric_level`` columns) with two grouped jobs.  ``run_years`` loops over
 test years on the driver (a handful of folds), fits the grid for each fold
-and appends its rows to a results table partitioned by year.
+and puts its rows into a results table whose partitions (year, model) are
+replaced as a whole, so that a repeated run doesn't double them.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -19,6 +22,7 @@ from ..operators import models as M
 from ..operators.folds import temporal_train_split
 from ..session import reuse
 from ..sources.io import append_table
+from ..sources.stages import VersionedTable
 from .modelling import fold_vectors
 
 KEEP = ["id", "prefix", "label", "gender", "race"]
@@ -94,10 +98,17 @@ def run_years(wide: DataFrame, years: Sequence[int], results_path: str, models:
               grid_size: str = "small", train_start: int = 1995, gap_days: int = 365,
               exclude: tuple[str, str] | None = None, subgroups: Sequence[str] = ("MALE", "FEMALE"),
               outputs: str | None = None) -> DataFrame:
-    """Append results rows of every test year to ``results_path`` (Parquet,
-    partitioned by year) and return the whole table; ``outputs`` as in ``run_fold``."""
-    grid = M.GRIDS[grid_size]
+    """Results rows of every test year in the table at ``results_path``, partitioned by year and model; the whole table.
+
+    A year whose rows were written by an earlier call with the same table and
+    settings is skipped, so a loop that was interrupted goes on where it
+    stopped; with other settings its partitions are replaced.  ``outputs`` as
+    in ``run_fold``.
+    """
+    table = VersionedTable(wide.sparkSession, results_path, ["year", "model"])
+    basis = [sorted(wide.inputFiles()), list(models), grid_size, train_start, gap_days, exclude, list(subgroups)]
     for y in years:
-        rows = run_fold(wide, y, models, grid, train_start, gap_days, exclude, subgroups, outputs)
-        append_table(rows, results_path, partition_by=["year"])
-    return wide.sparkSession.read.parquet(results_path)
+        note = hashlib.sha256(json.dumps([y, *basis]).encode()).hexdigest()
+        if note not in table.notes():
+            table.replace(run_fold(wide, y, models, M.GRIDS[grid_size], train_start, gap_days, exclude, subgroups, outputs), note)
+    return table.read()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import io as IO
+from ..sources.stages import Stages, VersionedTable
 from ..session import TABLES
 from . import analog
 from .analog import with_ctes
@@ -149,3 +150,46 @@ def q_union_years(t):
     IO.append_table(analog.results_like(t), path, partition_by=["year"])
     r = IO.read_years(t.spark, path, [1996, 1998, 2000])
     return r.select("year", "gender", "model", "parameters", "recall_10", "precision_10", "auc", "classifiers")
+
+
+RESULT_COLUMNS = ["year", "gender", "model", "parameters", "recall_10", "precision_10", "auc", "classifiers"]
+
+
+@register("results_replaced", with_ctes(["results_like"], f"""
+SELECT {", ".join(RESULT_COLUMNS)}, CAST(CASE WHEN year = 1998 THEN 2 ELSE 1 END AS INTEGER) AS attempt FROM results_like"""))
+def q_results_replaced(t):
+    """Results written by (year, model): all of them, a year again, a write that was interrupted, and all but that year again."""
+    table = VersionedTable(t.spark, IO.scratch_path(t.spark, "results"), ["year", "model"])
+    rows = analog.results_like(t).select(*RESULT_COLUMNS)
+    attempt = lambda n: F.lit(n).alias("attempt")
+    table.replace(rows.select("*", attempt(1)))
+    table.replace(rows.where("year = 1998").select("*", attempt(2)))
+    rows.select("*", attempt(3)).write.partitionBy("year", "model").parquet(f"{table.path}/data/version=unfinished")  # no record
+    table.replace(rows.where("year != 1998").select("*", attempt(1)))
+    table.drop_superseded()
+    return table.read().select(*RESULT_COLUMNS, "attempt")
+
+
+@register("stages_rebuilt", """
+WITH per_year AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1),
+runs(run, built) AS (VALUES (1, 'customers,orders_by_year,years,names'), (2, ''), (3, 'years'))
+SELECT CAST(run AS INTEGER) AS run, built,
+       CAST((SELECT count(*) FROM per_year WHERE n > CASE WHEN run = 3 THEN 10 ELSE 0 END) AS BIGINT) AS n_years,
+       CAST((SELECT count(DISTINCT c_name) FROM customer) AS BIGINT) AS n_names
+FROM runs""")
+def q_stages_rebuilt(t):
+    """Two chains of stages built, asked for again, and asked for with another parameter of one stage."""
+    folder = IO.scratch_path(t.spark, "stages")
+    orders, customer = (f"{t.sf_dir.rstrip('/')}/{n}.parquet" for n in ("orders", "customer"))
+    out = None
+    for run, least in ((1, 0), (2, 0), (3, 10)):
+        s = Stages(t.spark, folder)
+        known = s.table("customers", lambda: t.customer.select("c_custkey", "c_name"), inputs=[customer])
+        by_year = s.table("orders_by_year", lambda: t.orders.groupBy(F.year("o_orderdate").alias("y")).count(), inputs=[orders])
+        years = s.table("years", lambda: by_year.where(F.col("count") > least), parameters={"least": least}, after=["orders_by_year"])  # noqa: B023
+        names = s.table("names", lambda: known.select("c_name").distinct(), after=["customers"])
+        n_names = names.agg(i64(F.count(F.lit(1))).alias("n_names")).withColumn("run", F.lit(run))
+        row = (years.agg(i64(F.count(F.lit(1))).alias("n_years")).withColumn("run", F.lit(run)).join(n_names, "run")
+               .select("run", F.lit(",".join(s.built)).alias("built"), "n_years", "n_names"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -175,11 +175,11 @@ def test_recommended_conf_follows_the_input():
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
-def test_depths_beyond_the_limit_are_fitted_and_named_once():
+def test_points_keep_their_depth_and_equal_neighbours_are_one_point():
     spec = {"max_depth": [20, 50, 100], "criterion": ["gini"]}
-    assert [p["max_depth"] for p in M.effective_points(spec)] == [20, 30]
-    with pytest.raises(ValueError):
-        M.make_estimator("DT", {"max_depth": 50}, 10)
+    assert [p["max_depth"] for p in M.effective_points(spec)] == [20, 50, 100]
+    assert [M.is_grown("DT", p) for p in M.effective_points(spec)] == [False, True, True]
+    assert len(M.effective_points(M.GRIDS["large"]["KNN"])) == 12
 
 
 def test_zero_distance_neighbours_vote_alone(spark):
