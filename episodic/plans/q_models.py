@@ -6,10 +6,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import linear as L
 from ..operators import models as M
+from ..operators import preprocess as P
 from ..session import reuse
 from ..sources import io as IO
 from . import analog
@@ -230,3 +233,89 @@ def q_naive_bayes_counts(t):
     rows = [(i, j, float(theta[i, j]), float(pi[i])) for i in range(theta.shape[0]) for j in range(theta.shape[1])]
     df = t.spark.createDataFrame(rows, "label int, feature int, theta double, pi double")
     return df.select("label", "feature", F.round("theta", 6).alias("theta"), F.round("pi", 6).alias("pi"))
+
+
+# ------------------------------------------------------------ linear models with certificates
+
+LINEAR_C = (0.01, 0.1, 1.0, 10.0)
+LINEAR_NAMES = ["quantity", "line"]
+
+# the optimum of two features and the intercept by Newton steps over distinct feature values; r0..r2 and h.. are the
+# derivatives of the losses' sum, the step is solved by Cramer's rule
+NEWTON_SQL = """
+WITH RECURSIVE raw AS (
+  SELECT l_orderkey * 16 + l_linenumber AS id, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS y,
+         max(l_quantity) AS q, CAST(l_linenumber AS DOUBLE) AS l FROM lineitem GROUP BY l_orderkey, l_linenumber),
+scaled AS (SELECT id, y, (q - min(q) OVER ()) / (max(q) OVER () - min(q) OVER ()) AS x0,
+                  (l - min(l) OVER ()) / (max(l) OVER () - min(l) OVER ()) AS x1 FROM raw),
+cell AS (SELECT x0, x1, 1.0 AS x2, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS p FROM scaled GROUP BY x0, x1),
+points(c) AS (VALUES {points}),
+fit AS (
+  SELECT 0 AS k, CAST(c AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM points
+  UNION ALL (
+    WITH here AS (SELECT f.*, x0, x1, x2, n, p, b0 * x0 + b1 * x1 + b2 * x2 AS m FROM fit f, cell WHERE k < {steps}),
+    d AS (SELECT *, {slope} AS g, {curve} AS w FROM here),
+    s AS (SELECT k, c, b0, b1, b2, b0 + c * sum(g * x0) AS r0, b1 + c * sum(g * x1) AS r1, b2 + c * sum(g * x2) AS r2,
+                 1 + c * sum(w * x0 * x0) AS h00, c * sum(w * x0 * x1) AS h01, c * sum(w * x0 * x2) AS h02,
+                 1 + c * sum(w * x1 * x1) AS h11, c * sum(w * x1 * x2) AS h12, 1 + c * sum(w * x2 * x2) AS h22
+          FROM d GROUP BY k, c, b0, b1, b2),
+    t AS (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM s)
+    SELECT k + 1, c,
+           b0 - (r0 * (h11 * h22 - h12 * h12) - h01 * (r1 * h22 - h12 * r2) + h02 * (r1 * h12 - h11 * r2)) / det,
+           b1 - (h00 * (r1 * h22 - h12 * r2) - r0 * (h01 * h22 - h12 * h02) + h02 * (h01 * r2 - r1 * h02)) / det,
+           b2 - (h00 * (h11 * r2 - r1 * h12) - h01 * (h01 * r2 - r1 * h02) + r0 * (h01 * h12 - h11 * h02)) / det
+    FROM t)),
+best AS (SELECT * FROM fit WHERE k = {steps})
+SELECT id, 'C=' || CAST(c AS VARCHAR) AS point, round({score}, 5) AS score
+FROM scaled, best"""
+_POINTS = ", ".join(f"({c})" for c in LINEAR_C)
+LOGISTIC_SQL = NEWTON_SQL.format(points=_POINTS, steps=12, slope="n / (1 + exp(-m)) - p", curve="n / (1 + exp(-m)) / (1 + exp(m))",
+                                 score="1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2)))")
+# squared hinge: rows of both classes within the margin
+HINGE_SQL = NEWTON_SQL.format(
+    points=_POINTS, steps=30, slope="-2 * p * greatest(0, 1 - m) + 2 * (n - p) * greatest(0, 1 + m)",
+    curve="2 * p * CAST(m < 1 AS INTEGER) + 2 * (n - p) * CAST(m > -1 AS INTEGER)", score="b0 * x0 + b1 * x1 + b2")
+
+
+def _scaled(t, names):
+    from .q_trees import returned, vectors
+
+    rows = reuse(returned(t).select("id", "label", *names), "returned")
+    return vectors(P.apply_minmax(rows, P.fit_minmax(rows, names)), names)
+
+
+def _linear(t, loss: str):
+    rows = reuse(_scaled(t, LINEAR_NAMES), "scaled")
+    points = [L.Point(f"C={c}", loss, "l2", c) for c in LINEAR_C]
+    models = L.fit_linear(rows, len(LINEAR_NAMES), points)
+    return L.linear_scores(rows, len(LINEAR_NAMES), models, ["id"]).select("id", "point", F.round("score", 5).alias("score"))
+
+
+@register("linear_logistic_scores", LOGISTIC_SQL)
+def q_linear_logistic_scores(t):
+    """Scores of four ridge logistic models fitted together; the SQL finds the optima by Newton's method."""
+    return _linear(t, "logistic")
+
+
+@register("linear_svm_scores", HINGE_SQL)
+def q_linear_svm_scores(t):
+    """Margins of four squared-hinge machines fitted together."""
+    return _linear(t, "squared_hinge")
+
+
+@register("linear_certificates", """
+WITH loss(loss) AS (VALUES ('logistic'), ('squared_hinge')), penalty(penalty) AS (VALUES ('l1'), ('l2')),
+c(c) AS (VALUES (0.01), (0.1), (1.0), (10.0)),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) q)
+SELECT loss, penalty, CAST(c AS DOUBLE) AS c, true AS optimal, CAST(n AS BIGINT) AS n_rows FROM loss, penalty, c, n""")
+def q_linear_certificates(t):
+    """Every loss, penalty and C over all features in one series of jobs; optimal: no subgradient entry beyond 1e-6, found anew."""
+    from .q_trees import NAMES
+
+    rows = reuse(_scaled(t, NAMES), "scaled")
+    points = [L.Point(f"{loss} {penalty} {c}", loss, penalty, c) for loss in ("logistic", "squared_hinge") for penalty in ("l1", "l2") for c in LINEAR_C]
+    models = L.fit_linear(rows, len(NAMES), points, tolerance=1e-8)
+    off = L.certificate(rows, len(NAMES), points, np.array([m.coefficients for m in models]))
+    n = rows.count()
+    return t.spark.createDataFrame([(p.loss, p.penalty, p.c, bool(v <= 1e-6), n) for p, v in zip(points, off, strict=True)],
+                                   "loss string, penalty string, c double, optimal boolean, n_rows long")
