@@ -23,7 +23,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    NaiveBayes,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
@@ -31,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reuse, scratch_table_path
+from . import bayes as N
+from . import boosting as B
 from . import trees as T
 
 MAX_DEPTH = 30  # MLlib's limit; deeper trees and random thresholds are grown by operators.trees
@@ -120,8 +121,7 @@ def _min_instances(min_samples_split) -> int:
     return max(1, math.ceil(int(min_samples_split) / 2))
 
 
-def make_estimator(name: str, params: dict, n_train: int, features: str = "features", label: str = "label",
-                   weight: str | None = None):
+def make_estimator(name: str, params: dict, n_train: int, features: str = "features", label: str = "label"):
     """MLlib estimator for a family name and scikit-learn style parameters."""
     p = params
     seed = int(p.get("random_state", SEED) or SEED)
@@ -145,87 +145,20 @@ def make_estimator(name: str, params: dict, n_train: int, features: str = "featu
         kw = dict(featuresCol=features, labelCol=label, seed=seed, maxDepth=int(p.get("max_depth", 5)),
                   impurity=p.get("criterion", "gini"),
                   minInstancesPerNode=_min_instances(p.get("min_samples_split", 2)))
-        if weight:
-            kw["weightCol"] = weight
         return DecisionTreeClassifier(**kw)
     if name == "SVM":
         c = float(p.get("C", 1.0))
         return LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * max(n_train, 1)), maxIter=100)
-    if name == "NB":
-        return NaiveBayes(featuresCol=features, labelCol=label, smoothing=float(p.get("alpha", 1.0)),
-                          modelType="multinomial")
     raise ValueError(f"no single MLlib estimator for {name}")
 
 
-def positive_score(pred: DataFrame, name: str, model=None, params: dict | None = None) -> F.Column:
-    """Score of the positive class: probability[1]; the SVM margin
-    (rawPrediction[1]); NB without a fitted prior subtracts log-priors first."""
+def positive_score(name: str) -> F.Column:
+    """Score of the positive class: probability[1], or the SVM margin (rawPrediction[1])."""
     if name == "SVM":
         return vector_to_array("rawPrediction")[1]
-    if name == "NB" and params is not None and not params.get("fit_prior", True):
-        raw = vector_to_array("rawPrediction")
-        pi = model.pi.toArray()
-        d = (raw[1] - F.lit(float(pi[1]))) - (raw[0] - F.lit(float(pi[0])))
-        return 1.0 / (1.0 + F.exp(-d))
     return vector_to_array("probability")[1]
 
 
-def fit_adaboost(train: DataFrame, params: dict, features: str = "features", label: str = "label") -> list[tuple[float, object]]:
-    """SAMME / SAMME.R boosting of depth-1 trees on row weights.
-
-    Each round: fit a weighted stump, get its weighted error with one
-    aggregate, reweight rows with a column expression.  Each round's weights
-    are written once, so no job replays earlier rounds.
-    """
-    algo = params.get("algorithm", "SAMME.R")
-    rounds = int(params.get("n_estimators", 50))
-    eps = 1e-10
-    df = train.select(features, label).withColumn("_w", F.lit(1.0))
-    stumps: list[tuple[float, object]] = []
-    for m in range(rounds):
-        est = DecisionTreeClassifier(featuresCol=features, labelCol=label, maxDepth=1, weightCol="_w",
-                                     seed=SEED + m)
-        model = est.fit(df)
-        pr = model.transform(df)
-        if algo == "SAMME":
-            wrong = (F.col("prediction") != F.col(label)).cast("double")
-            row = pr.agg(F.sum(F.col("_w") * wrong).alias("e"), F.sum("_w").alias("t")).first()
-            err = (row["e"] or 0.0) / (row["t"] or 1.0)
-            if err <= 0:
-                stumps.append((1.0, model))
-                break
-            if err >= 0.5:
-                break
-            alpha = math.log((1 - err) / err)
-            stumps.append((alpha, model))
-            df = pr.select(features, label, (F.col("_w") * F.exp(F.lit(alpha) * wrong)).alias("_w"))
-        else:  # SAMME.R (two classes): real-valued half log-odds, weights exp(-y * h)
-            p1 = F.least(F.greatest(vector_to_array("probability")[1], F.lit(eps)), F.lit(1 - eps))
-            h = 0.5 * (F.log(p1) - F.log(1 - p1))
-            ysign = F.col(label) * 2 - 1
-            stumps.append((1.0, model))
-            df = pr.select(features, label, (F.col("_w") * F.exp(-ysign * h)).alias("_w"))
-        df = reuse(df, "boost_weights")  # the next round reads weights, not this round's trees
-        total = df.agg(F.sum("_w")).first()[0] or 1.0
-        df = df.withColumn("_w", F.col("_w") / F.lit(total))
-    return stumps
-
-
-def score_adaboost(test: DataFrame, stumps, algo: str, features: str = "features", keep=()) -> DataFrame:
-    eps = 1e-10
-    df = test.withColumn("_s", F.lit(0.0))
-    total = sum(a for a, _ in stumps) or 1.0
-    for i, (alpha, model) in enumerate(stumps):
-        out = model.setPredictionCol(f"_p{i}").setProbabilityCol(f"_pr{i}").setRawPredictionCol(f"_r{i}").transform(df)
-        if algo == "SAMME":
-            contrib = F.lit(alpha) * (F.col(f"_p{i}") * 2 - 1)
-        else:
-            p1 = F.least(F.greatest(vector_to_array(f"_pr{i}")[1], F.lit(eps)), F.lit(1 - eps))
-            contrib = 0.5 * (F.log(p1) - F.log(1 - p1))
-        df = out.withColumn("_s", F.col("_s") + contrib).drop(f"_p{i}", f"_pr{i}", f"_r{i}")
-    return df.withColumn("score", 1.0 / (1.0 + F.exp(-2 * F.col("_s") / F.lit(total)))).drop("_s")
-
-
 # ------------------------------------------------------------ k nearest neighbours
 
 QUERY_CHUNK = 128
@@ -362,6 +295,36 @@ def fit_grown(name: str, params: dict, train: DataFrame, test: DataFrame, keep:
     return asked.join(scores, "_row").select(*keep, F.col("score").cast("double").alias("score")), GrownTrees(nodes)
 
 
+# ------------------------------------------------------------ boosted stumps, naive Bayes
+
+
+@dataclass
+class BayesModel:
+    """Log likelihood of each feature in class 1."""
+
+    theta: np.ndarray
+
+
+def fit_long(name: str, params: dict, train: DataFrame, test: DataFrame, keep: Sequence[str], features: str, label: str) -> tuple[DataFrame, object]:
+    """AdaBoost (AB) or naive Bayes (NB) from rows of entries: scores of ``test`` and the model."""
+    rows = reuse(train.select(F.monotonically_increasing_id().alias("_row"), label, features, T.entries(features).alias("x")), "long_train")
+    asked = test.select(*keep, T.entries(features).alias("x"))
+    if name == "AB":
+        algorithm = params.get("algorithm", "SAMME.R")
+        stumps = B.fit_adaboost(rows, int(params.get("n_estimators", 50)), algorithm, "_row", label)
+        return B.boosted_stump_scores(asked, stumps, algorithm, keep), stumps
+    shape = F.unwrap_udt(F.col(features))
+    n_features = rows.select(F.when(shape["type"] == 0, shape["size"]).otherwise(F.size(shape["values"])).alias("n")).first()
+    alpha, n_features = float(params.get("alpha", 1.0)), n_features["n"] if n_features else 0
+    counts, rows_of = N.fit_counts(rows, label)
+    odds = N.log_odds(counts, rows_of, [(alpha, bool(params.get("fit_prior", True)))], n_features)
+    asked = reuse(asked.withColumn("_row", F.monotonically_increasing_id()), "long_test")
+    scores = asked.join(N.bayes_scores(asked, odds, ["_row"]).select("_row", "score"), "_row").select(*keep, "score")
+    held = {r.feature: r.s1 for r in counts.collect()}  # a number per feature of the vocabulary
+    theta = np.log((np.array([held.get(i, 0.0) for i in range(n_features)]) + alpha) / (held[-1] + alpha * n_features))
+    return scores, BayesModel(theta)
+
+
 # ------------------------------------------------------------ fitting and scoring
 
 
@@ -372,17 +335,14 @@ def fit_and_score(name: str, params: dict, train: DataFrame, test: DataFrame, ke
     n_train = n_train if n_train is not None else train.count()
     if is_grown(name, params):
         return fit_grown(name, params, train, test, keep, features, label)
-    if name == "AB":
-        stumps = fit_adaboost(train, params, features, label)
-        sc = score_adaboost(test, stumps, params.get("algorithm", "SAMME.R"), features)
-        return sc.select(*keep, F.col("score").cast("double").alias("score")), stumps
+    if name in ("AB", "NB"):
+        return fit_long(name, params, train, test, keep, (name == "NB" and nb_features) or features, label)
     if name == "KNN":
         return knn_score(train, test, params, keep, features, label), None
-    feats = nb_features if (name == "NB" and nb_features) else features
-    est = make_estimator(name, params, n_train, feats, label)
+    est = make_estimator(name, params, n_train, features, label)
     model = est.fit(train)
     pred = model.transform(test)
-    return pred.select(*keep, positive_score(pred, name, model, params).cast("double").alias("score")), model
+    return pred.select(*keep, positive_score(name).cast("double").alias("score")), model
 
 
 def tree_text(model) -> str | None:
@@ -401,11 +361,11 @@ def feature_importance(name: str, model, names: Sequence[str]) -> pd.DataFrame |
     elif name in ("LR", "SVM"):
         vals = model.coefficients.toArray()
     elif name == "NB":
-        vals = np.asarray(model.theta.toArray())[1]
+        vals = model.theta
     elif name in ("RF", "GB", "DT"):
         vals = model.featureImportances.toArray()
     elif name == "AB" and model:
-        vals = sum(a * m.featureImportances.toArray() for a, m in model) / sum(a for a, _ in model)
+        vals = np.bincount([s.feature for s in model], [s.alpha for s in model], len(names)) / sum(s.alpha for s in model)
     else:
         return None
     df = pd.DataFrame({"feature": list(names), "importance": vals[: len(names)]})

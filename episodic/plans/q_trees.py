@@ -1,4 +1,4 @@
-"""Queries of the tree grower, each with a recursive SQL form that grows the same trees.
+"""Queries of the tree grower, of boosted stumps and of naive Bayes, each with a SQL form of the same fit.
 
 The rows are line items by (order, line): the label says whether one of them
 was returned, the features are small numbers and two scaled amounts.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import bayes as N
+from ..operators import boosting as B
 from ..operators import preprocess as P
 from ..operators import trees as T
 from ..session import reuse
@@ -130,3 +132,75 @@ def q_tree_scores_raw_units(t):
     raw = rows.withColumn("x", F.create_map(*[p for c in NAMES for p in (F.lit(c), F.col(c))]))
     scored = T.forest_scores(raw, T.in_raw_units(nodes, scales), ["id"], feature="name")
     return scored.select("id", F.round("score", 9).alias("score"))
+
+
+# ------------------------------------------------------------ boosted stumps
+
+ROUNDS = 5
+
+
+def boost_sql(real: bool) -> str:
+    """``s``: each row's log weight and vote after every round, the stump of a round found from the weights before it."""
+    share = "CASE WHEN e.v <= b.v THEN pl ELSE pr END"
+    half_odds = f"0.5 * (ln(greatest({share}, {B.EPS})) - ln(greatest(1 - ({share}), {B.EPS})))"
+    if real:
+        alpha, vote, change = "1.0", half_odds, f"- (2 * s.y - 1) * {half_odds}"
+    else:
+        alpha = "ln((1 - err) / err)"
+        vote = f"CASE WHEN {share} > 0.5 THEN {alpha} ELSE -({alpha}) END"
+        change = f"+ CASE WHEN ({share} > 0.5) = (s.y = 1) THEN 0 ELSE {alpha} END"
+    return f"""WITH RECURSIVE {ROWS_SQL},
+s AS (
+  SELECT 0 AS k, id, y, CAST(0 AS DOUBLE) AS lw, CAST(0 AS DOUBLE) AS vote, CAST(0 AS DOUBLE) AS total FROM base
+  UNION ALL (
+    WITH tot AS (SELECT sum(exp(lw) * (1 - y)) AS t0, sum(exp(lw) * y) AS t1 FROM s WHERE k < {ROUNDS}),
+    h AS (SELECT e.f, e.v, sum(exp(lw) * (1 - y)) AS w0, sum(exp(lw) * y) AS w1 FROM s JOIN e ON e.id = s.id WHERE k < {ROUNDS} GROUP BY e.f, e.v),
+    cum AS (SELECT f, v, sum(w0) OVER up / (t0 + t1) AS l0, sum(w1) OVER up / (t0 + t1) AS l1, t0 / (t0 + t1) AS t0, t1 / (t0 + t1) AS t1,
+                   lead(v) OVER (PARTITION BY f ORDER BY v) AS nv
+            FROM h, tot WINDOW up AS (PARTITION BY f ORDER BY v ROWS UNBOUNDED PRECEDING)),
+    cut AS (SELECT f, v, l0, l1, t0 - l0 AS r0, t1 - l1 AS r1 FROM cum WHERE nv IS NOT NULL),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY round(2 * l0 * l1 / (l0 + l1) + 2 * r0 * r1 / (r0 + r1), 10), f, v) AS place FROM cut),
+    best AS (SELECT f, v, l1 / (l0 + l1) AS pl, r1 / (r0 + r1) AS pr,
+                    CASE WHEN l1 > l0 THEN l0 ELSE l1 END + CASE WHEN r1 > r0 THEN r0 ELSE r1 END AS err FROM ranked WHERE place = 1)
+    SELECT s.k + 1, s.id, s.y, s.lw {change}, s.vote + {vote}, s.total + {alpha}
+    FROM s, best b, e WHERE s.k < {ROUNDS} AND e.id = s.id AND e.f = b.f))
+SELECT id, round(1 / (1 + exp(-2 * vote / total)), 6) AS score FROM s WHERE k = {ROUNDS}"""
+
+
+def _boosted(t, algorithm: str) -> DataFrame:
+    rows = reuse(vectors(returned(t)), "returned")
+    stumps = B.fit_adaboost(rows, ROUNDS, algorithm)
+    return B.boosted_stump_scores(rows, stumps, algorithm, ["id"]).select("id", F.round("score", 6).alias("score"))
+
+
+@register("adaboost_scores", boost_sql(False))
+def q_adaboost_scores(t):
+    """Five rounds of SAMME."""
+    return _boosted(t, "SAMME")
+
+
+@register("adaboost_real_scores", boost_sql(True))
+def q_adaboost_real_scores(t):
+    """Five rounds of SAMME.R."""
+    return _boosted(t, "SAMME.R")
+
+
+# ------------------------------------------------------------ naive Bayes
+
+BAYES_ALPHA = (0.01, 0.1, 1.0, 10.0)
+
+
+@register("naive_bayes_scores", f"""WITH {ROWS_SQL},
+sums AS (SELECT f, sum(CASE WHEN y = 0 THEN v ELSE 0 END) AS s0, sum(CASE WHEN y = 1 THEN v ELSE 0 END) AS s1 FROM e JOIN base USING (id) GROUP BY f),
+every AS (SELECT sum(s0) AS t0, sum(s1) AS t1 FROM sums),
+prior AS (SELECT ln(CAST(sum(y) AS DOUBLE) / sum(1 - y)) AS p FROM base),
+alphas(a) AS (VALUES {", ".join(f"({a})" for a in BAYES_ALPHA)}), priors(fit_prior) AS (VALUES (true), (false)),
+odds AS (SELECT f, CAST(a AS DOUBLE) AS alpha, ln((s1 + a) / (t1 + a * 7)) - ln((s0 + a) / (t0 + a * 7)) AS o FROM sums, every, alphas),
+margin AS (SELECT id, alpha, sum(v * o) AS m FROM e JOIN odds USING (f) GROUP BY id, alpha)
+SELECT id, alpha, fit_prior, round(1 / (1 + exp(-(m + CASE WHEN fit_prior THEN p ELSE 0 END))), 6) AS score FROM margin, prior, priors""")
+def q_naive_bayes_scores(t):
+    """All smoothing constants with and without a fitted prior, from one count."""
+    rows = reuse(vectors(returned(t)), "returned")
+    counts, rows_of = N.fit_counts(rows)
+    odds = N.log_odds(counts, rows_of, [(a, p) for a in BAYES_ALPHA for p in (True, False)], len(NAMES))
+    return N.bayes_scores(rows, odds, ["id"]).select("id", "alpha", "fit_prior", F.round("score", 6).alias("score"))
