@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices
-from .pieces import tokenizer_encoder
+from .common import table, text_slices, tidied
+from .pieces import tokenizer_encoder, with_ends
 
 POOL = 4096
 
@@ -137,9 +137,7 @@ def pack(rows: DataFrame, *, tokens: int = 2048, segments: int = 256, loss: int
         if tokenizer:
             enc = tokenizer_encoder(tokenizer, True)
             for part in text_slices(batch):
-                ids, starts = enc.encode(part.column("text"))
-                ids = np.insert(ids, starts[1:], end_id)
-                at = starts + np.arange(len(starts))
+                ids, at = with_ends(*enc.encode(part.column("text")), end_id)
                 for name, a, b, first in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(),
                                              part.column("loss_start").to_pylist(), strict=True):
                     own = ids[a:b].copy() if b - a < tokens else ids[a:b]
@@ -149,6 +147,7 @@ def pack(rows: DataFrame, *, tokens: int = 2048, segments: int = 256, loss: int
                 own = np.array(ids.as_py() or [], np.uint32)
                 yield Example(name, own, 0, max(0, first), len(own))
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = VectorPacker(tokens, segments, limit, pool)
         sequence = TaskContext.get().partitionId() << 40

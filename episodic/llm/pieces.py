@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: A space that doesn't stand right before a visible character.
 ODD_SPACE = (r" ([\x00-\x20\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]|$)")
 SAFE_CUT = re.compile("(?= [^\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff])")
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 LONGEST_CACHED = 48
 
 
@@ -36,13 +36,15 @@ class PieceEncoder:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], leading_space: bool,
                  cached: int = CACHED_PIECES):
         self.encode_pieces, self.leading_space, self.cached = encode, leading_space, cached
+        self.special: str | None = None  # texts that match are encoded by ``encode_whole``
+        self.encode_whole: Callable[[str], list[int]] | None = None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, keys: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of distinct pieces, from the worker's store where they are in it."""
         young, old = self.young, self.old
-        got = [young.get(k) for k in keys]
+        got = list(map(young.get, keys))
         missing = [i for i, v in enumerate(got) if v is None]
         unknown = []
         for i in missing:
@@ -79,13 +81,18 @@ class PieceEncoder:
         """Ids of all texts one after another, and where each text's ids begin (one more at the end)."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if self.special is not None:
+            whole = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
+            if whole.any():
+                return self._encode_with_whole(texts, whole)
         lists = self._pieces(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy().copy()
+        index = coded.indices.to_numpy()
         keys = coded.dictionary.to_pylist()
         if self.leading_space:
+            index = index.copy()
             first, index_first = np.unique(index[offsets[:-1]], return_inverse=True)
             index[offsets[:-1]] = len(keys) + index_first
             keys = [" " + k for k in keys] + [keys[i] for i in first]
@@ -97,24 +104,72 @@ class PieceEncoder:
         places = np.concatenate([[0], np.cumsum(sizes[index])])
         return ids, places[offsets]
 
+    def _encode_with_whole(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold the string of a special token are encoded whole, so that it becomes its one id."""
+        rows = [None] * len(texts)
+        ids, starts = self.encode(texts.filter(pa.array(~whole)))
+        for i, a, b in zip(np.flatnonzero(~whole).tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            rows[i] = ids[a:b]
+        for i in np.flatnonzero(whole).tolist():
+            rows[i] = np.array(self.encode_whole(texts[i].as_py()), np.uint32)
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
-def tokenizer_pieces(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Pieces by the tokenizers library, special tokens' strings as ordinary text."""
+
+def with_ends(ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' ids with ``end_id`` after each text."""
+    places = starts + np.arange(len(starts))
+    out = np.empty(places[-1], ids.dtype)
+    inner = np.ones(len(out), bool)
+    inner[places[1:] - 1] = False
+    out[inner], out[~inner] = ids, end_id
+    return out, places
+
+
+#: What stands between pieces that are encoded as one string: one token, cut off on both sides in both kinds of vocabulary.
+SEPARATORS = {True: "\n", False: " | "}
+#: Pieces that may be among them.  White space inside a word-end vocabulary's piece only parts words; inside a
+#: byte-level piece a single line break between visible characters is one token, as the separator.
+FIT = {True: re.compile(r" ?\S+(?:\n\S+)*"), False: re.compile(r"[^|]*")}
+
+
+def tokenizer_pieces(path: str, leading_space: bool = True) -> Callable[[list[str]], list[bytes]]:
+    """Pieces by the tokenizers library, special tokens' strings as ordinary text.
+
+    Pieces are encoded together as one string with separators where they fit, others by themselves.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    between, fits = SEPARATORS[leading_space], FIT[leading_space].fullmatch
+    [mark] = t.encode(between, add_special_tokens=False).ids
+
+    def alone(piece: str) -> bytes:
+        return np.array(t.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def together(pieces: list[str]) -> list[bytes]:
+        if not pieces:
+            return []
+        ids = np.array(t.encode_batch_fast([between.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(ids == mark)
+        own = np.array([p.count("\n") for p in pieces]) if leading_space else np.zeros(len(pieces), np.int64)
+        if len(cuts) != own.sum() + len(pieces) - 1:
+            return [alone(p) for p in pieces]
+        raw = ids.tobytes()
+        cuts = (cuts[np.cumsum(own + 1)[:-1] - 1] * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
     def encode(pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(pieces), 20_000):
             part = pieces[at:at + 20_000]
-            e = t.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(e.ids, np.uint32).tobytes()
-            words = np.array(e.word_ids, np.int64) if e.ids else np.zeros(0, np.int64)
-            ends = np.cumsum(np.bincount(words, minlength=len(part))) * 4
-            out += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            odd = {i for i, p in enumerate(part) if fits(p) is None}
+            found = together([p for i, p in enumerate(part) if i not in odd] if odd else part)
+            if odd:
+                rest = iter(found)
+                found = [alone(p) if i in odd else next(rest) for i, p in enumerate(part)]
+            out += found
         return out
 
     return encode
@@ -122,5 +177,12 @@ def tokenizer_pieces(path: str) -> Callable[[list[str]], list[bytes]]:
 
 @lru_cache(maxsize=4)
 def tokenizer_encoder(path: str, leading_space: bool) -> PieceEncoder:
-    """One encoder a worker and vocabulary file."""
-    return PieceEncoder(tokenizer_pieces(path), leading_space)
+    """One encoder a worker and vocabulary file; strings of special tokens become their ids, as in the library's plain call."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    special = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
+    encoder = PieceEncoder(tokenizer_pieces(path, leading_space), leading_space)
+    if special:
+        encoder.special, encoder.encode_whole = "|".join(special), lambda text: t.encode(text, add_special_tokens=False).ids
+    return encoder
