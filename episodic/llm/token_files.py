@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_table_path
-from .common import local_path, parallelism, table, text_slices
-from .pieces import tokenizer_encoder
+from .common import local_path, parallelism, table, text_slices, tidied
+from .pieces import tokenizer_encoder, with_ends
 
 MAGIC = b"TOKEF1\0\0"
 SAMPLED = 512
 #: Ids after which a task begins its next file.
-FILE_IDS = 16_000_000
+FILE_IDS = 8_000_000
+#: Documents whose boundaries are selected together when a file is read.
+READ_TOGETHER = 1024
 
 
 class EliasFano:
@@ -48,10 +50,10 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        counts = np.bitwise_count(high)
-        self.before = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        wanted = np.arange(0, n, SAMPLED)
-        self.sample = np.searchsorted(self.before, wanted, side="right") - 1  # the word of every 512th set bit
+        # of every 512th set bit the word and the set bits before that word
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+        self.word = np.searchsorted(before, np.arange(0, n, SAMPLED), side="right") - 1
+        self.rank = before[self.word]
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -88,20 +90,27 @@ class EliasFano:
         """The i-th value, by the sampled position and the words behind it."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        w = int(self.sample[i // SAMPLED])
-        while self.before[w + 1] <= i:
-            w += 1
+        w, left = int(self.word[i // SAMPLED]), i - int(self.rank[i // SAMPLED])
+        while (held := int(self.high[w]).bit_count()) <= left:
+            w, left = w + 1, left - held
         word = int(self.high[w])
-        for _ in range(i - int(self.before[w])):
+        for _ in range(left):
             word &= word - 1
         at = 64 * w + (word & -word).bit_length() - 1
         return ((at - i) << self.low_bits) | int(self._low(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        """Every value in order."""
-        at = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[:self.n]
-        i = np.arange(self.n)
-        return ((at - i).astype(np.int64) << np.int64(self.low_bits)) | self._low(i)
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """The values from the i-th up to the j-th: the words between two sampled positions are read, no others."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.int64)
+        k, last = i // SAMPLED, -(-j // SAMPLED)
+        first, end = int(self.word[k]), int(self.word[last]) + 1 if last < len(self.word) else len(self.high)
+        found = np.flatnonzero(np.unpackbits(self.high[first:end].view(np.uint8), bitorder="little"))
+        order = np.arange(i, j)
+        at = 64 * first + found[order - int(self.rank[k])]
+        return ((at - order).astype(np.int64) << np.int64(self.low_bits)) | self._low(order)
 
 
 def pack_file(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, id_bytes: int) -> bytes:
@@ -116,10 +125,10 @@ def pack_file(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, id_b
 class TokenFile:
     """A file's documents by position: ``ids(k)`` and ``doc_id(k)`` read only what they need."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
-            raise ValueError("not a token file")
+    def __init__(self, data: bytes | pa.Buffer):
         view = memoryview(data)
+        if view[:8] != MAGIC:
+            raise ValueError("not a token file")
         self.id_bytes, self.n, self.unnamed, self.base = struct.unpack_from("<4q", view, 8)
         self.ends, at = EliasFano.read(view, 40)
         self.names, at = EliasFano.read(view, at)
@@ -135,8 +144,14 @@ class TokenFile:
     def doc_id(self, k: int) -> int | None:
         return None if k < self.unnamed else self.base + self.names.select(k - self.unnamed)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.unnamed + (self.names.all() + self.base).tolist()
+    def spans(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents from the i-th up to the j-th begin and end."""
+        ends = self.ends.select_range(i, j)
+        return np.concatenate([[self.ends.select(i - 1) if i else 0], ends[:-1]]), ends
+
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        none = max(0, min(j, self.unnamed) - i)
+        return [None] * none + (self.names.select_range(max(i - self.unnamed, 0), max(j - self.unnamed, 0)) + self.base).tolist()
 
 
 def _store(folder: str, name: str, data: bytes) -> None:
@@ -165,6 +180,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
     dealt = rows.repartitionByRange(parallelism(docs), F.col("doc_id").asc_nulls_first(), "_tie").sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "_tie", "text").select("doc_id", "text")
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer_encoder(tokenizer, leading_space)
         part, file = TaskContext.get().partitionId(), 0
@@ -185,13 +201,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
 
         for batch in batches:
             for piece in text_slices(batch):
-                ids, starts = enc.encode(piece.column("text"))
+                ids, starts = with_ends(*enc.encode(piece.column("text")), end_id)
                 n = len(starts) - 1
-                ids = np.insert(ids, starts[1:], end_id)  # the end id after each document
                 if len(ids) and int(ids.max()) >= 1 << (8 * id_bytes):
                     raise ValueError("an id doesn't fit the file's width")
                 names += piece.column("doc_id").to_pylist()
-                sizes.append(np.diff(starts) + 1)
+                sizes.append(np.diff(starts))
                 held.append(ids.astype("<u2" if id_bytes == 2 else "<u4"))
                 filled += len(ids)
                 if n and filled >= file_ids:
@@ -213,17 +228,18 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     files = (spark.read.format("binaryFile").load(f"{folder}/part-*.tok")
              .select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"))
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, content in zip(batch.column("base").to_pylist(), batch.column("content"), strict=True):
-                f = TokenFile(content.as_py())
-                ends = f.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                raw = f.tokens
-                crc = [zlib.crc32(raw[a:b].astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f.doc_ids(), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                f = TokenFile(content.as_buffer())
+                for i in range(0, f.n, READ_TOGETHER):
+                    j = min(f.n, i + READ_TOGETHER)
+                    starts, ends = f.spans(i, j)
+                    crc = [zlib.crc32(f.tokens[a:b].astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(f.doc_ids(i, j), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return (files.join(bases, "name").select("base", "content")
             .mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long"))
