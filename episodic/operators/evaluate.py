@@ -4,7 +4,8 @@ AUC with ties, score histograms, per-subgroup metrics, fairness crosstab.
 Inputs are long score tables ``(group keys..., id, label, score, attrs)``:
 any number of folds x models x parameter points in one DataFrame, evaluated
 by one grouped job each -- never a per-model driver loop over collected
-scores.  Ranking is exact and range-partitioned (see ``ranking.rank``).
+scores.  Cutoffs, level metrics and AUC come from counts by score (see
+``cutoffs``); ``rank_scores`` ranks every row where ranks are what is asked.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cutoffs import _grouped, _joined, cutoffs, in_top
 from .ranking import GROUP_N, RANK, rank
 
 # Population levels (percent) of the default metric sweep and
@@ -46,10 +48,18 @@ def rank_scores(df: DataFrame, score: str, tiebreak: str | Sequence[str], by: Se
 def label_top_fraction(df: DataFrame, score: str = "score", tiebreak: str | Sequence[str] = "id", pct: float = 10,
                        by: Sequence[str] = (), rounding: str = "half_even", out: str = "prediction",
                        ranked: bool = False) -> DataFrame:
-    """1 for the ``k`` highest scores of each group (``k`` from ``cutoff``), else 0."""
-    r = df if ranked else rank_scores(df, score, tiebreak, by)
-    res = r.withColumn(out, (F.col(RANK) <= cutoff(F.col(GROUP_N), pct, rounding)).cast("int"))
-    return res if ranked else res.drop(RANK, GROUP_N)
+    """1 for the ``k`` highest scores of each group (``k`` from ``cutoff``), else 0.
+
+    Rows are compared with their group's cutoff and not shuffled; with
+    ``ranked`` they are taken as ranked by ``rank_scores``.
+    """
+    if ranked:
+        return df.withColumn(out, (F.col(RANK) <= cutoff(F.col(GROUP_N), pct, rounding)).cast("int"))
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    rows, keys = _grouped(df, by)
+    cuts = cutoffs(rows, [(pct, cutoff(F.col("n"), pct, rounding))], score, ties, keys).select(*keys, "k", "cut_score", "cut_key")
+    held = df.columns
+    return _joined(rows, cuts, keys).select(*held, in_top(score, ties).cast("int").alias(out))
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -99,6 +109,18 @@ def metrics_by_level(ranked: DataFrame, label: str = "label", by: Sequence[str]
     return long.select(*by, "level", "n", "tp", "fp", "fn", "tn", *[e.alias(k) for k, e in m.items()])
 
 
+def level_metrics(df: DataFrame, label: str = "label", score: str = "score", tiebreak: str | Sequence[str] = "id",
+                  by: Sequence[str] = (), levels: Sequence[float] = LEVELS, rounding: str = "half_even") -> DataFrame:
+    """The table of ``metrics_by_level`` from counts by score: no row is ranked."""
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    rows, keys = _grouped(df, by)
+    cuts = cutoffs(rows, [(lv, cutoff(F.col("n"), lv, rounding)) for lv in levels], score, ties, keys, label)
+    tp, k, n, p = (F.col(c) for c in ("tp", "k", "n", "positives"))
+    cells = cuts.select(*by, "level", "n", "tp", (k - tp).alias("fp"), (p - tp).alias("fn"), (n - k - p + tp).alias("tn"))
+    m = metrics_from_counts(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
+    return cells.select(*by, "level", "n", "tp", "fp", "fn", "tn", *[e.alias(k) for k, e in m.items()])
+
+
 def metrics_wide(long: DataFrame, by: Sequence[str], levels: Sequence[float] = LEVELS,
                  metrics: Sequence[str] = METRICS) -> DataFrame:
     """Pivot the long table to ``metric_level`` columns (level-major order)."""

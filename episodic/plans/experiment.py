@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import models as M
+from ..operators.cutoffs import auc_of_scores
 from ..operators.folds import temporal_train_split
 from ..session import reuse
 from ..sources.io import append_table
@@ -32,9 +33,8 @@ def results_rows(scores: DataFrame, year: int, n_train: int, n_features: int, n_
                  subgroups: Sequence[str] = ("MALE", "FEMALE"), levels=E.LEVELS) -> DataFrame:
     tagged = E.subgroup_tags(scores, "gender", list(subgroups), out="subgroup")
     keys = ["model", "parameters", "subgroup"]
-    ranked = E.rank_scores(tagged, "score", ["id", "prefix"], keys)
-    wide = E.metrics_wide(E.metrics_by_level(ranked, "label", keys, levels), keys, levels)
-    auc = E.auc(ranked, "label", "score", keys)
+    wide = E.metrics_wide(E.level_metrics(tagged, "label", "score", ["id", "prefix"], keys, levels), keys, levels)
+    auc = auc_of_scores(tagged, "label", "score", keys)
     return wide.join(auc, keys).select(
         F.lit(int(year)).alias("year"), F.col("subgroup").alias("gender"), "model",
         F.col("model").alias("classifiers"), "parameters", F.lit(int(n_train)).alias("train_set_size"),

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators.cutoffs import auc_of_scores
 from . import analog
 from .analog import with_ctes
 from .catalog import i32, i64, r6, register
@@ -96,8 +97,7 @@ FROM (
 @register("precision_recall_by_level", with_ctes(["scored"], BY_LEVEL_SQL.format(keys="fold", src="ranked"),
                                                  extra=[("ranked", RANKED)]))
 def q_precision_recall_by_level(t):
-    r = E.rank_scores(analog.scored(t), "score", "id", ["fold"])
-    m = E.metrics_by_level(r, "label", ["fold"])
+    m = E.level_metrics(analog.scored(t), "label", "score", "id", ["fold"])
     return m.select("fold", "level", *[i64(c).alias(c) for c in ("n", "tp", "fp", "fn", "tn")], *_metric_cols())
 
 
@@ -113,8 +113,7 @@ GROUP BY fold, n, P"""
 
 @register("auc_rank", with_ctes(["scored"], AUC_SQL))
 def q_auc_rank(t):
-    r = E.rank_scores(analog.scored(t), "score", "id", ["fold"])
-    return E.auc(r, "label", "score", ["fold"]).select("fold", r6("auc").alias("auc"))
+    return auc_of_scores(analog.scored(t), "label", "score", ["fold"]).select("fold", r6("auc").alias("auc"))
 
 
 HISTOGRAM_SQL = """
@@ -153,8 +152,7 @@ def q_metrics_by_subgroup(t):
     s = analog.scored(t)
     base = s.groupBy("fold").agg(F.count(F.lit(1)).alias("fold_n"), F.avg("label").alias("baseline"))
     tagged = E.subgroup_tags(s, "gender", ["MALE", "FEMALE"])
-    r = E.rank_scores(tagged, "score", "id", ["fold", "subgroup"])
-    m = E.metrics_by_level(r, "label", ["fold", "subgroup"]).join(base, "fold")
+    m = E.level_metrics(tagged, "label", "score", "id", ["fold", "subgroup"]).join(base, "fold")
     return m.select("fold", "subgroup", "level", *[i64(c).alias(c) for c in ("n", "tp", "fp", "fn", "tn")],
                     *_metric_cols(), i64("fold_n").alias("fold_n"), r6("baseline").alias("baseline"))
 

@@ -1,6 +1,7 @@
-"""Queries: model fits on a temporal fold of the wide feature table (rows
+"""Queries: model fits on every temporal fold of the wide feature table (rows
 checks: scores are not SQL-expressible), the results grid, importances,
-predictions, and the exact k-NN vote (oracle-checked by brute force)."""
+predictions, the exact k-NN vote (oracle-checked by brute force), linear
+models and naive Bayes counts."""
 
 from __future__ import annotations
 
@@ -13,39 +14,69 @@ from ..operators import evaluate as E
 from ..operators import linear as L
 from ..operators import models as M
 from ..operators import preprocess as P
-from ..session import reuse
+from ..session import checkpoint_dir, reuse
 from ..sources import io as IO
+from ..sources.stages import Stages, VersionedTable
 from . import analog
 from .analog import with_ctes
 from .catalog import i32, i64, register
+from .experiment import KEEP as RKEEP
+from .experiment import results_rows, test_years
 from .features import feature_table
-from .modelling import fold_vectors
+from .modelling import FoldData, fold_vectors
 from .q_episodes import flag_sql
 
-TEST_YEAR = 1999
+KEEP = ["id", "prefix", "label"]
+#: Tables that the wide table is made from; the stages are built again when one of them or this number changes.
+WIDE_INPUTS = ("customer", "part", "orders", "lineitem", "events")
+STAGES_VERSION = 1
+
+
+def _stages(t) -> Stages:
+    return Stages(t.spark, f"{checkpoint_dir(t.spark).rstrip('/')}/episodic-stages")
+
+
+def _wide(t, stages: Stages):
+    inputs = [f"{t.sf_dir.rstrip('/')}/{n}.parquet" for n in WIDE_INPUTS]
+    return stages.table("wide", lambda: feature_table(analog.episodes(t), analog.components(t), analog.attributes(t), analog.events_by_entity(t)),
+                        inputs=inputs, parameters={"version": STAGES_VERSION})
 
 
 def wide_table(t):
-    """The labelled wide table, materialised."""
-    wide = feature_table(analog.episodes(t), analog.components(t), analog.attributes(t), analog.events_by_entity(t))
-    return IO.materialise(wide, IO.scratch_path(t.spark, "wide"))
+    """The labelled wide table, built once for the same inputs."""
+    return _wide(t, _stages(t))
 
 
-def fold(t, year: int = TEST_YEAR):
-    fd = fold_vectors(wide_table(t), year)
-    fd.train, fd.test = reuse(fd.train, "fold_train"), reuse(fd.test, "fold_test")
-    return fd
+def folds(t):
+    """Train and test vectors of every end year that has a train fold, built once for the same inputs: (year, fold)."""
+    stages = _stages(t)
+    wide = _wide(t, stages)
+    for year in test_years(wide):
+        made: list[FoldData] = []
 
+        def data(year=year, made=made) -> FoldData:
+            if not made:
+                made.append(fold_vectors(wide, year))
+            return made[0]
 
-KEEP = ["id", "prefix", "label"]
+        part = {"after": ["wide"], "parameters": {"year": year}}
+        train = stages.table(f"train_{year}", lambda: data().train, **part)
+        test = stages.table(f"test_{year}", lambda: data().test, **part)
+        names = stages.table(f"features_{year}", lambda: t.spark.createDataFrame(list(enumerate(data().feature_names)), "position int, name string"), **part)
+        yield year, FoldData(train, test, [r.name for r in names.orderBy("position").collect()], train.count(), test.count())
+
+
+def over_folds(t, of_fold):
+    """What ``of_fold(year, fold)`` gives for every fold, each written once, with its year."""
+    path = IO.scratch_path(t.spark, "folds")
+    for year, fd in folds(t):
+        of_fold(year, fd).write.parquet(f"{path}/year={year}")
+    return t.spark.read.parquet(path).withColumn("year", i32("year"))
 
 
 def _fit_query(name: str, params: dict):
     def q(t):
-        fd = fold(t)
-        sc, _ = M.fit_and_score(name, params, fd.train, fd.test, KEEP, n_train=fd.n_train,
-                                nb_features="nb_features")
-        return sc
+        return over_folds(t, lambda year, fd: M.fit_and_score(name, params, fd.train, fd.test, KEEP, n_train=fd.n_train, nb_features="nb_features")[0])
     return q
 
 
@@ -66,30 +97,35 @@ for _key, (_name, _spec) in _FITS.items():
     register(_key)(_fit_query(_name, M.parameter_grid(_spec)[0]))
 
 
+def _grid_scores(t, models):
+    """Scores of the test grid for every fold, built once for the same inputs: (year, fold, scores)."""
+    stages = _stages(t)
+    _wide(t, stages)
+    for year, fd in folds(t):
+        yield year, fd, stages.table(f"scores_{'_'.join(models)}_{year}", lambda fd=fd: M.run_grid(
+            fd.train, fd.test, models, M.GRIDS["test"], RKEEP, nb_features="nb_features"), after=["wide"], parameters={"year": year})
+
+
 @register("model_grid_results")
 def q_model_grid_results(t):
     """Results rows for the test grid of the default families, by subgroup
     (TOTAL, MALE, FEMALE): descriptors, AUC and 28 threshold metrics."""
-    from .experiment import KEEP as RKEEP
-    from .experiment import results_rows
-
-    fd = fold(t)
-    scores = reuse(M.run_grid(fd.train, fd.test, M.DEFAULT_MODELS, M.GRIDS["test"], RKEEP,
-                              nb_features="nb_features"), "scores")
-    base = fd.test.agg(F.avg("label")).first()[0]
-    return results_rows(scores, TEST_YEAR, fd.n_train, len(fd.feature_names), fd.n_test, base)
+    out = None
+    for year, fd, scores in _grid_scores(t, M.DEFAULT_MODELS):
+        rows = results_rows(scores, year, fd.n_train, len(fd.feature_names), fd.n_test, fd.test.agg(F.avg("label")).first()[0])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @register("fairness_by_model")
 def q_fairness_by_model(t):
-    """Fairness crosstab for every model of the test grid from one scores table."""
-    from .experiment import KEEP as RKEEP
-    from .experiment import fairness_by_model
-
-    fd = fold(t)
-    scores = reuse(M.run_grid(fd.train, fd.test, M.DEFAULT_MODELS, M.GRIDS["test"], RKEEP,
-                              nb_features="nb_features"), "scores")
-    return fairness_by_model(scores)
+    """Fairness crosstab for every model of the test grid and every fold from one scores table."""
+    every = None
+    for year, _, scores in _grid_scores(t, M.DEFAULT_MODELS):
+        scores = scores.withColumn("year", F.lit(year))
+        every = scores if every is None else every.unionByName(scores)
+    pred = E.label_top_fraction(every, "score", ["id", "prefix"], 10, by=["year", "model", "parameters"])
+    return E.fairness_crosstab(pred, ["race", "gender"], "label", "prediction", ["year", "model", "parameters"])
 
 
 @register("results_by_year")
@@ -97,7 +133,7 @@ def q_results_by_year(t):
     """All test years x test grid, appended to a year-partitioned results
     table, then read back; the male-and-missing subgroup run over all years
     is appended to its own table and stacked with a ``population`` tag."""
-    from .experiment import run_years, test_years
+    from .experiment import run_years
 
     wide = wide_table(t)
     total = run_years(wide, test_years(wide), IO.scratch_path(t.spark, "results"), grid_size="test")
@@ -110,68 +146,68 @@ def q_results_by_year(t):
 
 @register("feature_importance")
 def q_feature_importance(t):
-    """All importances of one point of four families."""
-    fd = fold(t)
-    rows = []
-    for name in ("LR", "DT", "GB", "AB"):
-        params = M.parameter_grid(M.GRIDS["test"][name])[0]
-        _, model = M.fit_and_score(name, params, fd.train, fd.test, KEEP, n_train=fd.n_train)
-        rows += M.importance_rows(name, params, model, fd.feature_names)
-    return t.spark.createDataFrame(rows, M.IMPORTANCE)
+    """All importances of one point of four families, every fold."""
+    def of_fold(year, fd):
+        rows = []
+        for name in ("LR", "DT", "GB", "AB"):
+            params = M.parameter_grid(M.GRIDS["test"][name])[0]
+            _, model = M.fit_and_score(name, params, fd.train, fd.test, KEEP, n_train=fd.n_train)
+            rows += M.importance_rows(name, params, model, fd.feature_names)
+        return t.spark.createDataFrame(rows, M.IMPORTANCE)
 
+    return over_folds(t, of_fold)
 
-# the rows of the test fold, from the tables: episodes of at least a day that end in its year
+
+# the test rows of every fold, from the tables: episodes of at least a day, in the years with a train row
 FOLD_SQL = with_ctes(["episodes"], f"""
-, fold AS (SELECT e.id, e.prefix, {flag_sql("episodes")} AS label FROM episodes e
-           WHERE e.end_date > e.start_date AND year(e.end_date) = {TEST_YEAR}),
+, long_enough AS (SELECT * FROM episodes WHERE end_date > start_date),
+years AS (SELECT y FROM (SELECT DISTINCT year(end_date) AS y FROM long_enough) d
+          WHERE EXISTS (SELECT 1 FROM long_enough r WHERE r.end_date >= DATE '1995-01-01' AND r.end_date < make_date(y, 1, 1) - 365)),
+fold AS (SELECT CAST(y AS INTEGER) AS year, e.id, e.prefix, {flag_sql("episodes")} AS label FROM long_enough e JOIN years ON year(e.end_date) = y),
 fits(model) AS (VALUES ('LR'), ('RF'), ('GB'), ('DT'), ('SVM'), ('NB'), ('BAG'), ('AB'), ('ET'), ('KNN'))""")
-
-
-def _all_families(t):
-    """Scores of one point of each family on the test fold."""
-    from .experiment import KEEP as RKEEP
-
-    fd = fold(t)
-    families = ["LR", "RF", "GB", "DT", "SVM", "NB", "BAG", "AB", "ET", "KNN"]
-    return M.run_grid(fd.train, fd.test, families, M.GRIDS["test"], RKEEP, nb_features="nb_features")
+FAMILIES_FITTED = ("LR", "RF", "GB", "DT", "SVM", "NB", "BAG", "AB", "ET", "KNN")
 
 
 @register("grid_rows_checked", FOLD_SQL + """
-SELECT model, id, prefix, label, true AS scored FROM fold, fits""")
+SELECT year, model, id, prefix, label, true AS scored FROM fold, fits""")
 def q_grid_rows_checked(t):
-    """Every family scores each row of the fold once: a number, from 0 to 1 but for the margin of the SVM."""
+    """Every family scores each row of each fold once: a number, from 0 to 1 but for the margin of the SVM."""
     ok = F.col("score").isNotNull() & ~F.isnan("score") & ((F.col("model") == "SVM") | F.col("score").between(0, 1))
-    return _all_families(t).select("model", "id", "prefix", i32("label").alias("label"), ok.alias("scored"))
+    out = None
+    for year, _, scores in _grid_scores(t, FAMILIES_FITTED):
+        rows = scores.select(F.lit(year).alias("year"), "model", "id", "prefix", i32("label").alias("label"), ok.alias("scored"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @register("grid_predictions", FOLD_SQL + """
-SELECT model, CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS positives,
+SELECT year, model, CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS positives,
        CAST(round_even(CAST(count(*) AS DOUBLE) * 0.1, 0) AS BIGINT) AS predicted, CAST(count(*) AS BIGINT) AS in_histogram
-FROM fold, fits GROUP BY model""")
+FROM fold, fits GROUP BY year, model""")
 def q_grid_predictions(t):
     """Predictions and histograms of every fit: sizes, base rate and the exact number of positives at ten percent."""
     from .experiment import histograms, predictions
 
-    scores = reuse(_all_families(t), "scores")
-    counts = predictions(scores, TEST_YEAR).groupBy("model").agg(
-        i64(F.count(F.lit(1))).alias("n"), i64(F.sum("label")).alias("positives"), i64(F.sum("prediction")).alias("predicted"))
-    drawn = histograms(scores, TEST_YEAR).groupBy("model").agg(i64(F.sum("count")).alias("in_histogram"))
-    return counts.join(drawn, "model")
+    out = None
+    for year, _, scores in _grid_scores(t, FAMILIES_FITTED):
+        counts = predictions(scores, year).groupBy("year", "model").agg(
+            i64(F.count(F.lit(1))).alias("n"), i64(F.sum("label")).alias("positives"), i64(F.sum("prediction")).alias("predicted"))
+        rows = counts.join(histograms(scores, year).groupBy("model").agg(i64(F.sum("count")).alias("in_histogram")), "model")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @register("predictions_table")
 def q_predictions_table(t):
-    fd = fold(t)
+    """Scores and predictions of one logistic model, written by year and model and read back."""
+    table = VersionedTable(t.spark, IO.scratch_path(t.spark, "predictions"), ["year", "model"])
     params = M.parameter_grid(M.GRIDS["test"]["LR"])[0]
-    sc, _ = M.fit_and_score("LR", params, fd.train, fd.test, ["id", "prefix", "start_date", "end_date", "label"],
-                            n_train=fd.n_train)
-    pred = E.label_top_fraction(sc, "score", ["id", "prefix"], 10)
-    out = pred.select(F.lit(TEST_YEAR).alias("year"), F.lit("LR").alias("model"),
-                      F.lit(json.dumps(params, sort_keys=True)).alias("parameters"), "id", "prefix", "start_date",
-                      "end_date", "label", "score", "prediction")
-    path = IO.scratch_path(t.spark, "predictions")
-    IO.append_table(out, path, partition_by=["year", "model"])
-    return t.spark.read.parquet(path)
+    for year, fd in folds(t):
+        sc, _ = M.fit_and_score("LR", params, fd.train, fd.test, ["id", "prefix", "start_date", "end_date", "label"], n_train=fd.n_train)
+        pred = E.label_top_fraction(sc, "score", ["id", "prefix"], 10)
+        table.replace(pred.select(F.lit(year).alias("year"), F.lit("LR").alias("model"), F.lit(json.dumps(params, sort_keys=True)).alias("parameters"),
+                                  "id", "prefix", "start_date", "end_date", "label", "score", "prediction"))
+    return table.read()
 
 
 KNN_SQL = """
