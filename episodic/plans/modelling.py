@@ -19,14 +19,7 @@ from ..functions.frames import add_indicators
 from ..operators import preprocess as P
 from ..operators.folds import temporal_test_split, temporal_train_split
 from ..session import reuse
-from .features import FAMILIES
-
-# what the families' columns are to a model: scaled numbers, ages imputed by the cascade, counts where none means zero,
-# delimited lists and single categories
-AGES, ZERO_FILL, LIST_FEATURES = FAMILIES["ages"], FAMILIES["events"], FAMILIES["code_lists"]
-CONTINUOUS = [c for f in ("length", "size", "ages", "component_history", "day_history", "events") for c in FAMILIES[f]]
-CATEGORICAL = FAMILIES["single_codes"] + FAMILIES["entity"]
-
+from .features import columns_of
 
 @dataclass
 class FoldData:
@@ -41,25 +34,26 @@ def _prefixer(name: str):
     return lambda x: F.concat(F.lit(name + "="), x)
 
 
-def _tokens() -> F.Column:
-    parts = [F.transform(F.coalesce(F.split(F.col(c), ","), F.array().cast("array<string>")), _prefixer(c))
-             for c in LIST_FEATURES]
-    parts += [F.array(F.concat(F.lit(c + "="), F.col(c))) for c in CATEGORICAL]
+def _tokens(codes: list[str], categories: list[str]) -> F.Column:
+    parts = [F.transform(F.coalesce(F.split(F.col(c), ","), F.array().cast("array<string>")), _prefixer(c)) for c in codes]
+    parts += [F.array(F.concat(F.lit(c + "="), F.col(c))) for c in categories]
     return F.array_compact(F.concat(*parts))
 
 
-def _prepare(df: DataFrame, cascade: P.CascadeStats) -> DataFrame:
+def _prepare(df: DataFrame, cascade: P.CascadeStats, ages: list[str], counts: list[str]) -> DataFrame:
     x = df.withColumn("start_year", F.year("start_date"))
-    x = add_indicators(x, AGES, "missing")
+    x = add_indicators(x, ages, "missing")
     x = P.apply_cascade(x, cascade)
-    x = x.fillna("MISSING", subset=["race", "gender"]).fillna(0, subset=ZERO_FILL)
-    return x
+    return x.fillna("MISSING", subset=["race", "gender"]).fillna(0, subset=counts)
 
 
 def fold_vectors(wide: DataFrame, test_year: int, train_start: int = 1995, gap_days: int = 365,
                  subgroup: tuple[str, str] | None = None) -> FoldData:
     """Train/test frames of one fold with ``features`` (scaled) and
     ``nb_features`` (scaled, clamped at 0 for multinomial NB) vectors."""
+    # the columns say what they are; a table without roles has no features
+    ages, counts, scaled = (columns_of(wide, *roles) for roles in (["age"], ["count"], ["number", "count", "age"]))
+    codes, categories = columns_of(wide, "codes"), columns_of(wide, "category")
     train = temporal_train_split(wide, "end_date", train_start, test_year, gap_days)
     test = temporal_test_split(wide, "end_date", test_year)
     if subgroup:
@@ -67,24 +61,24 @@ def fold_vectors(wide: DataFrame, test_year: int, train_start: int = 1995, gap_d
         train = train.where(~F.col(attr).eqNullSafe(exclude))
         test = test.where(~F.col(attr).eqNullSafe(exclude))
     train = train.withColumn("start_year", F.year("start_date"))
-    cascade = P.fit_cascade(train, "start_year", "offense_codes", "duration_days", *AGES)
-    train, test = _prepare(train, cascade), _prepare(test, cascade)
+    cascade = P.fit_cascade(train, "start_year", "offense_codes", "duration_days", *ages)
+    train, test = _prepare(train, cascade, ages, counts), _prepare(test, cascade, ages, counts)
 
-    mm = P.fit_minmax(train, CONTINUOUS)
+    mm = P.fit_minmax(train, scaled)
     # prepared frames are read by the vocabulary, count and vector jobs below
     train = reuse(P.apply_minmax(train, mm), "prepared_train")
     test = reuse(P.apply_minmax(test, mm), "prepared_test")
 
-    tok_train = train.withColumn("_tok", _tokens())
+    tok_train = train.withColumn("_tok", _tokens(codes, categories))
     vocab = P.distinct_codes(tok_train.select(F.explode("_tok")))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="_tok", outputCol="_cat", binary=True)
-    numeric = CONTINUOUS + [f"{a}_missing" for a in AGES]
+    numeric = scaled + [f"{a}_missing" for a in ages]
 
     def vectors(df):
-        d = cv.transform(df.withColumn("_tok", _tokens())).fillna(0.0, subset=CONTINUOUS)
+        d = cv.transform(df.withColumn("_tok", _tokens(codes, categories))).fillna(0.0, subset=scaled)
         d = VectorAssembler(inputCols=numeric + ["_cat"], outputCol="features", handleInvalid="keep").transform(d)
-        clamped = d.select("*", *[F.greatest(F.col(c), F.lit(0.0)).alias(f"_nb_{c}") for c in CONTINUOUS])
-        d = VectorAssembler(inputCols=[f"_nb_{c}" for c in CONTINUOUS] + [f"{a}_missing" for a in AGES] + ["_cat"],
+        clamped = d.select("*", *[F.greatest(F.col(c), F.lit(0.0)).alias(f"_nb_{c}") for c in scaled])
+        d = VectorAssembler(inputCols=[f"_nb_{c}" for c in scaled] + [f"{a}_missing" for a in ages] + ["_cat"],
                             outputCol="nb_features", handleInvalid="keep").transform(clamped)
         return d.select("id", "prefix", "start_date", "end_date", "label", "race", "gender", "features",
                         "nb_features")

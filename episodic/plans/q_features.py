@@ -9,7 +9,7 @@ from ..operators.features import attach_attributes, child_counts, distinct_lists
 from . import analog
 from .analog import with_ctes
 from .catalog import i32, i64, r6, register
-from .features import WIDE_COLUMNS, feature_table
+from .features import feature_table
 from .q_episodes import EARLIER, EVENT_COUNTS, NOT_OLD, RECENT, SIZED, flag_sql
 
 KEYS = ["id", "prefix", "start_date", "end_date"]
@@ -107,21 +107,13 @@ WHERE e.days >= 1""", extra=[("sized", SIZED)])
 
 
 def wide_rounded(df):
-    doubles = {"duration_days", "age_at_start", "age_at_end", "age_first", "total_days_allprior",
-               "avg_days_allprior", "total_days_5y", "avg_days_5y"}
-    ints = {"label"}
-    strings = {"offense_codes", "qualifier_codes", "penalty_codes", "race", "gender", "term_list", "county_list"}
-    out = []
-    for c in WIDE_COLUMNS:
-        if c in doubles:
-            out.append(r6(c).alias(c))
-        elif c in ints:
-            out.append(i32(c).alias(c))
-        elif c in strings or c in ("start_date", "end_date"):
-            out.append(F.col(c))
-        else:
-            out.append(i64(c).alias(c))
-    return df.select(*out)
+    """Doubles rounded, counts as BIGINT, the label as INTEGER; dates and strings as they are."""
+    def shown(c, kind):
+        if c == "label":
+            return i32(c)
+        return r6(c) if kind == "double" else F.col(c) if kind in ("string", "date", "timestamp") else i64(c)
+
+    return df.select(*[F.col(c) if c in ("id", "prefix") else shown(c, kind).alias(c) for c, kind in df.dtypes])
 
 
 def _wide(t, **kw):
