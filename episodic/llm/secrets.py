@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reuse
-from .common import table, text_slices
+from .common import table, text_slices, tidied
 
 #: The base rules, fixed by contract.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -379,6 +379,7 @@ def _sampled(documents: DataFrame, sample: int) -> tuple[DataFrame, bool]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))).alias("hash"), text.alias("text"))
 
+    @tidied
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.empty(0, np.int64), np.empty(0, np.int64)]
         for batch in batches:
@@ -406,6 +407,7 @@ def train(documents: DataFrame, *, sample: int = SAMPLE, most_windows: int = 250
     if not any_span:
         return None
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("text"):
@@ -447,6 +449,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 def scan(documents: DataFrame, model: SecretModel | None) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row."""
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
@@ -478,6 +481,7 @@ def without_secrets(documents: DataFrame, model: SecretModel | None) -> DataFram
     """All documents, all columns, with secrets masked in ``text`` and ``n_chars`` (if there) counted again where it changed."""
     names = documents.columns
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist() if "n_chars" in names else None

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reuse
-from .common import table, text_slices
+from .common import table, text_slices, tidied
 
 PER_CLASS = 3000
 POSITIVES, NEGATIVES, LANDMARKS = 3000, 30_000, 128
@@ -279,6 +279,7 @@ def train(documents: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS
         F.broadcast(some[0].unionByName(some[1])), "doc_id")  # at most two times per_class ids
     sample = reuse(sample.select("text", "toxic"), "labelled")
 
+    @tidied
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
@@ -305,6 +306,7 @@ def train(documents: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS
     table_, bias = fit_units(words, np.arange(len(words)) < len(pos), weight)
     model = ToxicityModel(table_, bias, np.zeros(4))
 
+    @tidied
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in text_slices(batch):
@@ -325,6 +327,7 @@ def held_out(doc_id: str):  # noqa: ANN201 - a Column
 
 def score(documents: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """``doc_id, score`` of every row."""
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
@@ -340,6 +343,7 @@ def without_toxic(documents: DataFrame, model: ToxicityModel | None, threshold:
     if model is None:
         return documents
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0

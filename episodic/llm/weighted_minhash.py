@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reuse
-from .common import parallelism, table, text_slices
+from .common import parallelism, table, text_slices, tidied
 from .components import components
 from .shingles import Shingles, mixed, shingles
 
@@ -51,6 +51,7 @@ STAR = 512  # members that one copy of a bucket's smallest document is compared
 BLOCK = 128
 MOST_BLOCKS = 1 << 20  # 16 MB
 CHUNK = 1 << 16
+SLICE_BYTES = 3_000_000  # text whose shingles are held at a time
 
 
 class Weights:
@@ -129,10 +130,11 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
 
 def corpus_weights(docs: DataFrame) -> Weights:
     """Document frequencies over all rows of ``docs`` (``doc_id, text``)."""
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(1 << COUNTERS, np.int64), 0
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE_BYTES):
                 s = shingles(part.column("text"), SIZE)
                 counter = (s.hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)
                 # shingles of one text in one counter count once
@@ -150,9 +152,10 @@ def corpus_weights(docs: DataFrame) -> Weights:
 
 
 def _sketches(docs: DataFrame, weights: Weights) -> DataFrame:
+    @tidied
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE_BYTES):
                 s = shingles(part.column("text"), SIZE)
                 keys = band_keys(s, weights.of(s.hashes, s.counts))
                 none = pa.array(np.diff(s.starts) == 0)
@@ -189,9 +192,10 @@ def _links(docs: DataFrame, targets: DataFrame, weights: Weights) -> DataFrame:
     asked = reuse(targets.groupBy("doc_id").agg(F.collect_list(F.struct("grp", "side", "comp")).alias("to")), "targets")
     one = _maybe_asked(docs.where("doc_id is not null"), asked).join(asked, "doc_id")
 
+    @tidied
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE_BYTES):
                 s = shingles(part.column("text"), SIZE)
                 lists = [pa.ListArray.from_arrays(pa.array(s.starts.astype(np.int32)), pa.array(x))
                          for x in (s.hashes.view(np.int64), s.counts.astype(np.int32))]
@@ -202,6 +206,7 @@ def _links(docs: DataFrame, targets: DataFrame, weights: Weights) -> DataFrame:
     sent = sent.select("doc_id", "h", "tf", F.explode("to").alias("t")).select("doc_id", "h", "tf", "t.grp", "t.side", "t.comp")
     dealt = sent.repartition(parallelism(docs), "grp").sortWithinPartitions("grp", "side", "doc_id")
 
+    @tidied
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         root: dict[int, int] = {}  # groups that links of this task have joined: further links between them add nothing
