@@ -4,8 +4,8 @@ AUC with ties, score histograms, per-subgroup metrics, fairness crosstab.
 Inputs are long score tables ``(group keys..., id, label, score, attrs)``:
 any number of folds x models x parameter points in one DataFrame, evaluated
 by one grouped job each -- never a per-model driver loop over collected
-scores.  Cutoffs, level metrics and AUC come from counts by score (see
-``cutoffs``); ``rank_scores`` ranks every row where ranks are what is asked.
+scores.  Ranking is exact and range-partitioned (see ``ranking.rank``); AUC and
+top-k labels need no ranked rows (see ``cutoffs``).
 """
 
 from __future__ import annotations
@@ -50,16 +50,18 @@ def label_top_fraction(df: DataFrame, score: str = "score", tiebreak: str | Sequ
                        ranked: bool = False) -> DataFrame:
     """1 for the ``k`` highest scores of each group (``k`` from ``cutoff``), else 0.
 
-    Rows are compared with their group's cutoff and not shuffled; with
-    ``ranked`` they are taken as ranked by ``rank_scores``.
+    Rows are compared with the last row of their group's top, of which only
+    score and tie columns are ranked; with ``ranked`` they are taken as ranked
+    by ``rank_scores``.
     """
     if ranked:
         return df.withColumn(out, (F.col(RANK) <= cutoff(F.col(GROUP_N), pct, rounding)).cast("int"))
     ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
     rows, keys = _grouped(df, by)
-    cuts = cutoffs(rows, [(pct, cutoff(F.col("n"), pct, rounding))], score, ties, keys).select(*keys, "k", "cut_score", "cut_key")
+    ranked = rank_scores(rows.select(*dict.fromkeys([*keys, score, *ties])), score, ties, keys)
+    cuts = cutoffs(ranked, cutoff(F.col(GROUP_N), pct, rounding), score, ties, keys)
     held = df.columns
-    return _joined(rows, cuts, keys).select(*held, in_top(score, ties).cast("int").alias(out))
+    return _joined(rows, cuts, keys, "left").select(*held, in_top(score, ties).cast("int").alias(out))
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -111,14 +113,10 @@ def metrics_by_level(ranked: DataFrame, label: str = "label", by: Sequence[str]
 
 def level_metrics(df: DataFrame, label: str = "label", score: str = "score", tiebreak: str | Sequence[str] = "id",
                   by: Sequence[str] = (), levels: Sequence[float] = LEVELS, rounding: str = "half_even") -> DataFrame:
-    """The table of ``metrics_by_level`` from counts by score: no row is ranked."""
+    """``metrics_by_level`` of scores that aren't ranked yet; only what is needed of a row is ranked."""
     ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    rows, keys = _grouped(df, by)
-    cuts = cutoffs(rows, [(lv, cutoff(F.col("n"), lv, rounding)) for lv in levels], score, ties, keys, label)
-    tp, k, n, p = (F.col(c) for c in ("tp", "k", "n", "positives"))
-    cells = cuts.select(*by, "level", "n", "tp", (k - tp).alias("fp"), (p - tp).alias("fn"), (n - k - p + tp).alias("tn"))
-    m = metrics_from_counts(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
-    return cells.select(*by, "level", "n", "tp", "fp", "fn", "tn", *[e.alias(k) for k, e in m.items()])
+    narrow = df.select(*dict.fromkeys([*by, score, *ties, label]))
+    return metrics_by_level(rank_scores(narrow, score, ties, by), label, by, levels, rounding)
 
 
 def metrics_wide(long: DataFrame, by: Sequence[str], levels: Sequence[float] = LEVELS,

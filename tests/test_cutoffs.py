@@ -1,4 +1,4 @@
-"""Cutoffs, level metrics and AUC from counts against ranking every row."""
+"""Cutoffs, level metrics and AUC against ranking every whole row."""
 
 import random
 
