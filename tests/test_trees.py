@@ -119,3 +119,16 @@ def test_raw_units(spark):
     named = raw.withColumn("x", F.create_map(F.lit("a"), "a", F.lit("b"), "b"))
     by_raw = {r.id: r.score for r in T.forest_scores(named, T.in_raw_units(nodes, scales), ["id"], feature="name").collect()}
     assert by_raw == {r.id: r.score for r in T.forest_scores(scaled, nodes, ["id"]).collect()}
+
+
+def test_bins_are_found_without_moving_rows(spark):
+    data = spark.createDataFrame([(1, {0: -1.0, 3: 2.0}), (2, {0: 4.0, 9: 1.0}), (3, {}), (4, {3: 9.0})], "id int, x map<int,double>")
+    bins = spark.createDataFrame([(0, [-1.0, 0.0, 3.0], [-1.0, 0.0, 1.0], 1), (3, [0.0, 2.0], [0.0, 2.0], 0)],
+                                 "feature int, highs array<double>, lows array<double>, zero int")
+    coded = T.apply_bins(data, bins, "id")
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.b for r in coded.collect()} == {1: {0: 0, 3: 1}, 2: {0: 2}, 3: {}, 4: {3: 1}}
+    got = T.apply_bins(data, bins, "id", pack=True).select("id", F.explode(F.array(F.lit(0), F.lit(3))).alias("f"), "b")
+    zero = F.when(F.col("f") == 0, 1).otherwise(0)
+    got = {(r.id, r.f): r.bin for r in got.select("id", "f", T.bin_in("b", "f", zero).alias("bin")).collect()}
+    assert got == {(1, 0): 0, (1, 3): 1, (2, 0): 2, (2, 3): 0, (3, 0): 1, (3, 3): 0, (4, 0): 1, (4, 3): 1}
