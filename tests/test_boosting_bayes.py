@@ -3,12 +3,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 
 from episodic.operators import bayes as N
 from episodic.operators import boosting as B
 from episodic.operators import models as M
+from episodic.operators import trees as T
 
 
 def data(spark, n=240, seed=6):
@@ -83,3 +85,13 @@ def test_families_use_them(spark):
         assert scores.count() == 80 and scores.where("score between 0 and 1").count() == 80
         shares = M.feature_importance(name, model, list("abcd"))
         assert len(shares) == 4 and shares.importance.is_monotonic_decreasing
+
+
+def test_a_round_is_summed_in_its_task(spark):
+    b = T.packed(np.array([0, 2, 2, 3]), np.array([0, 7, 7]), np.array([1, 0, 2]))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 1], pa.int32()), b], names=["y", "b"])
+    stump = B.Stump(7, 1, 1, 0.5, 0.25, 0.75, 1.0)  # left: the first two rows
+    [out] = B._sums([stump], False, {0: 0, 7: 2}, 5)(iter([batch, batch]))
+    wrong = math.e  # only the second row is on the wrong side
+    got = {(f, c): (w0, w1) for f, c, w0, w1 in zip(*out.to_pydict().values())}
+    assert got == {(0, 1): (2, 0), (7, 0): (2, 0), (7, 2): (0, 2), (-1, 0): (2, pytest.approx(2 + 2 * wrong))}
