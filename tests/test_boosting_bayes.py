@@ -95,3 +95,10 @@ def test_a_round_is_summed_in_its_task(spark):
     wrong = math.e  # only the second row is on the wrong side
     got = {(f, c): (w0, w1) for f, c, w0, w1 in zip(*out.to_pydict().values())}
     assert got == {(0, 1): (2, 0), (7, 0): (2, 0), (7, 2): (0, 2), (-1, 0): (2, pytest.approx(2 + 2 * wrong))}
+
+
+def test_bayes_scores_move_no_rows(spark):
+    _, _, rows = data(spark, 40)
+    counts, rows_of = N.fit_counts(rows.selectExpr("id", "label", "transform_values(x, (k, v) -> abs(v)) as x"))
+    scores = N.bayes_scores(rows, N.log_odds(counts, rows_of, [(1.0, True)], 4), ["id"])
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
