@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,30 @@ def test_vocabulary_fails_loudly_beyond_its_limit(spark):
     assert len(P.fit_vocabulary(df, "c", most=30)) == 30
     with pytest.raises(ValueError):
         P.fit_vocabulary(df, "c", most=29)
+
+
+def test_cascades_of_several_folds_equal_single_ones(spark):
+    g = np.random.default_rng(3)
+    data = []
+    for i in range(300):
+        start, length, first = float(g.integers(20, 60)), float(g.integers(1, 900)), float(g.integers(10, 20))
+        lost = g.random(4) < 0.3
+        data.append((i, int(g.integers(1, 9)), None if lost[3] and i % 2 else int(g.integers(1995, 1998)), None if i % 11 == 0 else "abc"[g.integers(3)],
+                     None if i % 17 == 0 else length, None if lost[0] else start, None if lost[1] else start + length / 365, None if lost[2] else first))
+    df = spark.createDataFrame(data, "id int, fold int, year int, code string, days double, age_start double, age_end double, age_first double")
+    cols = ["year", "code", "days", "age_start", "age_end", "age_first"]
+    folds = {k: F.col("fold") <= k for k in (0, 2, 8)}  # no row is in the first
+    rows, stats = P.fit_cascades(df, folds, *cols)
+    for k, inside in folds.items():
+        one = P.fit_cascade(df.where(inside), *cols)
+        want = {r.id: r[5:] for r in P.apply_cascade(df, one).collect()}
+        got = {r.id: r[5:8] for r in P.apply_cascade(rows, stats[k]).collect()}
+        assert len(got) == 300 and got.keys() == want.keys()
+        assert all(a == pytest.approx(b) for i in want for a, b in zip(got[i], want[i]))
+
+
+def test_codes_count_from_their_first_fold(spark):
+    codes = spark.createDataFrame([("a", 1999), ("b", 1998), ("a", 1997), (None, 1990)], "v string, n int")
+    assert P.first_codes(codes) == {"a": 1997, "b": 1998}
+    with pytest.raises(ValueError):
+        P.first_codes(codes, most=1)
