@@ -68,3 +68,13 @@ def test_rows_without_features_and_one_class(spark):
     rows = spark.createDataFrame([(1, 1, {}), (2, 1, {0: 2.0}), (3, 1, {})], "id long, label int, x map<int,double>")
     [m] = L.fit_linear(rows, 1, [L.Point("a", "logistic", "l2", 1.0)])
     assert m.violation < 1e-8 and m.coefficients[-1] > 0
+
+
+def test_few_features_take_few_jobs(spark, monkeypatch):
+    _, _, rows = data(spark)
+    models = L.fit_linear(rows, 4, POINTS)
+    assert max(m.evaluations for m in models) <= 25
+    monkeypatch.setattr(L, "CURVED", 0)  # the same optima without curvature
+    some = [p for p in POINTS if p.c == 1.0]
+    plain = {m.point: m.coefficients for m in L.fit_linear(rows, 4, some)}
+    assert all(np.allclose(plain[m.point], m.coefficients, atol=1e-5) for m in models if m.point in plain)
