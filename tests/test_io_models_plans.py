@@ -198,6 +198,45 @@ def test_neighbours_are_exact_for_near_ties(spark):
     assert found[0][1].tolist() == [2, 0] and found[0][2].tolist() == [0.0, 0.0]
 
 
+def test_nearest_rows_equal_brute_force():
+    """Several tiles and chunks, ties, and a row without numbers, which took every query's neighbours before."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = (rng.random((3000, 12)) < 0.3).astype(float)
+    x[:, 0] = rng.random(3000).round(2)
+    x[7, 3], q = np.nan, x[rng.permutation(3000)[:700]].copy()
+    q[:, 1] += 1e-4
+    ids = rng.permutation(3000)
+    for k in (1, 3, 100, 5000):
+        asks, rows, dist = M.nearest_rows(q, x, ids, k)
+        for i in (0, 1, 511, 512, 699):
+            d = np.sqrt(((x - q[i]) ** 2).sum(1))
+            if np.isnan(d).all():
+                assert i not in asks
+                continue
+            order = np.lexsort((ids, d))[:min(k, 2999)]
+            assert rows[asks == i].tolist() == order.tolist() and dist[asks == i].tolist() == d[order].tolist()
+
+
+def test_neighbours_of_sparse_and_dense_vectors(spark):
+    """ML vectors stay sparse on their way; both kinds in one column give the neighbours of the arrays."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, Vectors.sparse(9, [i % 9], [1.0 + i % 4]) if i % 3 else Vectors.dense([float(i * j % 5) for j in range(9)]), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, ["id", "v", "label"])
+    train, test = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+
+    def found(vector, block):
+        top = M.knn_neighbours(train.select(F.col("id").alias("nid"), vector("v").alias("nv"), F.col("label").alias("nlabel")),
+                               test.select(F.col("id").alias("qid"), vector("v").alias("qv")), 4, block)
+        return sorted(tuple(r) for r in top.collect())
+
+    assert len(found(F.unwrap_udt, 11)) == 160
+    assert found(F.unwrap_udt, 11) == found(vector_to_array, 11) == found(F.unwrap_udt, 1000)
+
+
 def test_results_by_year_runs_every_fold(spark, monkeypatch):
     """The year loop and the subgroup run take each end year that has a train fold, with the default families."""
     import datetime
