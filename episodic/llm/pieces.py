@@ -10,8 +10,10 @@ two generations of bounded size.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -22,6 +24,12 @@ import pyarrow.compute as pc
 #: A space that doesn't stand right before a visible character.
 ODD_SPACE = (r" ([\x00-\x20\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]|$)")
 SAFE_CUT = re.compile("(?= [^\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff])")
+#: The pre-tokenizer's pattern under which words are cut further (see ``PieceEncoder.words``).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A letter or digit that stays one when it is composed and lower-cased: punctuation behind it is a match of its own.
+WORD_END = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]$"
+#: Pieces of such letters alone are one match.
+ONE_WORD = re.compile("[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u017f]+")
 CACHED_PIECES = 200_000
 LONGEST_CACHED = 48
 
@@ -31,11 +39,14 @@ class PieceEncoder:
 
     ``leading_space``: a piece after the first of a text includes the space
     before it (byte-level vocabularies); otherwise spaces only separate.
+    ``words``: line breaks separate too, ASCII pieces are lower-cased, and
+    punctuation at the end of a word is a piece of its own.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], leading_space: bool,
                  cached: int = CACHED_PIECES):
         self.encode_pieces, self.leading_space, self.cached = encode, leading_space, cached
+        self.words = False
         self.special: str | None = None  # texts that match are encoded by ``encode_whole``
         self.encode_whole: Callable[[str], list[int]] | None = None
         self.young: dict[str, bytes] = {}
@@ -62,7 +73,7 @@ class PieceEncoder:
 
     def _pieces(self, texts: pa.Array) -> pa.ListArray:
         if not self.leading_space:
-            return pc.split_pattern(texts, " ")
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " ") if self.words else texts, " ")
         odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
         if not odd.any():
             return pc.split_pattern(texts, " ")
@@ -77,6 +88,26 @@ class PieceEncoder:
         lists = pa.concat_arrays([pc.split_pattern(texts.filter(pa.array(~odd)), " "), pa.array(cut, pa.list_(pa.string()))])
         return lists.take(pa.array(np.argsort(rows, kind="stable")))
 
+    def _word_ids(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces one after another and their numbers, through words and the punctuation behind them."""
+        pieces = pc.if_else(pc.string_is_ascii(pieces), pc.ascii_lower(pieces), pieces)
+        _, held, text = pieces.buffers()
+        starts = np.frombuffer(held, np.int32)[pieces.offset:pieces.offset + len(pieces) + 1]
+        stems = pc.ascii_rtrim(pieces, characters=string.punctuation)
+        ends = starts[:-1] + pc.binary_length(stems).to_numpy()
+        cut = pc.match_substring_regex(stems, WORD_END).to_numpy(zero_copy_only=False)
+        offsets = np.empty(2 * len(pieces) + 1, np.int32)
+        offsets[0::2], offsets[1::2] = starts, np.where(cut, ends, starts[1:])
+        coded = pa.StringArray.from_buffers(2 * len(pieces), pa.py_buffer(offsets), text).dictionary_encode()
+        ids, sizes = self._gathered(coded.dictionary.to_pylist(), coded.indices.to_numpy())
+        return ids, sizes.reshape(-1, 2).sum(1)
+
+    def _gathered(self, keys: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the keys at ``index`` one after another, and how many each has."""
+        got = self.ids(keys)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        return _taken(np.frombuffer(b"".join(got), np.uint32), sizes, index), sizes[index]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids begin (one more at the end)."""
         if not len(texts):
@@ -90,19 +121,17 @@ class PieceEncoder:
         offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy()
+        if self.words:
+            flat, sizes = self._word_ids(coded.dictionary)
+            return _taken(flat, sizes, index), np.concatenate([[0], np.cumsum(sizes[index])])[offsets]
         keys = coded.dictionary.to_pylist()
         if self.leading_space:
             index = index.copy()
             first, index_first = np.unique(index[offsets[:-1]], return_inverse=True)
             index[offsets[:-1]] = len(keys) + index_first
             keys = [" " + k for k in keys] + [keys[i] for i in first]
-        got = self.ids(keys)
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        flat = np.frombuffer(b"".join(got), np.uint32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).take(pa.array(index)).flatten().to_numpy()
-        places = np.concatenate([[0], np.cumsum(sizes[index])])
-        return ids, places[offsets]
+        ids, sizes = self._gathered(keys, index)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[offsets]
 
     def _encode_with_whole(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts that hold the string of a special token are encoded whole, so that it becomes its one id."""
@@ -115,6 +144,12 @@ class PieceEncoder:
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
+def _taken(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The lists of ``sizes`` that ``flat`` holds one after another, taken at ``index``."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).take(pa.array(index)).flatten().to_numpy()
+
+
 def with_ends(ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts' ids with ``end_id`` after each text."""
     places = starts + np.arange(len(starts))
@@ -132,10 +167,22 @@ SEPARATORS = {True: "\n", False: " | "}
 FIT = {True: re.compile(r" ?\S+(?:\n\S+)*"), False: re.compile(r"[^|]*")}
 
 
-def tokenizer_pieces(path: str, leading_space: bool = True) -> Callable[[list[str]], list[bytes]]:
+def cuts_words(path: str) -> bool:
+    """Whether a tokenizer file cuts words from punctuation after NFC and lower case, and marks the end of each match."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    normal = [(n["type"], n.get("pattern"), n.get("content")) for n in (held["normalizer"] or {}).get("normalizers", [])]
+    split = next(iter((held["pre_tokenizer"] or {}).get("pretokenizers", [])), {})
+    return (normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            and split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("invert") is True and split.get("behavior") == "Removed"
+            and held["model"].get("end_of_word_suffix") == "</w>")
+
+
+def tokenizer_pieces(path: str, leading_space: bool = True, words: bool = False) -> Callable[[list[str]], list[bytes]]:
     """Pieces by the tokenizers library, special tokens' strings as ordinary text.
 
     Pieces are encoded together as one string with separators where they fit, others by themselves.
+    ``words``: pieces that are one match need no separator but a space; their last token says where they end.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -145,6 +192,10 @@ def tokenizer_pieces(path: str, leading_space: bool = True) -> Callable[[list[st
     between, fits = SEPARATORS[leading_space], FIT[leading_space].fullmatch
     [mark] = t.encode(between, add_special_tokens=False).ids
 
+    last = np.zeros(t.get_vocab_size(), bool)
+    if words:
+        last[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+
     def alone(piece: str) -> bytes:
         return np.array(t.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
 
@@ -160,7 +211,26 @@ def tokenizer_pieces(path: str, leading_space: bool = True) -> Callable[[list[st
         cuts = (cuts[np.cumsum(own + 1)[:-1] - 1] * 4).tolist()
         return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
+    def one_match_each(pieces: list[str]) -> list[bytes]:
+        if not pieces:
+            return []
+        ids = np.array(t.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            return [alone(p) for p in pieces]
+        raw, ends = ids.tobytes(), (ends * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def encode(pieces: list[str]) -> list[bytes]:
+        if not words:
+            return in_parts(pieces)
+        one = [ONE_WORD.fullmatch(p) is not None for p in pieces]
+        plain = [p for p, w in zip(pieces, one, strict=True) if w]
+        found = iter([x for at in range(0, len(plain), 20_000) for x in one_match_each(plain[at:at + 20_000])])
+        rest = iter(in_parts([p for p, w in zip(pieces, one, strict=True) if not w]))
+        return [next(found) if w else next(rest) for w in one]
+
+    def in_parts(pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(pieces), 20_000):
             part = pieces[at:at + 20_000]
@@ -182,7 +252,9 @@ def tokenizer_encoder(path: str, leading_space: bool) -> PieceEncoder:
 
     t = Tokenizer.from_file(path)
     special = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
-    encoder = PieceEncoder(tokenizer_pieces(path, leading_space), leading_space)
+    words = not leading_space and cuts_words(path)
+    encoder = PieceEncoder(tokenizer_pieces(path, leading_space, words), leading_space)
+    encoder.words = words
     if special:
         encoder.special, encoder.encode_whole = "|".join(special), lambda text: t.encode(text, add_special_tokens=False).ids
     return encoder

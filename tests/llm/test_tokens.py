@@ -192,3 +192,26 @@ def test_packing_nulls_repeats_and_empty(spark):
     assert {r.doc_id for r in got} == {0, None, 2, 3}
     assert [r.length for r in got if r.doc_id == 2] == [1]  # the end id alone
     assert packing.pack(frame.where("false"), tokenizer=path).count() == 0
+
+
+def test_words_with_punctuation_are_encoded_once_and_as_the_library_does():
+    """Words in either case, with punctuation or line breaks around them, reach the library as one piece."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, enc = Tokenizer.from_file(path), tokenizer_encoder.__wrapped__(path, False)
+    rng = random.Random(5)
+    parts = ["Word", "straße", "I\u0307", "\u0130", "H\u0331", "e\u0301", "\u0149", "\u0338", "\u0301", "don't", "'s", "'", "x'", "\u2026", "\u00bb", "7", "\u00b2", "\u03a3",
+             "=", "<", ".", ",", "...", "_", "|", " | ", "%", "</w>", "\n", "\t", "\r\n", "\u00a0", "\u2028", " ", "  ", "\u1100\u1161", "中文", "\x00", "A", "ſ", "\U0001f600"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)]
+    ids, at = enc.encode(pa.array(texts, pa.string()))
+    for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+    enc, asked = tokenizer_encoder.__wrapped__(path, False), []
+    library = enc.encode_pieces
+    enc.encode_pieces = lambda keys: asked.extend(keys) or library(keys)
+    enc.encode(pa.array(["Word word. word,\nWORD: (word word!?"], pa.string()))
+    assert sorted(asked) == ["", "!?", "(word", ",", ".", ":", "word"]
