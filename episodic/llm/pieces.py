@@ -30,6 +30,15 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]$"
 #: Pieces of such letters alone are one match.
 ONE_WORD = re.compile("[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u017f]+")
+#: A piece of a byte-level vocabulary with the space before it and no other white space.
+SPACED = re.compile(" [^\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]+")
+#: Bytes inside a byte-level piece: letters and digits, punctuation, a line break; 0: any other.
+WORD, MARK, BREAK = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+KIND[[ord(c) for c in string.punctuation]] = MARK
+KIND[[ord(c) for c in string.ascii_letters + string.digits]] = WORD
+KIND[0xC3:0xC6] = WORD  # first bytes of U+00C0 to U+017F, letters but for two
+KIND[ord("\n")] = BREAK
 CACHED_PIECES = 200_000
 LONGEST_CACHED = 48
 
@@ -40,13 +49,14 @@ class PieceEncoder:
     ``leading_space``: a piece after the first of a text includes the space
     before it (byte-level vocabularies); otherwise spaces only separate.
     ``words``: line breaks separate too, ASCII pieces are lower-cased, and
-    punctuation at the end of a word is a piece of its own.
+    punctuation at the end of a word is a piece of its own.  ``parts``: pieces
+    are cut further where the byte-level pattern always cuts (see ``cut_parts``).
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], leading_space: bool,
                  cached: int = CACHED_PIECES):
         self.encode_pieces, self.leading_space, self.cached = encode, leading_space, cached
-        self.words = False
+        self.words = self.parts = False
         self.special: str | None = None  # texts that match are encoded by ``encode_whole``
         self.encode_whole: Callable[[str], list[int]] | None = None
         self.young: dict[str, bytes] = {}
@@ -124,13 +134,20 @@ class PieceEncoder:
         if self.words:
             flat, sizes = self._word_ids(coded.dictionary)
             return _taken(flat, sizes, index), np.concatenate([[0], np.cumsum(sizes[index])])[offsets]
-        keys = coded.dictionary.to_pylist()
+        keys = coded.dictionary
         if self.leading_space:
             index = index.copy()
             first, index_first = np.unique(index[offsets[:-1]], return_inverse=True)
             index[offsets[:-1]] = len(keys) + index_first
-            keys = [" " + k for k in keys] + [keys[i] for i in first]
-        ids, sizes = self._gathered(keys, index)
+            keys = pa.concat_arrays([pc.binary_join_element_wise("", keys, " "), keys.take(pa.array(first))])
+        if self.parts:
+            cut = cut_parts(keys)
+            coded = cut.flatten().dictionary_encode()
+            flat, sizes = self._gathered(coded.dictionary.to_pylist(), coded.indices.to_numpy())
+            ends = np.concatenate([[0], np.cumsum(sizes)])[cut.offsets.to_numpy()]
+            sizes = np.diff(ends)
+            return _taken(flat, sizes, index), np.concatenate([[0], np.cumsum(sizes[index])])[offsets]
+        ids, sizes = self._gathered(keys.to_pylist(), index)
         return ids, np.concatenate([[0], np.cumsum(sizes)])[offsets]
 
     def _encode_with_whole(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +161,33 @@ class PieceEncoder:
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
+def cut_parts(pieces: pa.StringArray) -> pa.ListArray:
+    """Each piece as parts that the byte-level pattern matches independently of each other.
+
+    Cuts stand before punctuation behind a letter or digit, before a line break
+    behind either, and behind a line break alone between two of them.
+    """
+    _, held, text = pieces.buffers()
+    starts = np.frombuffer(held, np.int32)[pieces.offset:pieces.offset + len(pieces) + 1]
+    raw = np.frombuffer(text or b"", np.uint8)[starts[0]:starts[-1]]
+    kind = KIND[raw]
+    later = np.flatnonzero((raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC5)) + 1
+    kind[later] = np.where((raw[later - 1] == 0xC3) & ((raw[later] & 0xDF) == 0x97), 0, WORD)  # times and divide are no letters
+    cut = np.zeros(len(raw) + 1, bool)
+    a, b = kind[:-1], kind[1:]
+    seen = (a == WORD) | (a == MARK)
+    cut[1:-1] = (a == WORD) & (b == MARK) | seen & (b == BREAK)
+    first = np.zeros(len(raw) + 1, bool)
+    first[starts - starts[0]] = True
+    # a line break that is a part so far, followed by what is seen
+    cut[2:-1] |= cut[1:-2] & ~first[1:-2] & (a[1:] == BREAK) & ((b[1:] == WORD) | (b[1:] == MARK))
+    cut |= first
+    ends = np.flatnonzero(cut)
+    offsets = np.searchsorted(ends, starts - starts[0]).astype(np.int32)
+    parts = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer((ends + starts[0]).astype(np.int32)), text or pa.py_buffer(b""))
+    return pa.ListArray.from_arrays(pa.array(offsets), parts)
+
+
 def _taken(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
     """The lists of ``sizes`` that ``flat`` holds one after another, taken at ``index``."""
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -167,6 +211,15 @@ SEPARATORS = {True: "\n", False: " | "}
 FIT = {True: re.compile(r" ?\S+(?:\n\S+)*"), False: re.compile(r"[^|]*")}
 
 
+def cuts_parts(path: str) -> bool:
+    """Whether a tokenizer file's texts are cut by the byte-level pattern alone, without a normalizer before it."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    before = held["pre_tokenizer"] or {}
+    return (held["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) is True
+            and before.get("add_prefix_space") is False)
+
+
 def cuts_words(path: str) -> bool:
     """Whether a tokenizer file cuts words from punctuation after NFC and lower case, and marks the end of each match."""
     with open(path, encoding="utf-8") as f:
@@ -183,6 +236,7 @@ def tokenizer_pieces(path: str, leading_space: bool = True, words: bool = False)
 
     Pieces are encoded together as one string with separators where they fit, others by themselves.
     ``words``: pieces that are one match need no separator but a space; their last token says where they end.
+    A byte-level piece that starts with its only space needs none: the token that holds the space says where it starts.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -192,9 +246,11 @@ def tokenizer_pieces(path: str, leading_space: bool = True, words: bool = False)
     between, fits = SEPARATORS[leading_space], FIT[leading_space].fullmatch
     [mark] = t.encode(between, add_special_tokens=False).ids
 
-    last = np.zeros(t.get_vocab_size(), bool)
+    last, start = np.zeros((2, t.get_vocab_size()), bool)
     if words:
         last[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+    if leading_space:  # \u0120 is the byte-level spelling of a space
+        start[[i for token, i in t.get_vocab().items() if token.startswith("\u0120")]] = True
 
     def alone(piece: str) -> bytes:
         return np.array(t.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -221,12 +277,23 @@ def tokenizer_pieces(path: str, leading_space: bool = True, words: bool = False)
         raw, ends = ids.tobytes(), (ends * 4).tolist()
         return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def one_space_each(pieces: list[str]) -> list[bytes]:
+        if not pieces:
+            return []
+        ids = np.array(t.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        starts = np.flatnonzero(start[ids])
+        if len(starts) != len(pieces) or starts[0]:
+            return [alone(p) for p in pieces]
+        raw, starts = ids.tobytes(), (starts * 4).tolist()
+        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+
     def encode(pieces: list[str]) -> list[bytes]:
-        if not words:
+        if not words and not leading_space:
             return in_parts(pieces)
-        one = [ONE_WORD.fullmatch(p) is not None for p in pieces]
+        plainly, each = (ONE_WORD, one_match_each) if words else (SPACED, one_space_each)
+        one = [plainly.fullmatch(p) is not None for p in pieces]
         plain = [p for p, w in zip(pieces, one, strict=True) if w]
-        found = iter([x for at in range(0, len(plain), 20_000) for x in one_match_each(plain[at:at + 20_000])])
+        found = iter([x for at in range(0, len(plain), 20_000) for x in each(plain[at:at + 20_000])])
         rest = iter(in_parts([p for p, w in zip(pieces, one, strict=True) if not w]))
         return [next(found) if w else next(rest) for w in one]
 
@@ -254,7 +321,7 @@ def tokenizer_encoder(path: str, leading_space: bool) -> PieceEncoder:
     special = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
     words = not leading_space and cuts_words(path)
     encoder = PieceEncoder(tokenizer_pieces(path, leading_space, words), leading_space)
-    encoder.words = words
+    encoder.words, encoder.parts = words, leading_space and cuts_parts(path)
     if special:
         encoder.special, encoder.encode_whole = "|".join(special), lambda text: t.encode(text, add_special_tokens=False).ids
     return encoder

@@ -215,3 +215,26 @@ def test_words_with_punctuation_are_encoded_once_and_as_the_library_does():
     enc.encode_pieces = lambda keys: asked.extend(keys) or library(keys)
     enc.encode(pa.array(["Word word. word,\nWORD: (word word!?"], pa.string()))
     assert sorted(asked) == ["", "!?", "(word", ",", ".", ":", "word"]
+
+
+def test_byte_level_pieces_are_cut_where_the_pattern_always_cuts():
+    """Words with punctuation, contractions or line breaks around them reach the library once, and without separators."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, enc = Tokenizer.from_file(path), tokenizer_encoder.__wrapped__(path, True)
+    rng = random.Random(5)
+    parts = ["word", "Word", "straße", "Ÿ", "ſ", "×", "÷", "×'s", "don't", "'s", "'ll", "'", "_", "7", "7's", "١", "́", "̸", "=", ".", "...", "(", "…",
+             "\n", "\n\n", "\r\n", "\t", "\x85", " ", " ", "​", " ", " ", " ", " ", "  ", "中文", "\x00", "Ġ", "\U0001f600"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)]
+    ids, at = enc.encode(pa.array(["before", *texts], pa.string()).slice(1))
+    for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+    enc, asked = tokenizer_encoder.__wrapped__(path, True), []
+    library = enc.encode_pieces
+    enc.encode_pieces = lambda keys: asked.extend(keys) or library(keys)
+    enc.encode(pa.array(["a word word. word,\nWord (word!? word's wor\n\nd"], pa.string()))
+    assert sorted(asked) == sorted(["a", " a", " word", ".", ",", "\n", "Word", " (word", "!?", "'s", " wor", "\n\nd"])
