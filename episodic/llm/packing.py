@@ -34,6 +34,7 @@ from .common import table, text_slices, tidied
 from .pieces import tokenizer_encoder, with_ends
 
 POOL = 4096
+SLICE_BYTES = 4_000_000  # text whose ids are held at a time, beside the pool
 
 
 @dataclass
@@ -136,7 +137,7 @@ def pack(rows: DataFrame, *, tokens: int = 2048, segments: int = 256, loss: int
     def examples(batch: pa.RecordBatch) -> Iterator[Example]:
         if tokenizer:
             enc = tokenizer_encoder(tokenizer, True)
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE_BYTES):
                 ids, at = with_ends(*enc.encode(part.column("text")), end_id)
                 for name, a, b, first in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(),
                                              part.column("loss_start").to_pylist(), strict=True):

@@ -317,11 +317,12 @@ def tokenizer_encoder(path: str, leading_space: bool) -> PieceEncoder:
     """One encoder a worker and vocabulary file; strings of special tokens become their ids, as in the library's plain call."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    special = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        special = [re.escape(x["content"]) for x in json.load(f)["added_tokens"]]
+    plain = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))  # few texts hold such a string
     words = not leading_space and cuts_words(path)
     encoder = PieceEncoder(tokenizer_pieces(path, leading_space, words), leading_space)
     encoder.words, encoder.parts = words, leading_space and cuts_parts(path)
     if special:
-        encoder.special, encoder.encode_whole = "|".join(special), lambda text: t.encode(text, add_special_tokens=False).ids
+        encoder.special, encoder.encode_whole = "|".join(special), lambda text: plain().encode(text, add_special_tokens=False).ids
     return encoder

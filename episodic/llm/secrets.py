@@ -57,6 +57,7 @@ TOKEN_SPLIT = r"[ \t\n\r\f\v]"
 SAMPLE, WINDOWS, AROUND = 4000, 12, 6
 O, B, I = 0, 1, 2
 MARKUP = "{}=;<>[]\"'`$"
+SLICE_BYTES = 3_000_000  # text whose tokens are held at a time
 CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access", "auth", "bearer", "credential", "private", "key")
 
 
@@ -452,7 +453,7 @@ def scan(documents: DataFrame, model: SecretModel | None) -> DataFrame:
     @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE_BYTES):
                 found = all_spans(part.column("text"), model)
                 counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS[:3]]
                 digest = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -484,18 +485,16 @@ def without_secrets(documents: DataFrame, model: SecretModel | None) -> DataFram
     @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist() if "n_chars" in names else None
             at = 0
-            for part in text_slices(pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])):
-                for k, (_, spans) in enumerate(all_spans(part.column("text"), model), at):
-                    if spans:
-                        texts[k] = masked(texts[k], spans)
-                        if sizes:
-                            sizes[k] = len(texts[k])
-                at += part.num_rows
-            new = {"text": texts, "n_chars": sizes}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(new[c], batch.schema.field(c).type) if new.get(c) is not None else batch.column(c) for c in names], names=names)
+            for part in text_slices(pa.RecordBatch.from_arrays([batch.column("text")], names=["text"]), limit=SLICE_BYTES):
+                rows, at = batch.slice(at, part.num_rows), at + part.num_rows
+                found = [spans for _, spans in all_spans(part.column("text"), model)]
+                hit = pa.array([bool(spans) for spans in found], pa.bool_())
+                texts = [masked(part.column("text")[k].as_py(), spans) for k, spans in enumerate(found) if spans]
+                new = {"text": texts, "n_chars": [len(t) for t in texts]} if texts else {}
+                yield pa.RecordBatch.from_arrays(
+                    [pc.replace_with_mask(rows.column(c), hit, pa.array(new[c], batch.schema.field(c).type)) if c in new else rows.column(c)
+                     for c in names], names=names)
 
     return documents.mapInArrow(work, documents.schema)
 
