@@ -257,3 +257,18 @@ def test_results_by_year_runs_every_fold(spark, monkeypatch):
     years = [1997, 1998, 1999, 2000, 2001]
     families = list(experiment.M.DEFAULT_MODELS)
     assert calls == [(years, families, None), (years, families, ("gender", "FEMALE"))]
+
+
+def test_fairness_covers_every_family_of_the_grid(spark, monkeypatch):
+    """All ten families were to be judged, not the four default ones."""
+    from episodic.plans import q_models
+
+    rows = [(i, i, i % 2, "A", "MALE", float(i)) for i in range(20)]
+
+    def scores(t, models):
+        df = spark.createDataFrame(rows, "id long, prefix long, label int, race string, gender string, score double")
+        yield 1999, None, df.select("*", F.explode(F.array(*map(F.lit, models))).alias("model"), F.lit("{}").alias("parameters"))
+
+    monkeypatch.setattr(q_models, "_grid_scores", scores)
+    got = q_models.q_fairness_by_model(None).select("model").distinct().collect()
+    assert {r["model"] for r in got} == set(M.GRIDS["test"])
