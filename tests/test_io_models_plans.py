@@ -272,3 +272,14 @@ def test_fairness_covers_every_family_of_the_grid(spark, monkeypatch):
     monkeypatch.setattr(q_models, "_grid_scores", scores)
     got = q_models.q_fairness_by_model(None).select("model").distinct().collect()
     assert {r["model"] for r in got} == set(M.GRIDS["test"])
+
+
+def test_the_random_forest_query_fits_a_forest(spark, monkeypatch):
+    """The query named a parameter point with a single tree."""
+    from episodic.plans import q_models
+
+    asked = []
+    monkeypatch.setattr(q_models, "over_folds", lambda t, of_fold: of_fold(1999, type("Fold", (), {"train": None, "test": None, "n_train": 1})()))
+    monkeypatch.setattr(q_models.M, "fit_and_score", lambda name, params, *rest, **more: asked.append((name, params)) or (None, None))
+    q_models._fit_query(q_models._FITS["fit_random_forest"][0], M.parameter_grid(q_models._FITS["fit_random_forest"][1])[0])(None)
+    assert asked[0][0] == "RF" and M.make_estimator(*asked[0], 10).getNumTrees() == 100
