@@ -132,3 +132,38 @@ def test_bins_are_found_without_moving_rows(spark):
     zero = F.when(F.col("f") == 0, 1).otherwise(0)
     got = {(r.id, r.f): r.bin for r in got.select("id", "f", T.bin_in("b", "f", zero).alias("bin")).collect()}
     assert got == {(1, 0): 0, (1, 3): 1, (2, 0): 2, (2, 3): 0, (3, 0): 1, (3, 3): 0, (4, 0): 1, (4, 3): 1}
+
+
+def test_subtrees_equal_levels(spark, monkeypatch):
+    """A tree grown level by level to its leaves, one whose small nodes are grown in a task, and one grown there whole are the same; so are the scores."""
+    rows = some_rows(400, 6)
+    data = frame(spark, rows).select("id", "label", T.entries("features").alias("x"))
+    kinds = [T.TreeSettings(n_trees=3, max_depth=5, max_features=2, bootstrap=True, seed=3, first_tree=4),
+             T.TreeSettings(n_trees=2, splitter="random", max_features=1, criterion="entropy", seed=5), T.TreeSettings(max_depth=3, criterion="squared")]
+    for settings in kinds:
+        grown = []
+        for most in (40, 10_000) if settings.max_depth is None else (1, 10_000):
+            monkeypatch.setattr(T, "SUBTREE_ROWS", most)
+            nodes = T.grow(data, settings)
+            grown.append(sorted((r.tree, r.path, r.depth, r.n, round(r.s, 9), r.feature, r.threshold, r.gain and round(r.gain, 6)) for r in nodes.collect()))
+        assert grown[0] == grown[1] and len(grown[0]) > 6
+        if settings.max_depth is None:
+            continue
+        near = {(r.id, r.tree): (r.path, r.n, r.s) for r in T.leaves(data, nodes, ["id"]).collect()}
+        joined = {(r.id, r.tree): (r.path, r.n, r.s) for r in T.leaves_by_joins(data, nodes, ["id"]).collect()}
+        assert near == joined and len(near) == 400 * settings.n_trees
+
+
+def test_few_jobs_grow_a_deep_tree(spark):
+    """A random tree took several jobs a level, bagging MLlib's levels of all nodes; nodes below a task's rows take one job together."""
+    rows = [([float(i), float(i * 7 % 64)], i * 5 % 3 % 2) for i in range(600)]
+    data = frame(spark, rows)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("deep", "deep")
+    scores, model = M.fit_and_score("BAG", {"n_estimators": 3, "random_state": 0}, data, data, ["id", "label"])
+    got = scores.collect()
+    jobs = len(tracker.getJobIdsForGroup("deep"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert model.nodes.agg(F.max("depth")).first()[0] > 8 and jobs < 60
+    assert len(got) == 600 and sum(abs(r.label - r.score) for r in got) < 150  # bagged trees know their own rows
+    assert M.feature_importance("BAG", model, ["a", "b"]) is None
