@@ -283,3 +283,25 @@ def test_the_random_forest_query_fits_a_forest(spark, monkeypatch):
     monkeypatch.setattr(q_models.M, "fit_and_score", lambda name, params, *rest, **more: asked.append((name, params)) or (None, None))
     q_models._fit_query(q_models._FITS["fit_random_forest"][0], M.parameter_grid(q_models._FITS["fit_random_forest"][1])[0])(None)
     assert asked[0][0] == "RF" and M.make_estimator(*asked[0], 10).getNumTrees() == 100
+
+
+def test_folds_are_worked_on_together(spark, monkeypatch):
+    """Each fold waited for the one before it; here every fold waits until another one has begun."""
+    import threading
+
+    from episodic.plans import experiment, q_models
+
+    both = threading.Barrier(2)
+
+    def of_fold(year, *rest):
+        both.wait(60)
+        return spark.createDataFrame([(year, "LR", 0.5)], "year int, model string, auc double")
+
+    monkeypatch.setattr(q_models, "folds", lambda t: ((y, None) for y in (1998, 1999)))
+    t = type("T", (), {"spark": spark})()
+    assert sorted(r.year for r in q_models.over_folds(t, lambda year, fd: of_fold(year).drop("year")).collect()) == [1998, 1999]
+    wide = IO.materialise(spark.createDataFrame([(1,)], "id long"), IO.scratch_path(spark, "wide"))
+    monkeypatch.setattr(experiment, "run_fold", lambda wide, year, *rest: of_fold(year))
+    path = IO.scratch_path(spark, "years")
+    assert sorted(r.year for r in experiment.run_years(wide, [1998, 1999], path).collect()) == [1998, 1999]
+    assert sorted(r.year for r in experiment.run_years(wide, [1998, 1999], path).collect()) == [1998, 1999]  # written already
