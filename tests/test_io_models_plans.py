@@ -301,7 +301,16 @@ def test_folds_are_worked_on_together(spark, monkeypatch):
     t = type("T", (), {"spark": spark})()
     assert sorted(r.year for r in q_models.over_folds(t, lambda year, fd: of_fold(year).drop("year")).collect()) == [1998, 1999]
     wide = IO.materialise(spark.createDataFrame([(1,)], "id long"), IO.scratch_path(spark, "wide"))
-    monkeypatch.setattr(experiment, "run_fold", lambda wide, year, *rest: of_fold(year))
+    begun, replace = threading.Event(), experiment.VersionedTable.replace
+
+    def run_fold(wide, year, *rest):
+        if year == 1999:
+            begun.set()
+        return spark.createDataFrame([(year, "LR", 0.5)], "year int, model string, auc double")
+
+    monkeypatch.setattr(experiment, "run_fold", run_fold)
+    # the first year's rows are written once the next year has begun
+    monkeypatch.setattr(experiment.VersionedTable, "replace", lambda self, df, note="": (begun.wait(60) or pytest.fail("alone")) and replace(self, df, note))
     path = IO.scratch_path(spark, "years")
     assert sorted(r.year for r in experiment.run_years(wide, [1998, 1999], path).collect()) == [1998, 1999]
     assert sorted(r.year for r in experiment.run_years(wide, [1998, 1999], path).collect()) == [1998, 1999]  # written already
